@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.llm.chunks import Memo
 from tidewell.llm.common import table
@@ -179,7 +180,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PA
                 values = pa.array(np.frombuffer(b"".join(made), "<i4"))
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.ListArray.from_arrays(pa.array(ends), values)], [*some.schema.names, ids])
 
-    return docs.mapInArrow(run, docs.schema.add(ids, "array<int>"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded", step: int = 4096) -> DataFrame:
