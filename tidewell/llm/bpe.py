@@ -186,7 +186,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PA
 def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded", step: int = 4096) -> DataFrame:
     """Adds the text of the ids as UTF-8 bytes; ids are fed to the streaming decoder in runs of ``step``."""
 
-    def text(column: Iterator) -> Iterator:
+    def text(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = token_table(read_ranks(ranks_path))
         for rows in column:
             ends, flat = rows.offsets.to_numpy(), rows.values.to_numpy()
