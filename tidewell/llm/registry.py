@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.bpe import op7_bpe
+from tidewell.llm.langid import op4_langid
+from tidewell.llm.media import op5_media
 from tidewell.llm.packing import op2_packing
+from tidewell.llm.toxicity import op10_toxicity
 from tidewell.llm.url_filter import OP9_SQL, op9_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op7_bpe, op9_url_filter)}
+    return {f.__name__: f for f in (op2_packing, op4_langid, op5_media, op7_bpe, op9_url_filter, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
