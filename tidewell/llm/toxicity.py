@@ -1,6 +1,6 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
-1. Voters. A fixed lexicon, writing patterns, and words or word beginnings (4 to 6 letters) that stand out in toxic
+1. Voters. A fixed lexicon, writing patterns, and words or word beginnings (4 to 7 letters, once or in several words) that stand out in toxic
    labelled rows of the learning folds. A voter votes "toxic" or abstains.
 2. Label model. Spark sums each voter's votes and each pair's common votes over all documents. Given the class, most
    voters are independent, so off-diagonal covariances factor as d_i * d_j; each d_i is fitted to its positively
@@ -42,20 +42,24 @@ def words(text: str) -> set[str]:
 
 
 def markers(text: str) -> set[str]:
-    """Whole words as =word, word beginnings as word-."""
+    """Whole words as =word, word beginnings as word-, beginnings of two words and more as word+."""
     found = words(text)
-    return {"=" + w for w in found} | {w[:n] + "-" for w in found for n in (4, 5, 6) if len(w) > n}
+    starts = Counter(w[:n] for n in (4, 5, 6, 7) for w in found if len(w) > n)
+    return {"=" + w for w in found} | {s + "-" for s in starts} | {s + "+" for s, n in starts.items() if n > 1}
 
 
 def votes(text: str, voters: dict[str, int]) -> list[int]:
     """The numbers of the voters that say toxic."""
-    found = {voters[k] for w in words(text) for k in ("=" + w, w[:4] + "-", w[:5] + "-", w[:6] + "-") if k in voters and (k[0] == "=" or len(w) >= len(k))}
+    seen = words(text)
+    found = {voters[k] for w in seen if (k := "=" + w) in voters}
+    starts = Counter(w[:n] for n in {len(k) - 1 for k in voters if k[-1] in "-+"} for w in seen if len(w) > n and (w[:n] + "-" in voters or w[:n] + "+" in voters))
+    found |= {voters[k] for s, n in starts.items() for k in (s + "-", s + "+") if k in voters and (n > 1 or k[-1] == "-")}
     return sorted(found | {voters[k] for k, p in _PATTERNS.items() if k in voters and p.search(text)})
 
 
-def mine(rows: DataFrame, least_share: float = 0.01, most_voters: int = 150) -> list[str]:
-    """rows(text, toxic), bounded: markers in at least that share of toxic rows and ten times as common there as in
-    others. A marker that another one implies is left out if it adds nothing."""
+def mine(rows: DataFrame, least_lift: float = 10, least_llr: float = 20, most_voters: int = 150) -> list[str]:
+    """rows(text, toxic), bounded: markers ten times as common in toxic rows as in others, by a log-likelihood ratio
+    that chance doesn't reach. A marker that begins with one already kept is left out."""
     totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if not totals.get(1):
         return []
@@ -71,11 +75,13 @@ def mine(rows: DataFrame, least_share: float = 0.01, most_voters: int = 150) ->
     sums = rows.select("text", "toxic").mapInArrow(count, "marker string, bad long, good long").groupBy("marker").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     n_bad, n_good = totals[1], totals.get(0, 0)
     lift = (F.col("bad") / n_bad) / ((F.col("good") + 0.5) / (n_good + 1))
-    best = sums.where((F.col("bad") >= max(3, least_share * n_bad)) & (lift >= 10)).orderBy(F.desc("bad"), F.length("marker"), "marker").limit(4 * most_voters).collect()
+    share = F.col("bad") / (F.col("bad") + F.col("good"))
+    llr = 2 * (F.col("bad") * F.log(share * (n_bad + n_good) / n_bad) + F.col("good") * F.log(F.greatest(1 - share, F.lit(1e-12)) * (n_bad + n_good) / max(1, n_good)))
+    best = sums.where((F.col("bad") >= 3) & (lift >= least_lift) & (llr >= least_llr)).orderBy(F.desc("bad"), F.length("marker"), "marker").limit(4 * most_voters).collect()
     kept: list[str] = []
     for r in best:
         m = r["marker"]
-        inside = [k for k in kept if k[-1] == "-" and m.strip("=-").startswith(k[:-1])]
+        inside = [k for k in kept if (k[-1] == "-" or k[-1] == m[-1] == "+") and m.strip("=-+").startswith(k[:-1])]
         if not inside:
             kept.append(m)
     return kept[:most_voters]
@@ -88,11 +94,11 @@ class LabelModel:
     noise: np.ndarray  # P(vote | not toxic)
     correlation: np.ndarray
     weights: np.ndarray  # log odds of a vote, shared among correlated voters
+    silent: float = 0.1  # the share of toxic documents that no voter is taken to know
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
-        silent = self.prior * np.prod(1 - self.hit[self.hit > 0.02]) if len(self.hit) else self.prior
-        base = np.log(max(min(silent, self.prior / 2), 1e-4))
-        return 1 / (1 + np.exp(-np.clip(base + x @ self.weights, -30, 30)))
+        rest = self.prior * self.silent
+        return 1 / (1 + np.exp(-np.clip(np.log(rest / (1 - rest)) + x @ self.weights, -30, 30)))
 
 
 def label_model(n: int, ones: np.ndarray, both: np.ndarray, prior: float) -> LabelModel:
@@ -146,20 +152,21 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[votes(text, self.voters)].sum(), -30, 30))))
 
 
-def fit(rows: list[tuple[str, int]], voters: dict[str, int], model: LabelModel, steps: int = 400) -> Scorer:
-    """A logistic regression on the mean of posterior and label."""
+def fit(rows: list[tuple[str, int]], voters: dict[str, int], model: LabelModel, steps: int = 25) -> Scorer:
+    """A ridge logistic regression on the mean of posterior and label, by Newton's steps."""
     x = np.zeros((len(rows), len(voters)), np.float64)
     for i, (text, _) in enumerate(rows):
         x[i, votes(text or "", voters)] = 1
     y = (model.posterior(x) + np.array([t for _, t in rows], np.float64)) / 2
-    w, b = np.zeros(len(voters)), 0.0
-    g2_w, g2_b = np.full(len(voters), 1e-8), 1e-8
-    for _ in range(steps if len(rows) else 0):
-        pull = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-        g_w, g_b = x.T @ pull / len(rows) + 1e-5 * w, pull.mean()
-        g2_w, g2_b = g2_w + g_w**2, g2_b + g_b**2
-        w, b = w - 0.5 * g_w / np.sqrt(g2_w), b - 0.5 * g_b / np.sqrt(g2_b)
-    return Scorer(voters, w, b)
+    x = np.column_stack([x, np.ones(len(rows))])
+    w, ridge = np.zeros(len(voters) + 1), np.diag([0.2] * len(voters) + [1e-3])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = (x * (p * (1 - p))[:, None]).T @ x + ridge
+        w = w - np.linalg.solve(slope, x.T @ (p - y) + ridge @ w)
+    if not len(rows):
+        w[-1] = -4.0
+    return Scorer(voters, w[:-1], float(w[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, quota: int = 3000, most_voters: int = 150) -> Scorer:
