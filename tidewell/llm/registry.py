@@ -13,12 +13,13 @@ from tidewell.llm.langid import op4_langid
 from tidewell.llm.media import op5_media
 from tidewell.llm.packing import op2_packing
 from tidewell.llm.pii import op1_pii
+from tidewell.llm.substring_dedup import op6_substring_dedup
 from tidewell.llm.toxicity import op10_toxicity
 from tidewell.llm.url_filter import OP9_SQL, op9_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_packing, op3_jaccard_join, op4_langid, op5_media, op7_bpe, op8_embedding_dedup, op9_url_filter, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pii, op2_packing, op3_jaccard_join, op4_langid, op5_media, op6_substring_dedup, op7_bpe, op8_embedding_dedup, op9_url_filter, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
