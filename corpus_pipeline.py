@@ -1,8 +1,69 @@
-"""The corpus pipeline: language ID, n-gram Jaccard join, substring dedup, PII, packing."""
+"""The corpus pipeline: language ID, n-gram Jaccard join, substring dedup, PII, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is written
+as Parquet and read again for the next one. All but the last keep the columns of documents.
+
+- language: rows whose language can't be told (no text, or no letter in it) go; ambiguous ones stay.
+- near_copies: of each group of documents linked by a Jaccard similarity of 0.8 of five-word shingles the one with the
+  least doc_id stays; rows that repeat a doc_id and text count as one; rows without a doc_id stay.
+- passages: passages of 50 words and more that stand in a document of a smaller id are cut out; the document stays.
+- pii: entities and the words that disclose them are generalised; every document stays.
+- packing: documents become pieces of power-of-two lengths with their token ids.
+
+Null and empty texts, ties, empty tables and further columns: see the operators; every stage accepts them.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.llm import jaccard_join, langid, packing, pii, substring_dedup
+from tidewell.llm.common import Scratch, table
+
+#: A sequential, tokenizing last stage: SQL can't express it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.train(docs.where(langid.fold(F.col("doc_id"), 5) != 0))
+    said = langid.predict(docs, model, prefix="_stage_")
+    return said.where(F.col("_stage_lang_pred") != "und").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "near-copies")
+    classes = scratch.write(jaccard_join.jaccard_classes(docs), "classes").where("doc_id is not null")
+    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    twice = classes.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    again = kept.join(twice, "doc_id", "left_semi").select(*docs.columns)
+    return once.unionByName(again.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(substring_dedup.removed(docs, substring_dedup.repeated(docs)))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(pii.sanitised(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("passages", passages), ("pii", private), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
