@@ -137,9 +137,10 @@ def train(docs: DataFrame, per_language: int = 500, margin: float = 0.05) -> Mod
 PREDICTED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Adds lang_pred, score and ambiguous; the text is the only input."""
-    if clash := {*docs.columns} & {f.name for f in PREDICTED}:
+def predict(docs: DataFrame, model: Model | None, text: str = "text", prefix: str = "") -> DataFrame:
+    """Adds lang_pred, score and ambiguous, with that prefix; the text is the only input."""
+    added = [T.StructField(prefix + f.name, f.dataType) for f in PREDICTED]
+    if clash := {*docs.columns} & {f.name for f in added}:
         raise ValueError(f"docs has columns {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,9 +155,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                     for i, a in zip(known, said, strict=True):
                         lang[i] = a
                     score[known], unsure[known] = top, near
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(lang), pa.array(score), pa.array(unsure)], [*some.schema.names, *(f.name for f in PREDICTED)])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(lang), pa.array(score), pa.array(unsure)], [*some.schema.names, *(f.name for f in added)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *PREDICTED]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
