@@ -1,0 +1,148 @@
+"""Block compression: differences of time differences, and values as XOR with the one before.
+
+Fixed values of the format: the first time takes 31 bits; a difference of differences takes one bit if zero and else a
+prefix and 7, 9, 12 or 32 bits; the first difference is measured against 60 seconds. A value takes one bit if it repeats,
+reuses the last window of significant bits, or states a new one in 5 bits of leading zeros and 6 of length.
+"""
+
+from __future__ import annotations
+
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+FIRST_BITS, FIRST_DELTA = 31, 60
+#: (prefix, its length, bits of the number)
+STEPS = ((0b10, 2, 7), (0b110, 3, 9), (0b1110, 4, 12), (0b1111, 4, 32))
+LEADING_BITS, LENGTH_BITS, MOST_LEADING = 5, 6, 31
+
+
+class Bits:
+    """A string of bits, highest first, kept as one integer."""
+
+    def __init__(self, data: bytes = b""):
+        self.value, self.size, self.at = int.from_bytes(data, "big"), 8 * len(data), 0
+
+    def put(self, value: int, n: int) -> None:
+        self.value, self.size = self.value << n | value, self.size + n
+
+    def take(self, n: int) -> int:
+        self.at += n
+        if self.at > self.size:
+            raise ValueError("past the end")
+        return self.value >> self.size - self.at & (1 << n) - 1
+
+    def data(self) -> bytes:
+        pad = -self.size % 8
+        return (self.value << pad).to_bytes((self.size + pad) // 8, "big")
+
+
+def encode(times: list[int], values: list[float]) -> bytes:
+    bits, last_t, last_delta, last_v, window = Bits(), None, FIRST_DELTA, 0, None
+    for t, value in zip(times, values, strict=True):
+        if last_t is None:
+            bits.put(t, FIRST_BITS)
+        else:
+            change = t - last_t - last_delta
+            last_delta = t - last_t
+            if not change:
+                bits.put(0, 1)
+            else:
+                prefix, size, n = next(s for s in STEPS if -(1 << s[2] - 1) < change <= 1 << s[2] - 1)
+                bits.put(prefix, size)
+                bits.put(change + (1 << n - 1) - 1, n)
+        last_t = t
+        now = struct.unpack(">Q", struct.pack(">d", value))[0]
+        differ, last_v = now ^ last_v, now
+        if not differ:
+            bits.put(0, 1)
+            continue
+        lead, trail = min(64 - differ.bit_length(), MOST_LEADING), (differ & -differ).bit_length() - 1
+        length = 64 - lead - trail
+        bits.put(1, 1)
+        if window and lead >= window[0] and trail >= window[1] and 64 - window[0] - window[1] < LEADING_BITS + LENGTH_BITS + length:
+            bits.put(1, 1)
+            bits.put(differ >> window[1], 64 - window[0] - window[1])
+        else:
+            window = lead, trail
+            bits.put(0, 1)
+            bits.put(lead, LEADING_BITS)
+            bits.put(length - 1, LENGTH_BITS)
+            bits.put(differ >> trail, length)
+    return bits.data()
+
+
+def decode(data: bytes, count: int) -> list[tuple[int, float]]:
+    """What could be read before an error, if the block is damaged."""
+    bits, out, t, delta, value, window = Bits(data), [], None, FIRST_DELTA, 0, (0, 0)
+    try:
+        for _ in range(count):
+            if t is None:
+                t = bits.take(FIRST_BITS)
+            else:
+                ones = 0
+                while ones < 4 and bits.take(1):
+                    ones += 1
+                if ones:
+                    n = STEPS[ones - 1][2]
+                    delta += bits.take(n) - (1 << n - 1) + 1
+                t += delta
+            if bits.take(1):
+                if not bits.take(1):
+                    lead = bits.take(LEADING_BITS)
+                    window = lead, 64 - lead - bits.take(LENGTH_BITS) - 1
+                value ^= bits.take(64 - sum(window)) << window[1]
+            out.append((t, struct.unpack(">d", struct.pack(">Q", value))[0]))
+    except ValueError:
+        pass
+    return out
+
+
+def timestamp_bits(points: DataFrame) -> DataFrame:
+    """Bits that times take by series and bucket, without encoding them."""
+    by = Window.partitionBy("key_norm", "bucket").orderBy("unix_time", "arrival_seq")
+    deltas = points.select("key_norm", "bucket", F.row_number().over(by).alias("rn"), (F.col("unix_time") - F.lag("unix_time").over(by)).alias("delta"))
+    change = F.col("delta") - F.coalesce(F.lag("delta").over(Window.partitionBy("key_norm", "bucket").orderBy("rn")), F.lit(FIRST_DELTA))
+    sized = deltas.withColumn("dd", change)
+    bits = F.when(F.col("rn") == 1, FIRST_BITS).when(F.col("dd") == 0, 1)
+    for _, size, n in STEPS[:-1]:
+        bits = bits.when(F.col("dd").between(-(1 << n - 1) + 1, 1 << n - 1), size + n)
+    return sized.groupBy("key_norm", "bucket").agg(F.count("*").alias("n_points"), F.sum(bits.otherwise(STEPS[-1][1] + STEPS[-1][2])).alias("bits"))
+
+
+def encoded(points: DataFrame) -> DataFrame:
+    """(shard_id, bucket, key_norm, count, data): one block for each series and bucket; rows stream by in order."""
+    order = ["shard_id", "bucket", "key_norm", "unix_time", "arrival_seq"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, times, values = None, [], []
+
+        def block() -> list[tuple]:
+            return [(*group, len(times), encode(times, values))] if group else []
+
+        for rows in batches:
+            made: list[tuple] = []
+            for shard, bucket, key, t, v in rows[["shard_id", "bucket", "key_norm", "unix_time", "value"]].itertuples(index=False):
+                if (shard, bucket, key) != group:
+                    made += block()
+                    group, times, values = (shard, bucket, key), [], []
+                times.append(int(t))
+                values.append(float(v))
+            yield pd.DataFrame(made, columns=["shard_id", "bucket", "key_norm", "count", "data"])
+        yield pd.DataFrame(block(), columns=["shard_id", "bucket", "key_norm", "count", "data"])
+
+    dealt = points.select(*order, "value").repartition("shard_id", "bucket", "key_norm").sortWithinPartitions(*order)
+    return dealt.mapInPandas(run, "shard_id long, bucket long, key_norm string, count long, data binary")
+
+
+def decoded(blocks: DataFrame) -> DataFrame:
+    points = F.pandas_udf(lambda data, count: pd.Series([[{"unix_time": t, "value": v} for t, v in decode(d, n)] for d, n in zip(data, count, strict=True)], dtype=object), "array<struct<unix_time:bigint,value:double>>")
+    return blocks.select("key_norm", "bucket", F.explode(points("data", "count")).alias("p")).select("key_norm", "bucket", "p.unix_time", "p.value")
+
+
+def deduplicated(blocks: DataFrame) -> DataFrame:
+    """Adds block_id: blocks of a shard's bucket with the same bytes and count have the same one."""
+    return blocks.withColumn("block_id", F.sha2(F.concat(F.col("count").cast("string").cast("binary"), F.lit(":").cast("binary"), "data"), 256))

@@ -1,9 +1,323 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries over events, each with the same question in SQL where SQL can ask it."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from tidewell.functions import buckets, codec, keys
+from tidewell.operators import deviations, fold, ingest, lifecycle, read, render, replica, topology
+from tidewell.options import EVENTS as O
+from tidewell.options import NOW
+from tidewell.sources.events import as_points, read_events, replicas
+from tidewell.streaming import ingest as streaming
+
+Query = Callable[[SparkSession, str], DataFrame]
+BEGIN, END = 1704672000, 1705708800  # 2024-01-08 and 2024-01-20
+HOSTS = ["host-a", "host-b", "host-c"]
+_ALL: dict[str, tuple[Query, str | None]] = {}
+
+BASE = f"""
+p0 AS (SELECT event_id AS arrival_seq, event_type, user_id, event_type || ':' || user_id AS key, floor(epoch(ts))::BIGINT AS unix_time, value,
+  CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 WHEN 'login' THEN 5 ELSE 0 END::BIGINT AS category_id FROM events),
+p1 AS (SELECT *, lower(key) AS key_norm, ('0x' || substr(md5('0:' || lower(key)), 1, 8))::BIGINT % {O.shards} AS shard_id FROM p0),
+points AS (SELECT *, CASE WHEN unix_time < shard_id * {O.window} // {O.shards} THEN 0 ELSE (unix_time - shard_id * {O.window} // {O.shards}) // {O.window} END::BIGINT AS bucket FROM p1)"""
+SERIES = """
+cat0 AS (SELECT shard_id, key_norm, min(arrival_seq) AS first_seq, arg_min(key, arrival_seq) AS key, arg_max(category_id, arrival_seq) AS category_id, min(unix_time) AS first_time,
+  max(unix_time) AS last_time, min(bucket) AS min_bucket, max(bucket) AS max_bucket, count(*) AS n_points FROM points GROUP BY shard_id, key_norm),
+catalogue AS (SELECT *, row_number() OVER (PARTITION BY shard_id ORDER BY first_seq) - 1 AS series_id FROM cat0)"""
+COPIES = """
+copies AS (SELECT p.* REPLACE (unix_time + (s = 1)::BIGINT AS unix_time, value * CASE WHEN s = 2 THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END AS value), s::BIGINT AS service_id
+  FROM points p, (VALUES (0), (1), (2)) v(s) WHERE (s = 0 AND arrival_seq % 3 <> 0) OR (s = 1 AND arrival_seq % 3 <> 1) OR (s = 2 AND arrival_seq % 5 <> 0))"""
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _ALL[name] = f, sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in _ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, sql) in _ALL.items() if sql}
+
+
+def points_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_points(read_events(spark, sf_dir), O)
+
+
+@query("q_wn01_bucket_functions", f"""WITH {BASE}, o AS (SELECT *, shard_id * {O.window} // {O.shards} AS off FROM points)
+SELECT arrival_seq, shard_id, bucket, bucket * {O.window} + off AS start_time, (unix_time - off) // {O.window} * {O.window} + off AS floor_time,
+  CASE WHEN unix_time <= off THEN off ELSE ((unix_time - 1 - off) // {O.window} + 1) * {O.window} + off END AS ceil_time, unix_time // {O.window} AS aligned_bucket,
+  unix_time - unix_time % {O.window} AS aligned_floor, unix_time % {O.window} = 0 AS is_aligned, 3 * {O.window}::BIGINT AS three_buckets, unix_time // {O.window} AS buckets_in FROM o""")
+def bucket_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, s = F.col("unix_time"), F.col("shard_id")
+    return points_of(spark, sf_dir).select("arrival_seq", "shard_id", "bucket", buckets.bucket_start(F.col("bucket"), s, O).alias("start_time"), buckets.floor_time(t, s, O).alias("floor_time"), buckets.ceil_time(t, s, O).alias("ceil_time"), buckets.aligned_bucket(t, O).alias("aligned_bucket"), buckets.aligned_floor(t, O).alias("aligned_floor"), buckets.is_aligned(t, O).alias("is_aligned"), buckets.duration(F.lit(3).cast("long"), O).alias("three_buckets"), buckets.buckets_in(t, O).alias("buckets_in"))
+
+
+@query("q_sc01_get_data", f"""WITH {BASE}, k AS (SELECT DISTINCT key_norm FROM points), r AS (SELECT upper(key_norm) AS key, key_norm, true AS known FROM k UNION ALL SELECT upper('no-' || key_norm), 'no-' || key_norm, false FROM k)
+SELECT r.key AS request_idx, r.key, CASE WHEN known THEN 0 ELSE 3 END::BIGINT AS status, p.unix_time, p.value FROM r LEFT JOIN points p ON p.key_norm = r.key_norm AND p.unix_time BETWEEN {BEGIN} AND {END}""")
+def get_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = points_of(spark, sf_dir)
+    known = points.select("key_norm").distinct()
+    asked = known.select(F.upper("key_norm").alias("key")).unionByName(known.select(F.upper(F.concat(F.lit("no-"), "key_norm")).alias("key")))
+    return read.get_data(points, asked.withColumn("request_idx", F.col("key")), BEGIN, END, O)
+
+
+@query("q_sc02_scan_shards", f"""WITH {BASE}, b AS (SELECT *, shard_id * {O.window} // {O.shards} AS off FROM points)
+SELECT shard_id, key_norm, count(*) AS n_points, min(unix_time) AS first_time, max(unix_time) AS last_time, count(DISTINCT bucket) AS n_blocks, ('0x' || substr(md5('1:' || key_norm), 1, 8))::BIGINT % 4 AS subshard
+FROM b WHERE bucket BETWEEN ({BEGIN} - off) // {O.window} AND ({END} - off) // {O.window} GROUP BY shard_id, key_norm""")
+def scan_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.scan_shards(points_of(spark, sf_dir), BEGIN, END, 4, O)
+
+
+@query("q_sc03_page", f"""WITH {BASE}, {SERIES}, s AS (SELECT shard_id, max(series_id) + 1 AS slots FROM catalogue GROUP BY shard_id)
+SELECT shard_id, series_id, key, 15 < slots AS more FROM catalogue JOIN s USING (shard_id) WHERE series_id BETWEEN 5 AND 14""")
+def page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.page(read.series(points_of(spark, sf_dir)), 5, 10).select("shard_id", "series_id", "key", "more")
+
+
+@query("q_sc04_last_updates", f"WITH {BASE}, {SERIES} SELECT shard_id, key_norm, category_id, last_time AS update_time FROM catalogue WHERE last_time >= {END}")
+def last_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.last_updates(read.series(points_of(spark, sf_dir)), END)
+
+
+@query("q_sc05_series", f"WITH {BASE}, {SERIES} SELECT * FROM catalogue")
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.series(points_of(spark, sf_dir))
+
+
+@query("q_fl03_blacklist", f"""WITH {BASE}, f AS (SELECT *, row_number() OVER (PARTITION BY key_norm, bucket ORDER BY unix_time, arrival_seq) AS rn FROM points)
+SELECT arrival_seq, key_norm, unix_time FROM f WHERE NOT unix_time BETWEEN {BEGIN} AND {END} OR rn = 1""")
+def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.without_blacklist(points_of(spark, sf_dir), BEGIN, END).select("arrival_seq", "key_norm", "unix_time")
+
+
+@query("q_fl04_repair", f"WITH {BASE} SELECT arrival_seq, CASE WHEN unix_time = 0 OR unix_time < {NOW} - {O.behind} OR unix_time > {NOW} + {O.ahead} THEN {NOW} ELSE unix_time END::BIGINT AS unix_time FROM points")
+def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points_of(spark, sf_dir).select("arrival_seq", ingest.repaired(F.col("unix_time"), NOW, O).alias("unix_time"))
+
+
+@query("q_wn14_thinning", f"""WITH RECURSIVE {BASE}, r AS (SELECT arrival_seq, event_type, unix_time, row_number() OVER (PARTITION BY event_type ORDER BY unix_time, arrival_seq) AS rn FROM points),
+g AS (SELECT *, unix_time AS last, true AS keep FROM r WHERE rn = 1 UNION ALL
+  SELECT r.*, CASE WHEN r.unix_time - g.last >= 600 THEN r.unix_time ELSE g.last END, r.unix_time - g.last >= 600 FROM g JOIN r ON r.event_type = g.event_type AND r.rn = g.rn + 1)
+SELECT arrival_seq, event_type, unix_time FROM g WHERE keep""")
+def thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense series: all events of a type, at least ten minutes apart."""
+    points = points_of(spark, sf_dir).withColumn("bucket", buckets.aligned_bucket(F.col("unix_time"), O)).select("arrival_seq", "event_type", "bucket", "unix_time")
+    return fold.thinned(points, ["event_type"], 600, "arrival_seq").select("arrival_seq", "event_type", "unix_time")
+
+
+_FATES = f"""WITH RECURSIVE {BASE}, f AS (SELECT arrival_seq, key_norm, shard_id, category_id, value, CASE WHEN unix_time = 0 OR unix_time < {NOW} - {O.behind} OR unix_time > {NOW} + {O.ahead} THEN {NOW} ELSE unix_time END::BIGINT AS t FROM points),
+r AS (SELECT *, (t - shard_id * {O.window} // {O.shards}) // {O.window} AS b, row_number() OVER (PARTITION BY key_norm ORDER BY arrival_seq) AS rn FROM f),
+g AS (SELECT *, t AS last, b AS now, 'accepted' AS fate FROM r WHERE rn = 1 UNION ALL
+  SELECT r.*, CASE WHEN r.b < g.now OR r.t - g.last < {O.min_delta} THEN g.last ELSE r.t END, greatest(g.now, r.b), CASE WHEN r.b < g.now THEN 'old_bucket' WHEN r.t - g.last < {O.min_delta} THEN 'spam' ELSE 'accepted' END
+  FROM g JOIN r ON r.key_norm = g.key_norm AND r.rn = g.rn + 1)"""
+
+
+@query("q_sk01_ingest", _FATES + " SELECT arrival_seq, key_norm, t AS unix_time, b AS bucket, fate FROM g")
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.ingested(points_of(spark, sf_dir), NOW, O).select("arrival_seq", "key_norm", "unix_time", "bucket", "fate")
+
+
+@query("q_ag05_categories", _FATES + " SELECT key_norm, arg_max(category_id, arrival_seq) AS category_id, count(*) AS n_accepted FROM g WHERE fate = 'accepted' GROUP BY key_norm")
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = ingest.ingested(points_of(spark, sf_dir), NOW, O).where("fate = 'accepted'")
+    return kept.groupBy("key_norm").agg(F.max_by("category_id", "arrival_seq").alias("category_id"), F.count("*").alias("n_accepted"))
+
+
+@query("q_st02_stream_ingest", _FATES + " SELECT arrival_seq, key_norm, t AS unix_time, b AS bucket, fate FROM g")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream with keyed state, over all files that are there."""
+    return streaming.ingested(spark, sf_dir, NOW, O).select("arrival_seq", "key_norm", "unix_time", "bucket", "fate")
+
+
+def _greedy(name: str, rows: str, delta: int) -> str:
+    return f"""{name}r AS (SELECT *, row_number() OVER (PARTITION BY key_norm ORDER BY unix_time, rank, arrival_seq) AS rn FROM ({rows})),
+{name}g AS (SELECT *, unix_time AS last, true AS keep FROM {name}r WHERE rn = 1 UNION ALL
+  SELECT r.*, CASE WHEN r.unix_time - g.last >= {delta} THEN r.unix_time ELSE g.last END, r.unix_time - g.last >= {delta} FROM {name}g g JOIN {name}r r ON r.key_norm = g.key_norm AND r.rn = g.rn + 1),
+{name} AS (SELECT key_norm, unix_time, value, arrival_seq FROM {name}g WHERE keep)"""
+
+
+@query("q_jn05_replica_merge", f"""WITH RECURSIVE {BASE}, {COPIES}, d AS (SELECT *, dense_rank() OVER (PARTITION BY key_norm ORDER BY service_id) AS c FROM copies), m AS (SELECT key_norm, max(c) AS n FROM d GROUP BY key_norm),
+{_greedy("two", "SELECT key_norm, unix_time, value, arrival_seq, c AS rank FROM d JOIN m USING (key_norm) WHERE n > 1 AND c <= 2", O.min_delta)},
+{_greedy("three", "SELECT *, 1 AS rank FROM two UNION ALL SELECT key_norm, unix_time, value, arrival_seq, 2 AS rank FROM d WHERE c = 3", O.min_delta)}
+SELECT key_norm, unix_time, value FROM three UNION ALL SELECT key_norm, unix_time, value FROM d JOIN m USING (key_norm) WHERE n = 1""")
+def replica_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.merged(replicas(points_of(spark, sf_dir)), O.min_delta, O.epsilon).select("key_norm", "unix_time", "value")
+
+
+@query("q_wn15_mismatches")
+def mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.merged(replicas(points_of(spark, sf_dir)), O.min_delta, O.epsilon).groupBy("key_norm").agg(F.sum("mismatches").alias("mismatches"), F.count("*").alias("n_points"))
+
+
+@query("q_jn06_presence", f"WITH {BASE}, {COPIES} SELECT key_norm, bit_or((1 << service_id::INT)::BIGINT) AS mask, 3 - bit_count(bit_or((1 << service_id::INT)::BIGINT))::BIGINT AS missing FROM copies GROUP BY key_norm")
+def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replica.presence(replicas(points_of(spark, sf_dir)), 3)
+
+
+@query("q_ag07_missing_by_services", f"WITH {BASE}, {COPIES}, m AS (SELECT key_norm, 3 - count(DISTINCT service_id) AS missing FROM copies GROUP BY key_norm) SELECT missing, count(*) AS n_keys FROM m GROUP BY missing")
+def missing_by_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replica.by_missing_services(replicas(points_of(spark, sf_dir)), 3)
+
+
+@query("q_ag08_missing_points", f"""WITH {BASE}, {COPIES}, u AS (SELECT DISTINCT key_norm, arrival_seq FROM copies), s AS (SELECT unnest([0, 1, 2])::INT AS service_id)
+SELECT s.service_id, count(*) AS missing FROM u, s WHERE NOT EXISTS (SELECT 1 FROM copies c WHERE c.arrival_seq = u.arrival_seq AND c.service_id = s.service_id) GROUP BY s.service_id""")
+def missing_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replica.missing_points(replicas(points_of(spark, sf_dir)), 3)
+
+
+def _complete(copies: DataFrame) -> DataFrame:
+    """A copy is complete if it has a point in each bucket in which any copy has one."""
+    want = copies.groupBy("key_norm").agg(F.count_distinct("bucket").alias("want"))
+    return copies.groupBy("key_norm", "service_id").agg(F.count_distinct("bucket").alias("has")).join(want, "key_norm").select("service_id", "key_norm", (F.col("has") == F.col("want")).alias("complete"))
+
+
+_COMPLETE = f"""WITH {BASE}, {COPIES}, w AS (SELECT key_norm, count(DISTINCT bucket) AS want FROM copies GROUP BY key_norm),
+complete AS (SELECT key_norm, service_id, count(DISTINCT bucket) = any_value(want) AS complete FROM copies JOIN w USING (key_norm) GROUP BY key_norm, service_id)"""
+
+
+@query("q_rd02_failover", _COMPLETE + """, o AS (SELECT *, row_number() OVER (PARTITION BY key_norm ORDER BY complete DESC, CASE WHEN complete THEN service_id ELSE -service_id END) AS rn FROM complete)
+SELECT c.key_norm, c.service_id, o.complete, c.unix_time, c.value FROM copies c JOIN o ON o.key_norm = c.key_norm AND o.service_id = c.service_id AND rn = 1""")
+def failover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copies = replicas(points_of(spark, sf_dir))
+    return replica.failover(copies, _complete(copies)).select("key_norm", "service_id", "complete", "unix_time", "value")
+
+
+@query("q_ag11_completeness", _COMPLETE + " SELECT key_norm, sum(complete::BIGINT)::BIGINT AS n_complete FROM complete GROUP BY key_norm")
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replica.completeness(_complete(replicas(points_of(spark, sf_dir))))
+
+
+_DEVIATING = f"""WITH {BASE}, u AS (SELECT * FROM points WHERE unix_time BETWEEN {BEGIN} AND {END}), s AS (SELECT key_norm, avg(value) AS mean, stddev_pop(value) AS sigma FROM u GROUP BY key_norm HAVING stddev_pop(value) > 0),
+found AS (SELECT u.*, mean, sigma FROM u JOIN s USING (key_norm) WHERE unix_time >= {BEGIN + 86400} AND abs(value - mean) >= 1.7 * sigma)"""
+
+
+@query("q_wn11_deviations", _DEVIATING + " SELECT arrival_seq, key_norm, round(mean, 6) AS mean, round(sigma, 6) AS sigma FROM found")
+def deviating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = deviations.deviating(points_of(spark, sf_dir), BEGIN, BEGIN + 86400, END, 1.7)
+    return found.select("arrival_seq", "key_norm", F.round("mean", 6).alias("mean"), F.round("sigma", 6).alias("sigma"))
+
+
+@query("q_wn12_minute_slots", _DEVIATING + f" SELECT unix_time // 60 % {O.buckets * O.window // 60} AS minute_slot, key_norm, count(*) AS n FROM found GROUP BY ALL")
+def minute_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deviations.minute_slots(deviations.deviating(points_of(spark, sf_dir), BEGIN, BEGIN + 86400, END, 1.7), O)
+
+
+@query("q_wn13_retention", f"WITH {BASE}, n AS (SELECT key_norm, max(bucket) AS now FROM points GROUP BY key_norm) SELECT arrival_seq, key_norm, bucket FROM points JOIN n USING (key_norm) WHERE bucket >= now - {O.buckets}")
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.retained(points_of(spark, sf_dir), O).select("arrival_seq", "key_norm", "bucket")
+
+
+@query("q_st11_heat", f"""WITH {BASE}, n AS (SELECT key_norm, max(bucket) AS current FROM points GROUP BY key_norm), a AS (SELECT key_norm, max(bucket) AS asked FROM points WHERE value > 100 GROUP BY key_norm)
+SELECT key_norm, CASE WHEN asked IS NULL THEN 255 ELSE least(255, greatest(0, current - asked)) END::BIGINT AS queried_ago, asked IS NOT NULL AND least(255, greatest(0, current - asked)) <= {86400 // O.window} AND least(255, greatest(0, current - asked)) <> 255 AS recent FROM n LEFT JOIN a USING (key_norm)""")
+def heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of more than 100 stand for reads."""
+    points = points_of(spark, sf_dir)
+    return read.heat(points, points.where("value > 100")).withColumn("recent", read.recently_queried(F.col("queried_ago"), O))
+
+
+@query("q_st08_finalized", f"""WITH {BASE}, f AS (SELECT *, ({NOW} - {O.behind} - 60 - {O.window} - shard_id * {O.window} // {O.shards}) // {O.window} AS final FROM points)
+SELECT shard_id, bucket, count(*) AS n_points, count(DISTINCT key_norm) AS n_series FROM f WHERE bucket <= final GROUP BY shard_id, bucket""")
+def finalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    final = lifecycle.last_finalized(F.lit(NOW).cast("long"), F.col("shard_id"), O)
+    return points_of(spark, sf_dir).where(F.col("bucket") <= final).groupBy("shard_id", "bucket").agg(F.count("*").alias("n_points"), F.count_distinct("key_norm").alias("n_series"))
+
+
+@query("q_st15_log_gaps", f"""WITH {BASE}, g AS (SELECT shard_id, unix_time, unix_time - max(unix_time) OVER (PARTITION BY shard_id ORDER BY unix_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM points)
+SELECT shard_id, count(*) AS n_gaps, max(unix_time) AS reliable_start FROM g WHERE gap > {O.missing_logs_threshold} GROUP BY shard_id""")
+def log_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.log_gaps(points_of(spark, sf_dir), O.missing_logs_threshold)
+
+
+@query("q_st16_block_holes", f"""WITH {BASE}, b AS (SELECT DISTINCT shard_id, bucket FROM points), l AS (SELECT *, bucket - lag(bucket) OVER (PARTITION BY shard_id ORDER BY bucket) AS step FROM b)
+SELECT shard_id, count(*) FILTER (step > 1) AS n_holes, count(*) AS n_blocks FROM l GROUP BY shard_id""")
+def block_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.block_holes(points_of(spark, sf_dir))
+
+
+@query("q_ag10_purge", f"WITH {BASE}, {SERIES} SELECT category_id, count(*) AS n_purged FROM catalogue WHERE max_bucket < {1706659200 // O.window} - {O.buckets} GROUP BY category_id")
+def purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.purged(read.series(points_of(spark, sf_dir)), 1706659200 // O.window, O)
+
+
+_LOG = f"""WITH {BASE}, a AS (SELECT shard_id, key_norm, min(arrival_seq) AS sequence, arg_min(category_id, arrival_seq) AS category_id, min(unix_time) AS first_time, max(arrival_seq) AS last, max(value) AS top, arg_max(value, arrival_seq) AS fin FROM points GROUP BY ALL),
+log AS (SELECT shard_id, key_norm, sequence, category_id, first_time, 'append' AS op FROM a UNION ALL SELECT shard_id, key_norm, last + 1, category_id, first_time, 'delete' FROM a WHERE fin = top)"""
+
+
+@query("q_sk12_key_log", _LOG + " SELECT * FROM log")
+def key_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.key_log(points_of(spark, sf_dir))
+
+
+@query("q_lc01_current_keys", _LOG + " SELECT shard_id, key_norm, category_id, first_time FROM log QUALIFY row_number() OVER (PARTITION BY shard_id, key_norm ORDER BY sequence DESC) = 1 AND op <> 'delete'")
+def current_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.current_keys(lifecycle.key_log(points_of(spark, sf_dir)))
+
+
+@query("q_lc06_consistency", f"WITH {BASE} SELECT shard_id, count(DISTINCT key_norm) AS n_keys, count(DISTINCT key) AS n_spellings FROM points GROUP BY shard_id")
+def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points_of(spark, sf_dir).groupBy("shard_id").agg(F.count_distinct("key_norm").alias("n_keys"), F.count_distinct("key").alias("n_spellings"))
+
+
+@query("q_jn07_hosts", f"""WITH {BASE}, t AS (SELECT DISTINCT shard_id, ['host-a', 'host-b', 'host-c'][shard_id % 3 + 1] AS host FROM points)
+SELECT host, count(DISTINCT p.shard_id) AS n_shards, count(DISTINCT key_norm) AS n_keys, count(*) AS n_points FROM points p JOIN t USING (shard_id) GROUP BY host""")
+def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = points_of(spark, sf_dir)
+    made = topology.generated(points.select("shard_id").distinct(), HOSTS, 9999, "s0")
+    return points.join(made, "shard_id").groupBy("host").agg(F.count_distinct("shard_id").alias("n_shards"), F.count_distinct("key_norm").alias("n_keys"), F.count("*").alias("n_points"))
+
+
+@query("q_lc17_shards_of_hosts", f"WITH {BASE}, t AS (SELECT DISTINCT shard_id FROM points) SELECT 's0' AS service_name, ['host-a', 'host-b', 'host-c'][shard_id % 3 + 1] AS host, 9999::BIGINT AS port, string_agg(shard_id, ',' ORDER BY shard_id) AS shards FROM t GROUP BY ALL")
+def shards_of_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = topology.generated(points_of(spark, sf_dir).select("shard_id").distinct(), HOSTS, 9999, "s0")
+    return topology.shards_of_hosts(made).withColumn("shards", F.array_join("shards", ","))
+
+
+@query("q_fn05_scalars", f"""WITH {BASE} SELECT arrival_seq, floor(epoch(date_trunc('second', ts)))::BIGINT AS iso_seconds, len(list_filter(list_transform(string_split(points.event_type || ' , ,' || points.user_id, ','), lambda x: trim(x)), lambda x: x <> '')) AS n_names,
+  ('0x' || substr(md5('1:' || key_norm), 1, 8))::BIGINT % 7 AS subshard, octet_length(key::BLOB) AS key_bytes FROM points JOIN events ON event_id = arrival_seq""")
+def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = as_points(read_events(spark, sf_dir), O).join(read_events(spark, sf_dir).select(F.col("event_id").alias("arrival_seq"), F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("iso")), "arrival_seq")
+    names = keys.names_in(F.concat("event_type", F.lit(" , ,"), F.col("user_id").cast("string")))
+    return points.select("arrival_seq", keys.iso_seconds(F.col("iso")).alias("iso_seconds"), F.size(names).cast("long").alias("n_names"), keys.subshard_of(F.col("key_norm"), 7).alias("subshard"), F.octet_length("key").cast("long").alias("key_bytes"))
+
+
+@query("q_sk20_tsv", f"WITH {BASE} SELECT key, key || chr(9) || trunc(value)::BIGINT || chr(9) || unix_time AS line FROM points")
+def tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.tsv(points_of(spark, sf_dir))
+
+
+@query("q_sk19_json", f"""WITH {BASE}, t AS (SELECT DISTINCT key AS target FROM points UNION SELECT DISTINCT upper(key) FROM points), l AS (SELECT key, string_agg('[' || trunc(value)::BIGINT || ',' || unix_time * 1000 || ']', ',' ORDER BY unix_time, value) AS p FROM points GROUP BY key)
+SELECT target, '{{"target":"' || target || '","datapoints":[' || coalesce(p, '') || ']}}' AS response FROM t LEFT JOIN l ON l.key = t.target""")
+def json_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = points_of(spark, sf_dir)
+    targets = points.select(F.col("key").alias("target")).unionByName(points.select(F.upper("key").alias("target"))).distinct()
+    return render.json_series(points.withColumn("value", F.col("value").cast("long").cast("double")), targets)
+
+
+@query("q_cd01_timestamp_bits", f"""WITH {BASE}, d AS (SELECT key_norm, bucket, unix_time, row_number() OVER w AS rn, unix_time - lag(unix_time) OVER w AS delta FROM points WINDOW w AS (PARTITION BY key_norm, bucket ORDER BY unix_time, arrival_seq)),
+e AS (SELECT *, delta - coalesce(lag(delta) OVER (PARTITION BY key_norm, bucket ORDER BY rn), 60) AS dd FROM d)
+SELECT key_norm, bucket, count(*) AS n_points, sum(CASE WHEN rn = 1 THEN 31 WHEN dd = 0 THEN 1 WHEN dd BETWEEN -63 AND 64 THEN 9 WHEN dd BETWEEN -255 AND 256 THEN 12 WHEN dd BETWEEN -2047 AND 2048 THEN 16 ELSE 36 END)::BIGINT AS bits FROM e GROUP BY key_norm, bucket""")
+def timestamp_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.timestamp_bits(points_of(spark, sf_dir))
+
+
+@query("q_cd02_round_trip", f"WITH {BASE} SELECT key_norm, bucket, unix_time, value FROM points")
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points to compressed blocks and back."""
+    return codec.decoded(codec.encoded(points_of(spark, sf_dir)))
+
+
+@query("q_sk06_blocks")
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block sizes against 16 bytes a point, with equal blocks of a shard's bucket sharing an id."""
+    made = codec.deduplicated(codec.encoded(points_of(spark, sf_dir)))
+    return made.groupBy("shard_id", "bucket").agg(F.count("*").alias("n_series"), F.count_distinct("block_id").alias("n_blocks"), F.sum("count").alias("n_points"), F.sum(F.octet_length("data")).alias("n_bytes"))
