@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tidewell.functions import buckets
 from tidewell.options import Options
 
-STATES = ("UNOWNED", "PRE_OWNED", "READING_KEYS", "READING_KEYS_DONE", "READING_LOGS", "PROCESSING_QUEUED_DATA_POINTS", "READING_BLOCK_DATA", "OWNED", "PRE_UNOWNED")
+# The states in their order.
+STATES = ("PRE_UNOWNED", "UNOWNED", "PRE_OWNED", "READING_KEYS", "READING_KEYS_DONE", "READING_LOGS", "PROCESSING_QUEUED_DATA_POINTS", "READING_BLOCK_DATA", "OWNED")
 
 
 def may_move(old: str, new: str) -> bool:
     """Upward only, except that an owned shard may prepare to be given up."""
-    return STATES.index(new) > STATES.index(old) or (old, new) == ("PRE_UNOWNED", "OWNED")
+    return STATES.index(new) > STATES.index(old) or (old, new) == ("OWNED", "PRE_UNOWNED")
 
 
 def retained(points: DataFrame, o: Options) -> DataFrame:
