@@ -129,9 +129,8 @@ def sampled(rows: DataFrame, group: str, quota: int, key: str = "doc_id") -> Dat
 def train(docs: DataFrame, per_language: int = 500, margin: float = 0.05) -> Model | None:
     """From docs(doc_id, text, lang): rows with a label and a letter."""
     rows = sampled(docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text"), "lang", per_language)
-    got = rows.select("text", "lang").toPandas()
-    got = got[got["text"].map(lambda x: bool(_LETTER.search(x)))]
-    return fit(got["text"].tolist(), got["lang"].tolist(), margin)
+    got = [(r["text"], r["lang"]) for r in rows.select("text", "lang").collect() if _LETTER.search(r["text"])]
+    return fit([t for t, _ in got], [a for _, a in got], margin)
 
 
 PREDICTED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
