@@ -68,3 +68,23 @@ def current_keys(log: DataFrame) -> DataFrame:
 def duplicate_keys(log: DataFrame) -> DataFrame:
     """Consistency: keys appended more than once without a deletion between, none if the log is sound."""
     return log.where("op = 'append'").groupBy("shard_id", "key_norm").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def replayed(wal: DataFrame, window: int) -> DataFrame:
+    """Records of wal(shard_id, file_time, pos, unix_time) up to the first of each file beyond the file's bucket, whose
+    end still counts. Damage is one row for each file, so no file is sorted as a whole."""
+    bad = ~F.col("unix_time").between(F.col("file_time"), F.col("file_time") + window)
+    first = wal.where(bad).groupBy("shard_id", "file_time").agg(F.min("pos").alias("_bad"))
+    return wal.join(first, ["shard_id", "file_time"], "left").where(F.col("_bad").isNull() | (F.col("pos") < F.col("_bad"))).drop("_bad")
+
+
+def reconciled(owned: DataFrame, desired: DataFrame) -> DataFrame:
+    """(shard_id, action): what turns the owned shards into the desired ones."""
+    both = owned.select("shard_id", F.lit(True).alias("has")).join(desired.select("shard_id", F.lit(True).alias("wants")), "shard_id", "full")
+    return both.select("shard_id", F.when(F.col("has").isNull(), "add").when(F.col("wants").isNull(), "drop").otherwise("keep").alias("action"))
+
+
+def matched_blocks(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """By shard how many blocks belong to a known series and how many are dropped: blocks(shard_id, key_norm)."""
+    marked = blocks.join(known.select("key_norm").distinct().withColumn("_known", F.lit(True)), "key_norm", "left")
+    return marked.groupBy("shard_id").agg(F.count("_known").alias("n_known"), F.count(F.when(F.col("_known").isNull(), 1)).alias("n_unknown"))

@@ -321,3 +321,29 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block sizes against 16 bytes a point, with equal blocks of a shard's bucket sharing an id."""
     made = codec.deduplicated(codec.encoded(points_of(spark, sf_dir)))
     return made.groupBy("shard_id", "bucket").agg(F.count("*").alias("n_series"), F.count_distinct("block_id").alias("n_blocks"), F.sum("count").alias("n_points"), F.sum(F.octet_length("data")).alias("n_bytes"))
+
+
+@query("q_sc13_wal_replay", f"""WITH {BASE}, w AS (SELECT shard_id, unix_time // {O.window} * {O.window} AS file_time, arrival_seq AS pos, unix_time + CASE WHEN arrival_seq % 97 = 0 THEN {2 * O.window} ELSE 0 END AS t FROM points),
+r AS (SELECT *, bool_or(t NOT BETWEEN file_time AND file_time + {O.window}) OVER (PARTITION BY shard_id, file_time ORDER BY pos) AS bad FROM w)
+SELECT shard_id, file_time, pos FROM r WHERE NOT bad""")
+def wal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each shard and aligned bucket; every 97th record is damaged."""
+    points = points_of(spark, sf_dir)
+    damaged = F.col("unix_time") + F.when(F.col("arrival_seq") % 97 == 0, 2 * O.window).otherwise(0)
+    wal = points.select("shard_id", buckets.aligned_floor(F.col("unix_time"), O).alias("file_time"), F.col("arrival_seq").alias("pos"), damaged.alias("unix_time"))
+    return lifecycle.replayed(wal, O.window).select("shard_id", "file_time", "pos")
+
+
+@query("q_lc11_reconcile", f"""WITH {BASE}, o AS (SELECT DISTINCT shard_id FROM points WHERE bucket % 3 = 0 AND event_type = 'click' AND value > 150), d AS (SELECT DISTINCT shard_id FROM points WHERE event_type = 'purchase' AND value > 150)
+SELECT coalesce(o.shard_id, d.shard_id) AS shard_id, CASE WHEN o.shard_id IS NULL THEN 'add' WHEN d.shard_id IS NULL THEN 'drop' ELSE 'keep' END AS action FROM o FULL JOIN d ON o.shard_id = d.shard_id""")
+def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards with large clicks stand for owned ones, those with large purchases for desired ones."""
+    points = points_of(spark, sf_dir)
+    return lifecycle.reconciled(points.where("bucket % 3 = 0 AND event_type = 'click' AND value > 150").select("shard_id").distinct(), points.where("event_type = 'purchase' AND value > 150").select("shard_id").distinct())
+
+
+@query("q_jn03_blocks_of_series", _LOG + ", k AS (SELECT key_norm FROM log QUALIFY row_number() OVER (PARTITION BY shard_id, key_norm ORDER BY sequence DESC) = 1 AND op <> 'delete'), b AS (SELECT DISTINCT shard_id, bucket, key_norm FROM points) SELECT shard_id, count(k.key_norm) AS n_known, count(*) - count(k.key_norm) AS n_unknown FROM b LEFT JOIN k USING (key_norm) GROUP BY shard_id")
+def blocks_of_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks against the catalogue that the key log gives."""
+    points = points_of(spark, sf_dir)
+    return lifecycle.matched_blocks(points.select("shard_id", "bucket", "key_norm").distinct(), lifecycle.current_keys(lifecycle.key_log(points)))
