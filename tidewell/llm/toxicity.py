@@ -48,11 +48,23 @@ def markers(text: str) -> set[str]:
     return {"=" + w for w in found} | {s + "-" for s in starts} | {s + "+" for s, n in starts.items() if n > 1}
 
 
-def votes(text: str, voters: dict[str, int]) -> list[int]:
+class Voters(dict):
+    """Voters and their numbers, and what their beginnings are, by length."""
+
+    def __init__(self, names: list[str]):
+        super().__init__((k, i) for i, k in enumerate(names))
+        starts = {k[:-1] for k in names if k[-1] in "-+"}
+        self.starts = [(n, frozenset(s for s in starts if len(s) == n)) for n in sorted({len(s) for s in starts})]
+
+    def __reduce__(self):
+        return Voters, ([*self],)
+
+
+def votes(text: str, voters: Voters) -> list[int]:
     """The numbers of the voters that say toxic."""
     seen = words(text)
     found = {voters[k] for w in seen if (k := "=" + w) in voters}
-    starts = Counter(w[:n] for n in {len(k) - 1 for k in voters if k[-1] in "-+"} for w in seen if len(w) > n and (w[:n] + "-" in voters or w[:n] + "+" in voters))
+    starts = Counter(w[:n] for n, known in voters.starts for w in seen if len(w) > n and w[:n] in known)
     found |= {voters[k] for s, n in starts.items() for k in (s + "-", s + "+") if k in voters and (n > 1 or k[-1] == "-")}
     return sorted(found | {voters[k] for k, p in _PATTERNS.items() if k in voters and p.search(text)})
 
@@ -120,7 +132,7 @@ def label_model(n: int, ones: np.ndarray, both: np.ndarray, prior: float) -> Lab
     return LabelModel(prior, hit, noise, correlation, np.clip(weights, 0, 8))
 
 
-def count_votes(docs: DataFrame, voters: dict[str, int]) -> tuple[int, np.ndarray, np.ndarray]:
+def count_votes(docs: DataFrame, voters: Voters) -> tuple[int, np.ndarray, np.ndarray]:
     """One pass over all documents; each task gives one row of sums, whose size is the voters' number squared."""
     size = len(voters)
 
@@ -144,7 +156,7 @@ def count_votes(docs: DataFrame, voters: dict[str, int]) -> tuple[int, np.ndarra
 
 @dataclass(frozen=True)
 class Scorer:
-    voters: dict[str, int]
+    voters: Voters
     weights: np.ndarray
     bias: float
 
@@ -152,7 +164,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[votes(text, self.voters)].sum(), -30, 30))))
 
 
-def fit(rows: list[tuple[str, int]], voters: dict[str, int], model: LabelModel, steps: int = 25) -> Scorer:
+def fit(rows: list[tuple[str, int]], voters: Voters, model: LabelModel, steps: int = 25) -> Scorer:
     """A ridge logistic regression on the mean of posterior and label, by Newton's steps."""
     x = np.zeros((len(rows), len(voters)), np.float64)
     for i, (text, _) in enumerate(rows):
@@ -180,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, quota: int = 3000, most_voters: in
     learned = rows.toPandas()
     small = spark.createDataFrame(learned, "text string, toxic int") if len(learned) else rows
     names = [*dict.fromkeys([*("=" + w for w in LEXICON), *PATTERNS, *mine(small, most_voters=most_voters)])]
-    voters = {k: i for i, k in enumerate(names)}
+    voters = Voters(names)
     model = label_model(*count_votes(docs, voters), prior)
     return fit([*zip(learned["text"], learned["toxic"], strict=True)], voters, model)
 
