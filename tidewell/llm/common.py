@@ -30,9 +30,16 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}-{len(self.paths)}"
-        df.write.option("compression", "zstd").parquet(path)
+    def write(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """batch: rows that Python gets at once while this table is made, where rows are large."""
+        path, key = f"{self.base}/{name}-{len(self.paths)}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        if batch:
+            self.spark.conf.set(key, str(batch))
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

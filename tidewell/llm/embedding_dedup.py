@@ -91,7 +91,7 @@ def linked(vectors: DataFrame, cosine: float = 0.98, leading: int = 4, block: in
     for size in sizes:
         axes = principal(reps, size, min(leading, size))
         blocks = scratch.write(in_blocks(reps.where(F.size("v") == size), size, axes, eps, block), f"blocks{size}")
-        said = scratch.write(compared(block_pairs(blocks, eps), blocks, size, axes, eps, cosine), f"said{size}")
+        said = scratch.write(compared(block_pairs(blocks, eps), blocks, size, axes, eps, cosine), f"said{size}", batch=16)
         counts.append(said.where("other is null").select("rep", "n"))
         edges.append(said.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     base = rows.select("vec_id", "key").join(reps.select("key", "rep", "weight"), "key", "left")
