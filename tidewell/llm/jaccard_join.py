@@ -5,7 +5,7 @@ is taken within blocks of rows, and blocks come from bounds that sizes give: two
 least p % differ in size by at most that ratio, and in at most D = (100 - p) / (100 + p) of their summed sizes' members.
 So if shingles are dealt into D + 1 + m parts by their hash, the two sets agree wholly on at least m + 1 parts. A key is
 the hash of a part's content, its number and its level of sizes; the m spare parts let a document do without the keys of
-parts that are nearly empty, unless it has more than m of those. Rows that share a key, and rows that reach each other
+parts that are nearly empty but for shingles that very many documents have, unless it has more than m of those. Rows that share a key, and rows that reach each other
 by keys, are a block. Within a block overlaps are summed over blocks of columns; pairs of row blocks beyond the ratio
 of sizes are skipped and pairs below the bound discarded. Only a spanning forest of the links leaves a block.
 
@@ -55,13 +55,16 @@ def prints(found: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         return mix64(total + np.bincount(owner, minlength=n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 8)
 
 
-def part_keys(found: np.ndarray, owner: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all sets and their owners, for the level of each set's size and the one below."""
+def part_keys(found: np.ndarray, owner: np.ndarray, n: int, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all sets and their owners, for the level of each set's size and the one below. common: shingles, sorted,
+    that don't count when a part is judged too bare to be a key; which they are changes the work and never the links,
+    as parts that agree are bare for both."""
     sizes = np.bincount(owner, minlength=n)
     least, parts, spare = levels(percent)
     own = np.searchsorted(least, sizes, side="right") - 1
     keys, owners = [], []
     hashed, content = mix64(found, 9), mix64(found, 10)
+    rare = np.ones(len(found), bool) if common is None or not len(common) else common[np.minimum(np.searchsorted(common, found), len(common) - 1)] != found
     for level in (own, own - 1):
         count = np.where((level >= 0) & (sizes > 0), parts[np.maximum(level, 0)], 0)
         begin = np.concatenate([[0], np.cumsum(count)])
@@ -70,7 +73,7 @@ def part_keys(found: np.ndarray, owner: np.ndarray, n: int, percent: int) -> tup
         total = np.zeros(begin[-1], np.uint64)
         with np.errstate(over="ignore"):
             np.add.at(total, at, content[has])
-        filled = np.bincount(at, minlength=begin[-1])
+        filled = np.bincount(at[rare[has]], minlength=begin[-1])
         of = np.repeat(np.arange(n), count)
         bare = filled <= (1 if percent >= 88 else 0)
         few = np.bincount(of[bare], minlength=n) <= spare[np.maximum(level, 0)]
@@ -109,7 +112,22 @@ def described(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, print long")
 
 
-def keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def common_shingles(docs: DataFrame, rows: DataFrame, words: int, share: float = 0.0002, part: int = 16) -> np.ndarray:
+    """Shingles of at least that share of the documents in one part of 16, dealt by hash; their number is at most the
+    mean size of a set over share. They only steer which keys are made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found, _, _ in _sets(batches, words):
+            value, times = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times)], ["shingle", "n"])
+
+    chosen = F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(part)) == 0
+    least = max(3.0, share * rows.where(chosen).count())
+    counts = docs.where(chosen).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(counts.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+def keyed(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
     """(key, print), once for each set of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +139,7 @@ def keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     seen.add(mark)
                     fresh[i] = True
             keep = fresh[owner]
-            keys, of = part_keys(found[keep], owner[keep], some.num_rows, percent)
+            keys, of = part_keys(found[keep], owner[keep], some.num_rows, percent, common)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(marks[of].view(np.int64))], ["key", "print"])
 
     return docs.mapInArrow(run, "key long, print long")
@@ -246,7 +264,8 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, tile: in
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = scratch.write(described(docs, words), "rows")
-    clusters = components(met(keyed(docs, words, percent)), scratch)
+    common = common_shingles(docs, rows, words)
+    clusters = components(met(keyed(docs, words, percent, common)), scratch)
     reps = rows.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     near = scratch.write(reps.join(clusters.withColumnRenamed("id", "print"), "print"), "near")
     sums = near.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / tile, F.count("*") / 1024)).cast("int").alias("g"))
