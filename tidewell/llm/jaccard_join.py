@@ -259,7 +259,7 @@ def linked_in_tiles(members: DataFrame, words: int, percent: int) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, tile: int = 1 << 20) -> DataFrame:
+def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, tile: int = 3 << 19) -> DataFrame:
     """From docs(doc_id, text): doc_id, n_shingles, component_id. tile: shingles in a side of a tile, about."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -268,7 +268,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, tile: in
     clusters = components(met(keyed(docs, words, percent, common)), scratch)
     reps = rows.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     near = scratch.write(reps.join(clusters.withColumnRenamed("id", "print"), "print"), "near")
-    sums = near.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / tile, F.count("*") / 1024)).cast("int").alias("g"))
+    sums = near.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / tile, F.count("*") / 2048)).cast("int").alias("g"))
     dealt = scratch.write(near.join(sums, "component").withColumn("own", F.pmod(F.xxhash64("print"), "g").cast("int")), "dealt")
     every = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.least(k, "own").alias("a"), F.greatest(k, "own").alias("b"), (F.col("own") > k).cast("int").alias("side")))
     placed = dealt.withColumn("tile", F.explode(every)).select(F.col("rep").alias("doc_id"), "rep", "print", F.col("component").alias("cluster"), "tile.a", "tile.b", "tile.side")
