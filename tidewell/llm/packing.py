@@ -12,9 +12,10 @@ token's string inside a text is ordinary text.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,18 +33,23 @@ def decompose(n: int, longest: int = 1024) -> list[int]:
     return [longest] * whole + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = 1024, memo: int = 300_000) -> DataFrame:
+@lru_cache(maxsize=2)
+def encoder(tokenizer: str, memo: int) -> Memo:
+    """One for each Python worker, so that what a task has learned serves the next ones."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer)
+    model.encode_special_tokens = True
+    return Memo(lambda many: [array("I", x.ids).tobytes() for x in model.encode_batch_fast(many, add_special_tokens=False)], memo)
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = 1024, memo: int = 700_000) -> DataFrame:
     """From docs(doc_id, text): a row for each piece, ids as little-endian unsigned 32-bit integers, with its bucket
     (log2 of the length), sequence_id and offset. Ids of sequences come from the partition and the place in it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True
-        known = Memo(lambda many: [np.array(x.ids, "<u4").tobytes() for x in model.encode_batch_fast(many, add_special_tokens=False)], memo)
-        end = np.array([end_id], "<u4").tobytes()
+        known, end = encoder(tokenizer, memo), array("I", [end_id]).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some, rows = batch.slice(at, 500), ([], [], [], [], [])
