@@ -17,7 +17,10 @@ states; an empty table gives no rows; other columns are kept as they are (a clas
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -40,9 +43,11 @@ def merged(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The merges taken one by one, lowest rank first, leftmost first: for pairs of tokens and tests."""
     parts = [data[i : i + 1] for i in range(len(data))]
     while len(parts) > 1:
-        rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+        found = [ranks.get(a + b, 1 << 60) for a, b in pairwise(parts)]
+        rank = min(found)
         if rank == 1 << 60:
             break
+        at = found.index(rank)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return [ranks[p] for p in parts]
 
@@ -61,12 +66,21 @@ class Transducer:
                     self.ends.append(-1)
                 node = self.child[step]
             self.ends[node] = rank
+        self.inner = {step >> 8 for step in self.child}
         self.apart: dict[tuple[int, int], bool] = {}
         self._restart()
 
     def _restart(self) -> None:
-        start = ((0, -1, ()),)
-        self.states, self.number, self.moves = [start], {start: 0}, {}
+        """A state is a dict: byte to (next state, what is emitted), -1 to what is emitted at the end."""
+        self.made, self.number = 0, {}
+        self.places: dict[int, tuple] = {}
+        self.start = self._state(((0, -1, ()),))
+
+    def _state(self, places: tuple) -> dict:
+        if places not in self.number:
+            self.number[places] = state = {-1: places[-1][2]}
+            self.places[id(state)] = places
+        return self.number[places]
 
     def compatible(self, before: int, token: int) -> bool:
         pair = before, token
@@ -77,46 +91,43 @@ class Transducer:
             self.apart[pair] = merged(whole, self.ranks) == ([token] if before < 0 else [before, token])
         return self.apart[pair]
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and what is emitted; made on first use."""
+    def move(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
+        """The next state and what is emitted; made on first use. Places that no token leaves are given up."""
         alive, last = [], None
-        for node, before, held in self.states[state]:
+        for node, before, held in self.places[id(state)]:
             node = self.child.get(node << 8 | byte)
             if node is not None:
-                alive.append((node, before, held))
+                if node in self.inner:
+                    alive.append((node, before, held))
                 token = self.ends[node]
                 if last is None and token >= 0 and self.compatible(before, token):
                     last = (0, token, (*held, token))
         alive.append(last)
-        shared = 0
-        held = [x[2] for x in alive]
+        shared, held = 0, [x[2] for x in alive]
         while all(len(h) > shared and h[shared] == held[0][shared] for h in held):
             shared += 1
-        key = tuple((node, before, out[shared:]) for node, before, out in alive)
-        if key not in self.number:
-            self.number[key] = len(self.states)
-            self.states.append(key)
-        self.moves[state << 8 | byte] = out = (self.number[key], held[0][:shared])
+        self.made += 1
+        state[byte] = out = (self._state(tuple((node, before, out[shared:]) for node, before, out in alive)), held[0][:shared])
         return out
 
     def run(self, data: bytes) -> list[int]:
-        if len(self.moves) > self.limit:
+        if self.made > self.limit:
             self._restart()
-        state, out, moves = 0, [], self.moves
+        state, out = self.start, []
         for byte in data:
-            state, emitted = moves.get(state << 8 | byte) or self.move(state, byte)
+            state, emitted = state.get(byte) or self.move(state, byte)
             if emitted:
                 out += emitted
-        return [*out, *self.states[state][-1][2]]
+        return [*out, *state[-1]]
 
 
 class Encoder:
     """Encodes texts: each match of the pattern by itself; a match that is a token is that token."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 500_000):
         self.ranks, self.machine = ranks, Transducer(ranks)
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.memo = Memo(lambda many: [np.array(self.plain(x), "<i4").tobytes() for x in many], memo)
+        self.memo = Memo(lambda many: [array("i", self.plain(x)).tobytes() for x in many], memo)
 
     def plain(self, text: str) -> list[int]:
         out: list[int] = []
@@ -127,10 +138,16 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
+        """Ids as 32-bit integers."""
         return b"".join(self.memo.values(text))
 
 
+@lru_cache(maxsize=2)
+def worker_encoder(ranks_path: str, pattern: str, memo: int) -> Encoder:
+    """One for each Python worker, so that what a task has learned serves the next ones."""
+    return Encoder(read_ranks(ranks_path), pattern, memo)
+
+
 def unfinished(data: bytes) -> int:
     """How many bytes at the end begin a character that is not complete: the UTF-8 machine over the last three."""
     for back in range(1, min(3, len(data)) + 1):
@@ -158,26 +175,28 @@ class StreamingDecoder:
         return data.decode(errors="replace")
 
 
-def token_table(ranks: dict[bytes, int]) -> list[bytes]:
+@lru_cache(maxsize=2)
+def token_table(ranks_path: str) -> list[bytes]:
+    ranks = read_ranks(ranks_path)
     out = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         out[rank] = token
     return out
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: str = "ids", memo: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: str = "ids", memo: int = 500_000) -> DataFrame:
     """Adds a column of ids (array<int>) to docs."""
     if ids in docs.columns:
         raise ValueError(f"docs has a column {ids}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(read_ranks(ranks_path), pattern, memo)
+        encoder = worker_encoder(ranks_path, pattern, memo)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 made = [encoder.encode(x or "") for x in some.column(some.schema.get_field_index(text)).to_pylist()]
                 ends = np.cumsum([0, *(len(x) // 4 for x in made)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(made), "<i4"))
+                values = pa.array(np.frombuffer(b"".join(made), np.int32))
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.ListArray.from_arrays(pa.array(ends), values)], [*some.schema.names, ids])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
@@ -187,7 +206,7 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "d
     """Adds the text of the ids as UTF-8 bytes; ids are fed to the streaming decoder in runs of ``step``."""
 
     def text(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = token_table(read_ranks(ranks_path))
+        names = token_table(ranks_path)
         for rows in column:
             ends, flat = rows.offsets.to_numpy(), rows.values.to_numpy()
             out = []
