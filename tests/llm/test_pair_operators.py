@@ -111,6 +111,19 @@ def test_substring_dedup(spark):
     assert left[1] == text[1] and left[11] == "" and passage not in left[3] and left[3].startswith(text[3].split("\n")[0]) and left[60] is None and left[63] == text[63]
 
 
+def test_substring_wrong_pivot(spark):
+    """Document 1 has every token of a passage that 2 and 3 share, in wide windows, but not the passage."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    for length in (50, 75):
+        passage = fresh(length)
+        pivot = [w for k in range(length - 4) for w in [*fresh(60), *passage[k : k + 5], *fresh(60)]]
+        texts = [" ".join(x) for x in (pivot, fresh(30) + passage + fresh(40), fresh(70) + passage + fresh(20))]
+        found = substring_dedup.repeated(spark.createDataFrame([*enumerate(texts, 1)], "doc_id long, text string"))
+        got = {r["doc_id"]: [texts[r["doc_id"] - 1][s["start"] : s["end"]] for s in r["spans"]] for r in substring_dedup.merged(found).collect()}
+        assert got == {3: [" ".join(passage)]}
+
+
 def test_substring_odd_rows(docs, empty):
     found = substring_dedup.repeated(docs)
     assert substring_dedup.removed(docs, found).count() == docs.count()
