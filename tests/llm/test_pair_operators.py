@@ -124,6 +124,20 @@ def test_substring_wrong_pivot(spark):
         assert got == {3: [" ".join(passage)]}
 
 
+def five(text):
+    return np.array([zlib.crc32(" ".join(text[k : k + 5]).encode()) for k in range(len(text) - 4)], np.uint64)
+
+
+def test_agreeing_parts_of_a_run():
+    """50 equal words before 100 of which every 7th is changed; four words put in by the other side."""
+    own = [f"a{k}" for k in range(150)]
+    other = [w if k < 50 or k % 7 else f"b{k}" for k, w in enumerate(own)]
+    (first, last, x, _), *more = substring_dedup.agreeing(five(own), five(other), 46, 0.8)
+    assert not more and first == x == 0 and 45 <= last < 70
+    split = own[:70] + ["new"] * 4 + own[70:]
+    assert substring_dedup.agreeing(five(own), five(split), 46, 0.8) == [(0, 145, 0, 149)]
+
+
 def test_substring_odd_rows(docs, empty):
     found = substring_dedup.repeated(docs)
     assert substring_dedup.removed(docs, found).count() == docs.count()
