@@ -138,6 +138,27 @@ def test_agreeing_parts_of_a_run():
     assert substring_dedup.agreeing(five(own), five(split), 46, 0.8) == [(0, 145, 0, 149)]
 
 
+def test_agreeing_equals_brute_force():
+    """Passages of 50 to 200 words with blocks of words replaced, put in or left out."""
+    rng, met, wide = random.Random(12), 0, 0
+    for case in range(120):
+        own = [f"a{k}" for k in range(rng.randrange(50, 201))]
+        other = list(own)
+        for e in range(rng.randrange(4)):
+            at, n, new = rng.randrange(len(other)), rng.randrange(1, 13), rng.randrange(3)
+            other[at : at + n * (new != 1)] = [f"b{case}.{e}.{k}" for k in range(n * (new > 0))]
+        a, b = five([f"x{k}" for k in range(9)] + own), five([f"y{k}" for k in range(9)] + other)
+        at = {t: k for k, t in enumerate(b)}
+        same = [(i, at[t]) for i, t in enumerate(a) if t in at]
+        spans = [(i, j) for p, (i, x) in enumerate(same) for q, (j, y) in enumerate(same[p:], 1) if j - i >= 45 and q >= 0.8 * (j - i + y - x + 2 - q) - 1e-9]
+        want = [s for s in spans if not any(s != o and o[0] <= s[0] and s[1] <= o[1] for o in spans)]
+        assert [s[:2] for s in substring_dedup.agreeing(a, b, 46, 0.8)] == want
+        met, wide = met + bool(want), wide + any(j - i > 60 and max(np.diff([p for p, _ in same if i <= p <= j])) > 8 for i, j in want)
+    assert met > 40 and wide > 5
+    own, block = [f"a{k}" for k in range(90)], [f"a{k}" if not 43 <= k < 47 else f"b{k}" for k in range(90)]
+    assert substring_dedup.agreeing(five(own), five(block), 46, 0.8) == [(0, 85, 0, 85)]
+
+
 def test_substring_odd_rows(docs, empty):
     found = substring_dedup.repeated(docs)
     assert substring_dedup.removed(docs, found).count() == docs.count()
