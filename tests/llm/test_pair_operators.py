@@ -159,6 +159,24 @@ def test_agreeing_equals_brute_force():
     assert substring_dedup.agreeing(five(own), five(block), 46, 0.8) == [(0, 85, 0, 85)]
 
 
+def test_nested_intervals(spark):
+    """A = P, other words, Q and B = P, Q, each with edits: the interval of both fails, those of P and of Q pass."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    edited = lambda ws, every: [f"e{rng.randrange(10**9)}" if k % every == every // 2 else w for k, w in enumerate(ws)]
+    p, q = fresh(64), fresh(100)
+    one, two = p + fresh(35) + q, edited(p, 64) + edited(q, 60)
+    a, b = five(two), five(one)
+    hits = [{"c": 10, "pc": 10, "a": 0, "b": 159, "equal": False}, {"c": 10, "pc": 10, "a": 0, "b": 59, "equal": False}, {"c": 80, "pc": 115, "a": 30, "b": 159, "equal": False}, {"c": 80, "pc": 115, "a": 64, "b": 159, "equal": False}]
+    assert len(a) == 160 and len(b) == 195
+    pairs = spark.createDataFrame([(2, 1, hits, " ".join(two), " ".join(one))], "doc long, pdoc long, hits array<struct<c:long,pc:long,a:long,b:long,equal:boolean>>, text string, ptext string")
+    found = substring_dedup.verified(pairs, 5, 46, 0.8).collect()
+    text = " ".join(two)
+    got = {text[r["start"] : r["end"]] for r in found}
+    assert any(two[0] in g.split() and two[63] in g.split() for g in got) and any(two[64] in g.split() and two[163] in g.split() for g in got)
+    assert not any(two[0] in g.split() and two[163] in g.split() for g in got)
+
+
 def test_substring_odd_rows(docs, empty):
     found = substring_dedup.repeated(docs)
     assert substring_dedup.removed(docs, found).count() == docs.count()
