@@ -159,6 +159,17 @@ def test_agreeing_equals_brute_force():
     assert substring_dedup.agreeing(five(own), five(block), 46, 0.8) == [(0, 85, 0, 85)]
 
 
+def test_distinct_shares():
+    rng = np.random.default_rng(9)
+    for _ in range(100):
+        a, b = rng.integers(0, 12, 30).astype(np.uint64), rng.integers(0, 12, 34).astype(np.uint64)
+        i, x = (int(v) for v in rng.integers(0, 8, 2))
+        j, y = np.sort(rng.choice(np.arange(9, 31), 5, False)), np.sort(rng.choice(np.arange(9, 35), 5, False))
+        sets = [({*a[i:p].tolist()}, {*b[x:q].tolist()}) for p, q in zip(j, y)]
+        own, other, n, again = substring_dedup._repeats(a, b)
+        assert again and substring_dedup._distinct(own, other, n, i, x, j, y, 0.6).tolist() == [len(u & v) >= 0.6 * len(u | v) for u, v in sets]
+
+
 def test_nested_intervals(spark):
     """A = P, other words, Q and B = P, Q, each with edits: the interval of both fails, those of P and of Q pass."""
     rng = random.Random(31)
