@@ -160,6 +160,16 @@ def test_pii_disclosing_terms(spark, docs, empty):
     assert pii.spans(docs).count() == docs.count() and pii.sanitised(docs).count() == docs.count() and pii.sanitised(empty).count() == 0
 
 
+def test_pii_short_terms(spark):
+    """Short names, CJK names and numbers beside an address disclose it; short words that stand everywhere don't."""
+    rng = random.Random(16)
+    some = lambda n: " ".join(rng.choice([f"word{i}" for i in range(200)] + ["A", "The"] * 20) for _ in range(n))
+    rows = [(i, f"{some(20)} Kim 李娜 B7 {some(3)} to zo@mail.example.com {some(20)}") for i in range(6)] + [(100 + i, some(40)) for i in range(300)] + [(500, "about Kim and 李娜 in B7 to A Kimono")]
+    got = {r["doc_id"]: r["text"] for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[500] == "about <TERM> and <TERM> in <TERM> to A Kimono"
+    assert all(got[100 + i] == rows[6 + i][1] for i in range(300))
+
+
 def test_digest(spark):
     from pyspark.sql import Row
 

@@ -8,7 +8,8 @@ them decides what else must go: a word t near an entity e discloses it if
 with p(e) the share of documents that have e, p(e | t) the share of documents with t that have it near e, both over all
 documents. To be evidence the pair must occur in ``support`` different surroundings, so copies of one document don't
 make its words disclosing. Every occurrence of a disclosing word becomes a span of kind ``term``. Sanitising puts a
-generalisation, such as <EMAIL> or <TERM>, in place of each span.
+generalisation, such as <EMAIL> or <TERM>, in place of each span. Words are runs of letters and digits of any length;
+only words of one to three letters that are all lower-case ("to") are never taken for disclosing.
 
 Spans are in code points, end exclusive. Cases: a null text is an empty one, without spans; a null doc_id is kept;
 rows that repeat get equal spans; very long texts are searched whole, by patterns that never recurse on their length;
@@ -33,7 +34,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = "^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
-_TERM = r"[\p{L}\p{N}]{4,}"
+#: Runs of letters and digits, but for those of one to three lower-case letters.
+_TERM = r"(?<![\p{L}\p{N}])(?!\p{Ll}{1,3}(?![\p{L}\p{N}]))[\p{L}\p{N}]++"
 SPAN = "struct<start:int,rank:int,end:int,found:string>"
 
 
@@ -93,9 +95,10 @@ def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch, alpha: float
     pairs = scratch.write(surroundings(found), "pairs")
     counts = pairs.groupBy("entity", "term").agg(F.count_distinct("row").alias("n_et"), F.count_distinct("near").alias("support")).where(F.col("support") >= support)
     entities = found.select("row", F.explode("spans").alias("s")).select("row", F.concat_ws(":", F.col("s.rank"), F.col("s.found")).alias("entity")).groupBy("entity").agg(F.count_distinct("row").alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     n = docs.count()
     likely = scratch.write(counts.join(entities, "entity"), "likely")
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))).alias("term"))
+    words = words.join(likely.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     pmi = F.log2(F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0)) * n / F.col("n_e"))
     return scratch.write(likely.join(words, "term").where((F.col("n_e") < n) & (pmi >= alpha * F.log2(n / F.col("n_e")))).select("term").distinct(), "terms")
 
