@@ -40,15 +40,15 @@ def near_docs(seed, groups=12, size=14, length=60):
     return [(i, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize(("n", "percent", "tile"), [(3, 90, 1 << 20), (5, 80, 1 << 20), (3, 80, 300)])
-def test_jaccard_classes(spark, n, percent, tile):
+@pytest.mark.parametrize(("n", "percent", "tile", "few"), [(3, 90, 1 << 20, 32), (5, 80, 1 << 20, 3), (3, 80, 300, 2)])
+def test_jaccard_classes(spark, n, percent, tile, few):
     rows = near_docs(n * percent)
     sets = {}
     for i, t in rows:
         w = words(t)
         sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
-    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n, percent, tile).collect()
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n, percent, tile, few).collect()
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(s) for i, s in sets.items()}
     assert {r["doc_id"]: r["component_id"] for r in got} == smallest(sets, links)
 
@@ -60,11 +60,11 @@ def test_jaccard_odd_rows(docs, empty):
     assert by[None] is None and by[48] == 48 and by[40] == 40
 
 
-def test_part_keys_meet():
-    """Any two sets above the bound share a key."""
+def test_first_shingles_are_shared():
+    """Any two sets above the bound share as many first shingles as the bound says, whichever are common."""
     rng = np.random.default_rng(3)
     for percent in (80, 90):
-        for size in (4, 9, 20, 57, 200, 900):
+        for size in (1, 4, 9, 20, 57, 200, 900):
             for _ in range(20):
                 a = rng.integers(0, 1 << 62, size).astype(np.uint64)
                 b = a.copy()
@@ -72,10 +72,37 @@ def test_part_keys_meet():
                 b[:gone] = rng.integers(0, 1 << 62, gone)
                 b = np.unique(b[: size - int(rng.integers(0, 3))] if rng.random() < 0.3 else b)
                 a = np.unique(a)
-                common = len(np.intersect1d(a, b))
-                if 100 * common >= percent * (len(a) + len(b) - common) and common < max(len(a), len(b)):
-                    keys, of = jaccard_join.part_keys(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2, percent)
-                    assert {*keys[of == 0].tolist()} & {*keys[of == 1].tolist()}
+                overlap = len(np.intersect1d(a, b))
+                if len(b) and 100 * overlap >= percent * (len(a) + len(b) - overlap):
+                    common = np.sort(rng.permutation(a)[: int(rng.integers(0, size + 1))])
+                    first, of, often = jaccard_join.first_shingles(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2, percent, common)
+                    bound = jaccard_join.shared(np.array([len(a), len(b)]), percent).min()
+                    assert len({*first[of == 0].tolist()} & {*first[of == 1].tolist()}) >= bound
+                    assert (often == np.isin(first, common)).all()
+
+
+@pytest.mark.parametrize("few", [2, 4, 32])
+def test_keys_that_meet(spark, few):
+    """Pairs of keys of few sets and nodes of keys of more, whatever the batches."""
+    rng = np.random.default_rng(few)
+    rows = [(int(k), int(p), 100, None) for k in range(60) for p in rng.integers(0, 40, int(rng.integers(1, 9)))]
+    rows += [(1000 + i, i, 100, 7) for i in range(5)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = jaccard_join.met(spark.createDataFrame(rows, "key long, print long, n int, common long"), 80, few).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    pairs, nodes, single = [], [(i, 7) for i in range(5)], []
+    for k in range(60):
+        marks = sorted({p for key, p, _, _ in rows if key == k})
+        if len(marks) > few:
+            nodes += [(p, k) for p in marks]
+        elif len(marks) > 1:
+            pairs += [(a, b) for i, a in enumerate(marks) for b in marks[i + 1 :]]
+            single += marks
+    assert sorted((r["a"], r["b"]) for r in got if r["b"] is not None) == sorted(pairs)
+    assert sorted((r["a"], r["node"]) for r in got if r["node"] is not None) == sorted(nodes)
+    assert sorted(r["a"] for r in got if r["b"] is None and r["node"] is None) == sorted(single)
 
 
 def test_compact_windows():

@@ -1,65 +1,44 @@
-"""Connected components of an edge table: large-star and small-star rounds, all on Spark."""
+"""Connected components of an edge table: large-star and small-star rounds in DataFrame functions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import Scratch
 
-_EDGE = "a long, b long, moved long"
-
-
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (a, b, moved) by node a and in order of b, streaming: each node's neighbours move to the least of them.
 
-    large: both directions are there, and greater neighbours move to the least of node and neighbours. Else all
-    neighbours are smaller, and they and the node move to the least. Repeated edges are passed over."""
+def _large(edges: DataFrame) -> DataFrame:
+    """Each node's greater neighbours move to the least of the node and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), "a").alias("m"))
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last edge, and its node's least neighbour
-        for batch in batches:
-            a, b, moved = (batch.column(i).to_numpy() for i in range(3))
-            if not len(a):
-                continue
-            before = (held[0], held[1]) if held else (None, None)
-            new = np.concatenate([[before[0] != a[0]], a[1:] != a[:-1]])
-            fresh = new | np.concatenate([[before[1] != b[0]], b[1:] != b[:-1]])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
-            least = np.where(first >= 0, b[np.maximum(first, 0)], held[2] if held else 0)
-            held = a[-1], b[-1], least[-1]
-            if large:
-                least = np.minimum(least, a)
-                keep = fresh & (b > a)
-                out = b[keep], least[keep], np.maximum(moved, least != a)[keep]
-            else:
-                other = fresh & (b != least)
-                out = tuple(np.concatenate(x) for x in ((a[new], b[other]), (least[new], least[other]), (moved[new], np.ones(other.sum(), np.int64))))
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["a", "b", "moved"])
 
-    return edges.repartition("a").sortWithinPartitions("a", "b", F.desc("moved")).mapInArrow(run, _EDGE)
+def _small(edges: DataFrame) -> DataFrame:
+    """Each node, and its neighbours, all smaller, move to the least of them."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    others = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return others.unionByName(least.withColumnRenamed("m", "b")).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """From edges(a long, b long): (id, component) for every id in them, component being the smallest id reachable.
 
-    A round is two shuffles, whose groups stream through in bounded memory, and a written table. It halves long paths,
-    so few are needed; if ``rounds`` don't suffice the function raises rather than return something else.
+    Least neighbours are partial aggregates, and what they are joined to may be split where a node has very many edges
+    (adaptive skew joins), so no node's edges need one task. A round halves long paths, so few are needed; if ``rounds``
+    don't suffice the function raises rather than return something else.
     """
     real = edges.where("a is not null and b is not null and a <> b")
-    now = real.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(0).cast("long").alias("moved"))
+    now = scratch.write(real.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    mark = None
     for k in range(rounds):
-        both = now.select(F.explode(F.array(F.struct("a", "b", "moved"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "moved"))).alias("e")).select("e.*")
-        now = scratch.write(_stars(_stars(both, True), False), f"edges{k}")
-        if k:
-            scratch.drop(f"edges{k - 1}")
-        if not (now.agg(F.max("moved")).first()[0] or 0):
-            return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        now = now.withColumn("moved", F.lit(0).cast("long"))
+        moved = scratch.write(_large(now), f"large{k}")
+        now = scratch.write(_small(moved), f"small{k}")
+        scratch.drop(f"large{k}", f"small{k - 1}" if k else "edges")
+        before, mark = mark, now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("h")).first()
+        if mark == before or not mark["n"]:
+            return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
     raise RuntimeError(f"components not found in {rounds} rounds")
 
 

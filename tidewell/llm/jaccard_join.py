@@ -1,13 +1,16 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-A document is a row of the matrix, its set of word shingles. Equal rows are one row with a class of copies. The product
-is taken within blocks of rows, and blocks come from bounds that sizes give: two sets with a Jaccard similarity of at
-least p % differ in size by at most that ratio, and in at most D = (100 - p) / (100 + p) of their summed sizes' members.
-So if shingles are dealt into D + 1 + m parts by their hash, the two sets agree wholly on at least m + 1 parts. A key is
-the hash of a part's content, its number and its level of sizes; the m spare parts let a document do without the keys of
-parts that are nearly empty but for shingles that very many documents have, unless it has more than m of those. Rows that share a key, and rows that reach each other
-by keys, are a block. Within a block overlaps are summed over blocks of columns; pairs of row blocks beyond the ratio
-of sizes are skipped and pairs below the bound discarded. Only a spanning forest of the links leaves a block.
+A document is a row of the matrix, its set of word shingles. Equal rows are one row with a class of copies. All shingles
+have one order: by hash, but those that very many documents have come last. Sizes give two bounds. A set of n shingles
+that links has at least need(n) = p % of n in common with the other; so of its first n - need(n) + j shingles at least j
+stand among the other's first ones too (j is 1 and a share of n). Only these columns of the matrix are multiplied.
+
+- Columns of few rows give pairs of rows; their overlaps are summed, and pairs below j are discarded.
+- Columns of many rows give no pairs: they are nodes beside the rows, for rows that meet others in j columns or more.
+
+Rows that hold together by such pairs and nodes are a block. Within a block the whole sets' overlaps are summed over
+blocks of columns; pairs of row blocks beyond the ratio of sizes are skipped and pairs below the bound discarded. Only
+a spanning forest of the links leaves a block.
 
 Nothing is dropped or capped: every pair above the bound shares a block. A block of many rows is dealt into tiles of a
 bounded number of shingles, and each pair of tiles is a task's work, so a huge group of near copies costs more tasks and
@@ -15,17 +18,16 @@ not a larger one. Copies are merged before keys are made, in each task and again
 
 Cases: a null or empty text, or one without words, has no shingles and links with nothing, as does a row without a
 doc_id; fewer words than n are one shingle; repeated rows and ties share the least doc_id; very long texts give more
-parts; an empty table gives no rows; other columns are not read.
+keys; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import Scratch, mix64, table
@@ -33,18 +35,19 @@ from tidewell.llm.components import components, roots
 from tidewell.llm.shingles import shingle_sets
 
 
-@lru_cache(maxsize=4)
-def levels(percent: int, largest: int = 1 << 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least size of each level, and its parts and spare parts. A set links only into its own level and its neighbours."""
-    least, parts, spare = [1], [], []
-    while least[-1] <= largest:
-        least.append(least[-1] * 100 // percent + 1)
-        top = least[-1] - 1
-        differ = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
-        more = 1 + differ // (50 if percent >= 88 else 12)
-        parts.append(differ + 1 + more if differ else 0)
-        spare.append(more)
-    return np.array(least[:-1]), np.array(parts), np.array(spare)
+def need(n: np.ndarray, percent: int) -> np.ndarray:
+    """Least overlap of a set of n with one it links to."""
+    return (n * percent + 99) // 100
+
+
+def shared(n: np.ndarray, percent: int, extra: int = 10) -> np.ndarray:
+    """j: how many of the first shingles two linked sets share at least; of two sizes the lesser counts."""
+    return np.minimum(1 + n * extra // 100, np.maximum(need(n, percent), 1))
+
+
+def shared_sql(n: Column, percent: int, extra: int = 10) -> Column:
+    """The same as an expression, for whole numbers."""
+    return F.least(1 + F.floor(n * extra / 100), F.greatest(F.floor((n * percent + 99) / 100), F.lit(1)))
 
 
 def prints(found: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -55,35 +58,16 @@ def prints(found: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         return mix64(total + np.bincount(owner, minlength=n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 8)
 
 
-def part_keys(found: np.ndarray, owner: np.ndarray, n: int, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all sets and their owners, for the level of each set's size and the one below. common: shingles, sorted,
-    that don't count when a part is judged too bare to be a key; which they are changes the work and never the links,
-    as parts that agree are bare for both."""
+def first_shingles(found: np.ndarray, owner: np.ndarray, n: int, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each set's first n - need(n) + j shingles, their owners, and whether they are common. common: sorted; which they
+    are changes the work and never the links, as the order is the same for all sets."""
     sizes = np.bincount(owner, minlength=n)
-    least, parts, spare = levels(percent)
-    own = np.searchsorted(least, sizes, side="right") - 1
-    keys, owners = [], []
-    hashed, content = mix64(found, 9), mix64(found, 10)
-    rare = np.ones(len(found), bool) if common is None or not len(common) else common[np.minimum(np.searchsorted(common, found), len(common) - 1)] != found
-    for level in (own, own - 1):
-        count = np.where((level >= 0) & (sizes > 0), parts[np.maximum(level, 0)], 0)
-        begin = np.concatenate([[0], np.cumsum(count)])
-        has = count[owner] > 0
-        at = begin[owner[has]] + (hashed[has] % count[owner[has]].astype(np.uint64)).astype(np.int64)
-        total = np.zeros(begin[-1], np.uint64)
-        with np.errstate(over="ignore"):
-            np.add.at(total, at, content[has])
-        filled = np.bincount(at[rare[has]], minlength=begin[-1])
-        of = np.repeat(np.arange(n), count)
-        bare = filled <= (1 if percent >= 88 else 0)
-        few = np.bincount(of[bare], minlength=n) <= spare[np.maximum(level, 0)]
-        keep = ~(bare & few[of])
-        number = np.arange(begin[-1]) - begin[of]
-        with np.errstate(over="ignore"):
-            key = mix64(total + mix64((level[of].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64), 11), 12)
-        keys.append(key[keep])
-        owners.append(of[keep])
-    return np.concatenate(keys), np.concatenate(owners)
+    often = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(len(found), bool)
+    order = np.lexsort((mix64(found, 9), often, owner))
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    many = np.minimum(sizes, sizes - need(sizes, percent) + shared(sizes, percent))
+    first = order[np.arange(len(found)) - begin[owner] < many[owner]]
+    return found[first], owner[first], often[first]
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int, step: int = 400) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -112,70 +96,112 @@ def described(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, print long")
 
 
-def common_shingles(docs: DataFrame, rows: DataFrame, words: int, share: float = 0.0002, part: int = 16) -> np.ndarray:
-    """Shingles of at least that share of the documents in one part of 16, dealt by hash; their number is at most the
-    mean size of a set over share. They only steer which keys are made."""
+def common_shingles(docs: DataFrame, words: int, least: int = 3, part: int = 16, most: int = 1 << 20) -> np.ndarray:
+    """Shingles that at least that many documents have in one part of 16, dealt by hash; if they are more than ``most``,
+    the bound rises until they are not. They only steer which keys are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found, _, _ in _sets(batches, words):
             value, times = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times)], ["shingle", "n"])
 
-    chosen = F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(part)) == 0
-    least = max(3.0, share * rows.where(chosen).count())
-    counts = docs.where(chosen).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.sort(counts.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+    scratch = Scratch(docs.sparkSession, "common")
+    chosen = docs.where(F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(part)) == 0)
+    counts = scratch.write(chosen.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "counts")
+    for bound, many in sorted(counts.groupBy(F.least("n", F.lit(1 << 12)).alias("n")).count().collect(), reverse=True):
+        most -= many
+        if most < 0:
+            least = bound + 1
+            break
+    found = counts.where(F.col("n") >= least).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
+    scratch.drop("counts")
+    return np.sort(found.view(np.uint64))
 
 
-def keyed(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(key, print), once for each set of a task."""
+def keyed(docs: DataFrame, words: int, percent: int, common: np.ndarray, most: int = 1 << 20) -> DataFrame:
+    """(key, print, n, common): first shingles of each set, mostly once for each set of a task. A common shingle stands
+    in the last column, and the key is the set's, so that its rows spread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for some, found, owner, marks in _sets(batches, words):
             fresh, ids = np.zeros(some.num_rows, bool), np.array(some.column(0).is_null())
+            if len(seen) > most:
+                seen.clear()
             for i, mark in enumerate(marks.tolist()):
                 if mark not in seen and not ids[i]:
                     seen.add(mark)
                     fresh[i] = True
             keep = fresh[owner]
-            keys, of = part_keys(found[keep], owner[keep], some.num_rows, percent, common)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(marks[of].view(np.int64))], ["key", "print"])
+            first, of, often = first_shingles(found[keep], owner[keep], some.num_rows, percent, common)
+            sizes = np.bincount(owner, minlength=some.num_rows)
+            key = np.where(often, mix64(marks[of], 13), first).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(marks[of].view(np.int64)), pa.array(sizes[of].astype(np.int32)), pa.array(first.view(np.int64), mask=~often)], ["key", "print", "n", "common"])
 
-    return docs.mapInArrow(run, "key long, print long")
+    return docs.mapInArrow(run, "key long, print long, n int, common long")
 
 
-def met(keys: DataFrame) -> DataFrame:
-    """Edges (a, b) between prints that share keys: for each task a spanning forest. Rows come sorted, so a key of any
-    number of rows streams through; the memory holds prints that met."""
+_MET = "a long, na int, b long, nb int, node long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[int, int] = {}
 
-        def find(x: int) -> int:
-            while (y := up.setdefault(x, x)) != x:
-                up[x] = up[y] if y in up else y
-                x = y
-            return x
+def met(keys: DataFrame, percent: int, few: int = 32) -> DataFrame:
+    """(a, na, b, nb, node) from sets that share keys. Keys of few sets give their pairs, if sizes allow a link, and a
+    row with neither b nor node for each set; keys of more, and common shingles, give a node for each set. Rows come
+    sorted and stream by; the memory holds a batch and the sets of one short key."""
+
+    def rows(a, na, b=None, nb=None, node=None) -> pa.RecordBatch:
+        column = lambda x, t: pa.nulls(len(a), t) if x is None else pa.array(x, t)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(na, pa.int32()), column(b, pa.int64()), column(nb, pa.int32()), column(node, pa.int64())], ["a", "na", "b", "nb", "node"])
 
-        last_key, last_mark = None, None
+    def pairs(begin: np.ndarray, size: np.ndarray, mark: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for m in np.unique(size):
+            x, y = np.triu_indices(int(m), 1)
+            at = begin[size == m]
+            i, j = (at[:, None] + x).ravel(), (at[:, None] + y).ravel()
+            near = (100 * n[i].astype(np.int64) >= percent * n[j].astype(np.int64)) & (100 * n[j].astype(np.int64) >= percent * n[i].astype(np.int64))
+            yield rows(mark[i[near]], n[i[near]], mark[j[near]], n[j[near]])
+            every = (at[:, None] + np.arange(m)).ravel()
+            yield rows(mark[every], n[every])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, mark, n, long_key, last = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), None, None
         for batch in batches:
-            key, mark = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            often = np.array(batch.column(3).is_valid())
+            if often.any():
+                some = batch.filter(pa.array(often))
+                yield rows(some.column(1), some.column(2), node=some.column(3))
+            key, mark, n = (np.concatenate([x, batch.column(i).to_numpy()[~often]]) for i, x in enumerate((key, mark, n)))
             if not len(key):
                 continue
-            same = np.nonzero(key[1:] == key[:-1])[0]
-            pairs = [*zip(mark[same].tolist(), mark[same + 1].tolist(), strict=True)]
-            if last_key == key[0]:
-                pairs.append((last_mark, int(mark[0])))
-            for a, b in pairs:
-                if a != b:
-                    a, b = find(a), find(b)
-                    up[max(a, b)] = min(a, b)
-            last_key, last_mark = key[-1], int(mark[-1])
-        some = [(x, find(x)) for x in up]
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, b in some if a != b], pa.int64()), pa.array([b for a, b in some if a != b], pa.int64())], ["a", "b"])
-
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+            fresh = np.concatenate([[(key[0], mark[0]) != last], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])])
+            key, mark, n = key[fresh], mark[fresh], n[fresh]
+            if not len(key):
+                continue
+            begin = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+            size = np.diff(np.append(begin, len(key)))
+            end = begin[-1]  # where the last key begins, which may go on
+            many = (size > few) | (key[begin] == long_key)
+            for b, s in zip(begin[many], size[many], strict=True):
+                yield rows(mark[b : b + s], n[b : b + s], node=key[b : b + s])
+            short = ~many & (size > 1) & (begin != end)
+            yield from pairs(begin[short], size[short], mark, n)
+            long_key, last = (key[end], (key[-1], mark[-1])) if many[-1] else (None, None)
+            key, mark, n = (x[len(x) if many[-1] else end :] for x in (key, mark, n))
+        if len(key) > 1:
+            yield from pairs(np.array([0]), np.array([len(key)]), mark, n)
+
+    return keys.repartition("key").sortWithinPartitions("key", "print").mapInArrow(run, _MET)
+
+
+def candidates(keys: DataFrame, percent: int, scratch: Scratch, few: int = 32) -> DataFrame:
+    """Edges (a, b) that hold blocks together, of prints and nodes."""
+    found = scratch.write(met(keys, percent, few), "met")
+    overlap = found.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = overlap.where(F.col("o") >= F.least(shared_sql(F.col("na"), percent), shared_sql(F.col("nb"), percent))).select("a", "b")
+    smallest = F.floor((F.col("n") * percent + 99) / 100)  # of the sets that a set of n can link to
+    enough = found.where("b is null").groupBy("a").agg(F.count("*").alias("o"), F.count("node").alias("nodes"), F.first("na").alias("n")).where((F.col("nodes") > 0) & (F.col("o") >= shared_sql(smallest, percent)))
+    hubs = found.where("node is not null").join(enough.select("a"), "a", "left_semi").select("a", F.col("node").alias("b"))
+    return scratch.write(pairs.unionByName(hubs), "candidates")
 
 
 def overlaps(found: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray | None, percent: int, rows: int = 256, columns: int = 4096) -> list[tuple[int, int]]:
@@ -259,13 +285,14 @@ def linked_in_tiles(members: DataFrame, words: int, percent: int) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, tile: int = 3 << 19) -> DataFrame:
-    """From docs(doc_id, text): doc_id, n_shingles, component_id. tile: shingles in a side of a tile, about."""
+def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, tile: int = 3 << 19, few: int = 32) -> DataFrame:
+    """From docs(doc_id, text): doc_id, n_shingles, component_id. tile: shingles in a side of a tile, about;
+    few: sets of a key that still give pairs."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = scratch.write(described(docs, words), "rows")
-    common = common_shingles(docs, rows, words)
-    clusters = components(met(keyed(docs, words, percent, common)), scratch)
+    common = common_shingles(docs, words)
+    clusters = components(candidates(keyed(docs, words, percent, common), percent, scratch, few), scratch)
     reps = rows.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     near = scratch.write(reps.join(clusters.withColumnRenamed("id", "print"), "print"), "near")
     sums = near.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / tile, F.count("*") / 2048)).cast("int").alias("g"))
@@ -276,7 +303,9 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, tile: in
     members = texts.join(placed, "doc_id").select("text", "rep", "print", "cluster", "a", "b", "side")
     tiled = members.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
     links = components(linked_in_tiles(tiled, words, percent), scratch)
+    scratch.drop("met", "candidates", "near")
     of = scratch.write(reps.join(links.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id")), "of")
+    scratch.drop("dealt")
     return rows.join(of, "print", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
