@@ -205,16 +205,90 @@ def test_nested_intervals(spark):
     p, q = fresh(64), fresh(100)
     one, two = p + fresh(35) + q, edited(p, 64) + edited(q, 60)
     a, b = five(two), five(one)
-    hits = [{"c": 10, "pc": 10, "a": 0, "b": 159, "equal": False}, {"c": 10, "pc": 10, "a": 0, "b": 59, "equal": False}, {"c": 80, "pc": 115, "a": 30, "b": 159, "equal": False}, {"c": 80, "pc": 115, "a": 64, "b": 159, "equal": False}]
+    hits = [{"shift": h, "a": i, "b": j, "equal": False} for h, i, j in ((0, 0, 159), (0, 0, 59), (-35, 30, 159), (-35, 64, 159))]
     assert len(a) == 160 and len(b) == 195
-    pairs = spark.createDataFrame([(2, 1, hits, " ".join(two), " ".join(one))], "doc long, pdoc long, hits array<struct<c:long,pc:long,a:long,b:long,equal:boolean>>, text string, ptext string")
-    found = substring_dedup.verified(pairs, 5, 46, 0.8).collect()
+    rows = [(None, 2, 1, 0, 0, 0, None, 7, " ".join(two), hits), (None, 2, 1, 1, 0, 0, None, 8, " ".join(one), None)]
+    found = substring_dedup.verified(spark.createDataFrame(rows, substring_dedup._CUT), 5, 46, 0.8).collect()
     text = " ".join(two)
     got = {text[r["start"] : r["end"]] for r in found}
     assert any(two[0] in g.split() and two[63] in g.split() for g in got) and any(two[64] in g.split() and two[163] in g.split() for g in got)
     assert not any(two[0] in g.split() and two[163] in g.split() for g in got)
 
 
+def shared_words(rows, passage):
+    """Brute force: for each document the words of all exact passages that a document of a smaller id has."""
+    first, out = {}, {}
+    for doc, text in sorted(rows):
+        w = words(text)
+        for k in range(len(w) - passage + 1):
+            first.setdefault(tuple(w[k : k + passage]), doc)
+    for doc, text in rows:
+        w = words(text)
+        covered = {i for k in range(len(w) - passage + 1) if first[tuple(w[k : k + passage])] < doc for i in range(k, k + passage)}
+        if covered:
+            out[doc] = covered
+    return out
+
+
+def found_words(rows, found):
+    text, out = dict(rows), {}
+    for r in found:
+        begins = [m.span() for m in WORD.finditer(text[r["doc_id"]])]
+        out.setdefault(r["doc_id"], set()).update(i for i, (a, b) in enumerate(begins) if r["start"] <= a and b <= r["end"])
+    return out
+
+
+@pytest.mark.parametrize("few_words", [False, True])
+def test_substring_exact_passages(spark, few_words):
+    """Every exact passage is found, however many documents have parts of it, and however rows are dealt."""
+    rng = random.Random(77)
+    vocabulary = [f"v{k}" for k in range(30)] if few_words else [f"v{k}" for k in range(100000)]
+    fresh = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passages = [fresh(rng.randrange(50, 90)) for _ in range(12)]
+    parts = [w for p in passages for k in range(0, len(p) - 30, 3) for w in [*p[k : k + 30], *fresh(5)]]
+    docs = [parts[k : k + 400] for k in range(0, len(parts), 350)]  # earlier ones, which have pieces only
+    for _ in range(120):
+        text = fresh(rng.randrange(0, 60))
+        for p in rng.sample(passages, rng.randrange(1, 4)):
+            cut = rng.randrange(0, 12)
+            text += [*p[cut:], *fresh(rng.randrange(0, 40))] if rng.random() < 0.7 else [*p[: len(p) - cut], *fresh(3)]
+        docs.append(text)
+    rows = [(i + 1, " ".join(t)) for i, t in enumerate(docs)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (substring_dedup.repeated(frame.repartition(k)).collect() for k in (1, 16))
+    assert sorted(one) == sorted(many)
+    want, got = shared_words(rows, 50), found_words(rows, one)
+    assert len(want) > 80
+    assert all(w <= got.get(doc, set()) for doc, w in want.items())
+
+
+def test_substring_hot_passage(spark):
+    """A passage that all documents have, with other words around it, and one that two have inside of it."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(70)
+    rows = [(i, " ".join([*fresh(20), *passage, *fresh(20)])) for i in range(600)]
+    rows += [(700 + i, " ".join([*passage[:40], *passage[20:]])) for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = substring_dedup.hot_keys(frame, 5, 46)
+    assert len(hot)
+    one, many = (substring_dedup.repeated(frame.repartition(k)).collect() for k in (1, 7))
+    assert sorted(one) == sorted(many)
+    got = found_words(rows, one)
+    assert {*got} == {*range(1, 600), 700, 701, 702}
+    assert all(w <= got[doc] for doc, w in shared_words(rows, 50).items())
+
+
+def test_substring_same_id(spark):
+    """What is found in one text of an id isn't cut out of another one."""
+    rng = random.Random(15)
+    passage, other = (" ".join(f"u{rng.randrange(10**9)}" for _ in range(n)) for n in (60, 80))
+    rows = [(1, passage, 5, "x"), (2, passage, 6, "y"), (2, other, 7, "z"), (2, passage, 8, "w")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, mark int, `Spans` string")
+    left = sorted((r["mark"], r["text"], r["Spans"]) for r in substring_dedup.removed(frame, substring_dedup.repeated(frame)).collect())
+    assert left == [(5, passage, "x"), (6, "", "y"), (7, other, "z"), (8, "", "w")]
+
+
 def test_substring_odd_rows(docs, empty):
     found = substring_dedup.repeated(docs)
     assert substring_dedup.removed(docs, found).count() == docs.count()

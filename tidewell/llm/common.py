@@ -50,6 +50,17 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Those names, lengthened until none clashes with a column (whose names Spark compares without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):
