@@ -75,7 +75,7 @@ def test_first_shingles_are_shared():
                 overlap = len(np.intersect1d(a, b))
                 if len(b) and 100 * overlap >= percent * (len(a) + len(b) - overlap):
                     common = np.sort(rng.permutation(a)[: int(rng.integers(0, size + 1))])
-                    first, of, often = jaccard_join.first_shingles(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2, percent, common)
+                    first, of, often = jaccard_join.first_shingles(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2, percent, common, rng.integers(3, 9, len(common)))
                     bound = jaccard_join.shared(np.array([len(a), len(b)]), percent).min()
                     assert len({*first[of == 0].tolist()} & {*first[of == 1].tolist()}) >= bound
                     assert (often == np.isin(first, common)).all()

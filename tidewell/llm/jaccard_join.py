@@ -1,12 +1,13 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
 A document is a row of the matrix, its set of word shingles. Equal rows are one row with a class of copies. All shingles
-have one order: by hash, but those that very many documents have come last. Sizes give two bounds. A set of n shingles
+have one order: by hash, but those that very many documents have come last, by how many in a sample have them. Sizes give two bounds. A set of n shingles
 that links has at least need(n) = p % of n in common with the other; so of its first n - need(n) + j shingles at least j
 stand among the other's first ones too (j is 1 and a share of n). Only these columns of the matrix are multiplied.
 
 - Columns of few rows give pairs of rows; their overlaps are summed, and pairs below j are discarded.
-- Columns of many rows give no pairs: they are nodes beside the rows, for rows that meet others in j columns or more.
+- Columns of many rows come second, with only the rows that meet others in j columns or more; those that still have
+  many rows give no pairs: they are nodes beside the rows.
 
 Rows that hold together by such pairs and nodes are a block. Within a block the whole sets' overlaps are summed over
 blocks of columns; pairs of row blocks beyond the ratio of sizes are skipped and pairs below the bound discarded. Only
@@ -58,12 +59,13 @@ def prints(found: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         return mix64(total + np.bincount(owner, minlength=n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 8)
 
 
-def first_shingles(found: np.ndarray, owner: np.ndarray, n: int, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each set's first n - need(n) + j shingles, their owners, and whether they are common. common: sorted; which they
-    are changes the work and never the links, as the order is the same for all sets."""
+def first_shingles(found: np.ndarray, owner: np.ndarray, n: int, percent: int, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each set's first n - need(n) + j shingles, their owners, and whether they are common. common: sorted, and how
+    common; which they are changes the work and never the links, as the order is the same for all sets."""
     sizes = np.bincount(owner, minlength=n)
-    often = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(len(found), bool)
-    order = np.lexsort((mix64(found, 9), often, owner))
+    place = np.minimum(np.searchsorted(common, found), max(0, len(common) - 1))
+    often = common[place] == found if len(common) else np.zeros(len(found), bool)
+    order = np.lexsort((mix64(found, 9), np.where(often, times[place] if len(common) else 0, 0), owner))
     begin = np.concatenate([[0], np.cumsum(sizes)])
     many = np.minimum(sizes, sizes - need(sizes, percent) + shared(sizes, percent))
     first = order[np.arange(len(found)) - begin[owner] < many[owner]]
@@ -96,9 +98,9 @@ def described(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, print long")
 
 
-def common_shingles(docs: DataFrame, words: int, least: int = 3, part: int = 16, most: int = 1 << 20) -> np.ndarray:
+def common_shingles(docs: DataFrame, words: int, least: int = 3, part: int = 16, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that at least that many documents have in one part of 16, dealt by hash; if they are more than ``most``,
-    the bound rises until they are not. They only steer which keys are made."""
+    the bound rises until they are not; and how many have them. They only steer which keys are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found, _, _ in _sets(batches, words):
@@ -113,12 +115,14 @@ def common_shingles(docs: DataFrame, words: int, least: int = 3, part: int = 16,
         if most < 0:
             least = bound + 1
             break
-    found = counts.where(F.col("n") >= least).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
+    found = counts.where(F.col("n") >= least).toPandas()
     scratch.drop("counts")
-    return np.sort(found.view(np.uint64))
+    value = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(value)
+    return value[order], found["n"].to_numpy(np.int64)[order]
 
 
-def keyed(docs: DataFrame, words: int, percent: int, common: np.ndarray, most: int = 1 << 20) -> DataFrame:
+def keyed(docs: DataFrame, words: int, percent: int, common: tuple[np.ndarray, np.ndarray], most: int = 1 << 20) -> DataFrame:
     """(key, print, n, common): first shingles of each set, mostly once for each set of a task. A common shingle stands
     in the last column, and the key is the set's, so that its rows spread."""
 
@@ -133,7 +137,7 @@ def keyed(docs: DataFrame, words: int, percent: int, common: np.ndarray, most: i
                     seen.add(mark)
                     fresh[i] = True
             keep = fresh[owner]
-            first, of, often = first_shingles(found[keep], owner[keep], some.num_rows, percent, common)
+            first, of, often = first_shingles(found[keep], owner[keep], some.num_rows, percent, *common)
             sizes = np.bincount(owner, minlength=some.num_rows)
             key = np.where(often, mix64(marks[of], 13), first).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(marks[of].view(np.int64)), pa.array(sizes[of].astype(np.int32)), pa.array(first.view(np.int64), mask=~often)], ["key", "print", "n", "common"])
@@ -193,15 +197,29 @@ def met(keys: DataFrame, percent: int, few: int = 32) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "print").mapInArrow(run, _MET)
 
 
-def candidates(keys: DataFrame, percent: int, scratch: Scratch, few: int = 32) -> DataFrame:
-    """Edges (a, b) that hold blocks together, of prints and nodes."""
-    found = scratch.write(met(keys, percent, few), "met")
-    overlap = found.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    pairs = overlap.where(F.col("o") >= F.least(shared_sql(F.col("na"), percent), shared_sql(F.col("nb"), percent))).select("a", "b")
+def candidates(keys: DataFrame, percent: int, scratch: Scratch, few: int = 32, spread: int = 1024) -> DataFrame:
+    """Edges (a, b) that hold blocks together, of prints and nodes. spread: rows of a node that are no task's alone."""
     smallest = F.floor((F.col("n") * percent + 99) / 100)  # of the sets that a set of n can link to
-    enough = found.where("b is null").groupBy("a").agg(F.count("*").alias("o"), F.count("node").alias("nodes"), F.first("na").alias("n")).where((F.col("nodes") > 0) & (F.col("o") >= shared_sql(smallest, percent)))
-    hubs = found.where("node is not null").join(enough.select("a"), "a", "left_semi").select("a", F.col("node").alias("b"))
-    return scratch.write(pairs.unionByName(hubs), "candidates")
+
+    def entries(*found: DataFrame) -> DataFrame:
+        """(a, na, node) of the last one, of sets that meet others in enough columns of all."""
+        singles = found[0].where("b is null").select("a", "na", "node")
+        for before in found[1:]:
+            singles = singles.unionByName(before.where("b is null and node is null").select("a", "na", "node"))
+        enough = singles.groupBy("a").agg(F.count("*").alias("o"), F.count("node").alias("nodes"), F.first("na").alias("n")).where((F.col("nodes") > 0) & (F.col("o") >= shared_sql(smallest, percent)))
+        return found[0].where("node is not null").select("a", "na", "node").join(enough.select("a"), "a", "left_semi")
+
+    first = scratch.write(met(keys, percent, few), "first")
+    often = scratch.write(entries(first), "often")
+    sized = often.join(often.groupBy("node").agg(F.count("*").alias("k")), "node")
+    own = F.col("k") > spread
+    again = sized.select(F.when(own, F.xxhash64("a", "node")).otherwise(F.col("node")).alias("key"), F.col("a").alias("print"), F.col("na").alias("n"), F.when(own, F.col("node")).alias("common"))
+    second = scratch.write(met(again, percent, few), "second")
+    pairs = first.where("b is not null").unionByName(second.where("b is not null")).groupBy("a", "b").agg(F.count("*").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    enough = pairs.where(F.col("o") >= F.least(shared_sql(F.col("na"), percent), shared_sql(F.col("nb"), percent))).select("a", "b")
+    out = scratch.write(enough.unionByName(entries(second, first).select("a", F.col("node").alias("b"))), "candidates")
+    scratch.drop("first", "often", "second")
+    return out
 
 
 def overlaps(found: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray | None, percent: int, rows: int = 256, columns: int = 4096) -> list[tuple[int, int]]:
@@ -303,7 +321,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, tile: in
     members = texts.join(placed, "doc_id").select("text", "rep", "print", "cluster", "a", "b", "side")
     tiled = members.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
     links = components(linked_in_tiles(tiled, words, percent), scratch)
-    scratch.drop("met", "candidates", "near")
+    scratch.drop("candidates", "near")
     of = scratch.write(reps.join(links.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id")), "of")
     scratch.drop("dealt")
     return rows.join(of, "print", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
