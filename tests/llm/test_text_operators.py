@@ -39,14 +39,32 @@ def test_transducer_equals_merges():
         assert machine.run(data) == bpe.merged(data, ranks)
 
 
+def test_bounded_memory_keeps_results():
+    """A transducer and a memo that keep next to nothing give what large ones give."""
+    ranks, rng = bpe.read_ranks(RANKS), random.Random(4)
+    small, large = bpe.Encoder(ranks, P.PATTERN, memo=6), bpe.Encoder(ranks, P.PATTERN)
+    small.machine.limit = 20
+    for t in texts(300, 9):
+        many = f"{t} {rng.choice(['retion.', 'was.', 'was', 'ünd'])} {t}"
+        assert small.encode(many) == large.encode(many)
+    assert small.machine.made <= 20 and len(small.machine.apart) <= 21
+
+
 def test_streaming_decoder():
     ranks = bpe.read_ranks(RANKS)
-    names, enc = bpe.token_table(RANKS), bpe.Encoder(ranks, P.PATTERN)
+    known, enc, rng = bpe.utf8_machine(RANKS), bpe.Encoder(ranks, P.PATTERN), random.Random(6)
     for t in texts(200, 3):
-        ids, machine = np.frombuffer(enc.encode(t), np.int32).tolist(), bpe.StreamingDecoder(bpe.token_table(RANKS))
+        ids, machine = np.frombuffer(enc.encode(t), np.int32).tolist(), bpe.StreamingDecoder(known)
         assert "".join([machine.feed([i]) for i in ids]) + machine.close() == t
-    machine = bpe.StreamingDecoder(names)
-    assert machine.feed([ranks[b"\xe2"]]) == "" and machine.close() == "�"
+    machine = bpe.StreamingDecoder(known)
+    assert machine.feed([ranks[b"\xe2"]]) == "" and machine.close() == "\ufffd"
+    odd = [b"\xe2", b"\x82", b"\xac", b"\xed", b"\xa0", b"\xf0", b"\x9f", b"\x98", b"\x80", b"\xf4", b"\x90", b"\xc0", b"A"]
+    for _ in range(2000):
+        data = [rng.choice(odd) for _ in range(rng.randrange(9))]
+        step = rng.randrange(1, 4)
+        got = "".join([machine.feed([ranks[b] for b in data[k : k + step]]) for k in range(0, len(data), step)])
+        assert not machine.held or b"".join(data).endswith(machine.held) and len(machine.held) < 4
+        assert got + machine.close() == b"".join(data).decode(errors="replace")
 
 
 def test_bpe_frames(docs, empty):
@@ -81,6 +99,14 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_memo_equals_tokenizers():
+    path = P.path("byte_bpe_50k.json")
+    plain, memo = Tokenizer.from_file(path), packing.encoder(path, 100)
+    plain.encode_special_tokens = True
+    for t in [*texts(3000, 17), "it's I'll they'RE", "a.\nB!? c,\td", "<|endoftext|>", "x  y \n z", "'s 't", "a\r\nb \x1c c\x0b"]:
+        assert np.frombuffer(b"".join(memo.values(t)), np.uint32).tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
 def test_language(docs, empty):
     model = langid.train(docs)
     got = langid.predict(docs, model).select("doc_id", "text", "lang", "lang_pred", "score").collect()

@@ -5,10 +5,10 @@ token that ends there and is compatible with the last token of the prefix before
 merges leave the two tokens apart. The transducer follows every place from which a token may still reach beyond the
 bytes read. Its state is that set of places, each with its node in the trie of tokens, the token before it and the
 output not yet emitted; output common to all of them is emitted at once (determinisation with residual outputs), so the
-lookahead is bounded by the longest token. States and transitions are made when first needed and kept in a bounded memo.
+lookahead is bounded by the longest token. States and transitions are made when first needed, and a bounded number kept.
 
-Decoding. Token bytes go through a small UTF-8 state machine which holds back an unfinished character, so that text
-can be emitted while ids arrive.
+Decoding. Tokens move a UTF-8 state machine forward, which says how much of an unfinished character is to be held back,
+so that text can be emitted while ids arrive.
 
 Cases: a null text is an empty one, with no ids; repeated rows repeat their result; very long texts run through the same
 states; an empty table gives no rows; other columns are kept as they are (a clash with the result's names is refused).
@@ -53,7 +53,10 @@ def merged(data: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
+    """limit: transitions that are kept. Once there are so many, others are made when they are needed and not kept, so
+    memory is bounded and the common beginnings of words stay."""
+
+    def __init__(self, ranks: dict[bytes, int], limit: int = 250_000):
         self.ranks, self.limit, self.token = ranks, limit, {r: t for t, r in ranks.items()}
         self.child: dict[int, int] = {}
         self.ends: list[int] = [-1]
@@ -67,52 +70,65 @@ class Transducer:
                 node = self.child[step]
             self.ends[node] = rank
         self.inner = {step >> 8 for step in self.child}
-        self.apart: dict[tuple[int, int], bool] = {}
-        self._restart()
-
-    def _restart(self) -> None:
-        """A state is a dict: byte to (next state, what is emitted), -1 to what is emitted at the end."""
+        self.apart: dict[int, bool] = {}
         self.made, self.number = 0, {}
-        self.places: dict[int, tuple] = {}
         self.start = self._state(((0, -1, ()),))
 
     def _state(self, places: tuple) -> dict:
-        if places not in self.number:
-            self.number[places] = state = {-1: places[-1][2]}
-            self.places[id(state)] = places
-        return self.number[places]
+        """A state is a dict: byte to (next state, what is emitted), -1 to what is emitted at the end, -2 to its places."""
+        state = self.number.get(places)
+        if state is None:
+            state = {-1: places[-1][2], -2: places}
+            if self.made < self.limit:
+                self.number[places] = state
+        return state
 
     def compatible(self, before: int, token: int) -> bool:
-        pair = before, token
-        if pair not in self.apart:
+        """Whether the merges leave the two apart; whether they make the token, if none is before it."""
+        pair = before + 1 << 32 | token
+        known = self.apart.get(pair)
+        if known is None:
             if len(self.apart) > self.limit:
                 self.apart.clear()
-            whole = self.token[token] if before < 0 else self.token[before] + self.token[token]
-            self.apart[pair] = merged(whole, self.ranks) == ([token] if before < 0 else [before, token])
-        return self.apart[pair]
+            own = self.token[token]
+            if before < 0:
+                known = merged(own, self.ranks) == [token]
+            else:
+                whole = self.token[before] + own
+                known = whole not in self.ranks and merged(whole, self.ranks) == [before, token]
+            self.apart[pair] = known
+        return known
 
     def move(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
-        """The next state and what is emitted; made on first use. Places that no token leaves are given up."""
+        """The next state and what is emitted. Places that no token leaves are given up."""
         alive, last = [], None
-        for node, before, held in self.places[id(state)]:
-            node = self.child.get(node << 8 | byte)
+        child, ends = self.child, self.ends
+        for node, before, held in state[-2]:
+            node = child.get(node << 8 | byte)
             if node is not None:
+                token = ends[node]
                 if node in self.inner:
                     alive.append((node, before, held))
-                token = self.ends[node]
                 if last is None and token >= 0 and self.compatible(before, token):
                     last = (0, token, (*held, token))
-        alive.append(last)
-        shared, held = 0, [x[2] for x in alive]
-        while all(len(h) > shared and h[shared] == held[0][shared] for h in held):
-            shared += 1
-        self.made += 1
-        state[byte] = out = (self._state(tuple((node, before, out[shared:]) for node, before, out in alive)), held[0][:shared])
+        shared, first = 0, last[2]
+        for _, _, held in alive:
+            if not held:
+                break
+        else:
+            while all(len(h) > shared and h[shared] == first[shared] for _, _, h in alive) and len(first) > shared:
+                shared += 1
+        if shared:
+            places = (*[(node, before, out[shared:]) for node, before, out in alive], (0, last[1], first[shared:]))
+        else:
+            places = (*alive, last)
+        out = (self._state(places), first[:shared])
+        if self.made < self.limit:
+            self.made += 1
+            state[byte] = out
         return out
 
     def run(self, data: bytes) -> list[int]:
-        if self.made > self.limit:
-            self._restart()
         state, out = self.start, []
         for byte in data:
             state, emitted = state.get(byte) or self.move(state, byte)
@@ -124,18 +140,15 @@ class Transducer:
 class Encoder:
     """Encodes texts: each match of the pattern by itself; a match that is a token is that token."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 400_000):
         self.ranks, self.machine = ranks, Transducer(ranks)
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.memo = Memo(lambda many: [array("i", self.plain(x)).tobytes() for x in many], memo)
-
-    def plain(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.pattern.findall(text):
-            data = piece.encode()
-            rank = self.ranks.get(data)
-            out += self.machine.run(data) if rank is None else (rank,)
-        return out
+        self.memo = Memo(self.pattern.findall, self.piece, limit=memo)
+
+    def piece(self, piece: str) -> bytes:
+        data = piece.encode()
+        rank = self.ranks.get(data)
+        return array("i", self.machine.run(data) if rank is None else (rank,)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as 32-bit integers."""
@@ -148,43 +161,84 @@ def worker_encoder(ranks_path: str, pattern: str, memo: int) -> Encoder:
     return Encoder(read_ranks(ranks_path), pattern, memo)
 
 
-def unfinished(data: bytes) -> int:
-    """How many bytes at the end begin a character that is not complete: the UTF-8 machine over the last three."""
-    for back in range(1, min(3, len(data)) + 1):
-        byte = data[-back]
-        if byte & 0xC0 != 0x80:
-            need = 4 if byte >= 0xF0 else 3 if byte >= 0xE0 else 2 if byte >= 0xC0 else 1
-            return back if need > back else 0
-    return 0
+# Fixed values of UTF-8: first bytes, how many bytes follow, and what the next of them may be.
+_FIRST = (
+    (0x00, 0x7F, 0, 0x80, 0xBF),
+    (0xC2, 0xDF, 1, 0x80, 0xBF),
+    (0xE0, 0xE0, 2, 0xA0, 0xBF),
+    (0xE1, 0xEC, 2, 0x80, 0xBF),
+    (0xED, 0xED, 2, 0x80, 0x9F),
+    (0xEE, 0xEF, 2, 0x80, 0xBF),
+    (0xF0, 0xF0, 3, 0x90, 0xBF),
+    (0xF1, 0xF3, 3, 0x80, 0xBF),
+    (0xF4, 0xF4, 3, 0x80, 0x8F),
+)
 
 
-class StreamingDecoder:
-    """Text for ids as they come; bytes that no text can have become U+FFFD."""
+class Utf8Machine:
+    """Reads bytes forward. A state is (bytes read of a character, bytes to come, least and greatest next byte)."""
+
+    START = (0, 0, 0x80, 0xBF)
 
     def __init__(self, token_bytes: list[bytes]):
-        self.token_bytes, self.held = token_bytes, b""
+        self.token_bytes, self.known = token_bytes, {}
+        self.begins = {b: (1, n, low, high) if n else self.START for first, last, n, low, high in _FIRST for b in range(first, last + 1)}
+        #: after a token that begins a character and ends one the state is START, whatever it was before
+        self.settles = np.array([bool(t) and t[0] in self.begins and self.through(self.START, t) == self.START for t in token_bytes], bool)
+
+    def through(self, state: tuple, data: bytes) -> tuple:
+        for byte in data:
+            read, more, low, high = state
+            if more and low <= byte <= high:
+                state = (read + 1, more - 1, 0x80, 0xBF) if more > 1 else self.START
+            else:  # a byte that nothing can have begins anew, or stands by itself
+                state = self.begins.get(byte, self.START)
+        return state
+
+    def step(self, state: tuple, token: int) -> tuple:
+        if (state, token) not in self.known:
+            self.known[state, token] = self.through(state, self.token_bytes[token])
+        return self.known[state, token]
+
+    def after(self, state: tuple, ids: np.ndarray) -> tuple:
+        """The state after all ids: from the last one that settles it."""
+        settled = np.nonzero(self.settles[ids])[0]
+        if len(settled):
+            state, ids = self.START, ids[settled[-1] + 1 :]
+        for token in ids.tolist():
+            state = self.step(state, token)
+        return state
+
+
+class StreamingDecoder:
+    """Text for ids as they come, holding back an unfinished character; bytes that no text can have become U+FFFD."""
+
+    def __init__(self, machine: Utf8Machine):
+        self.machine, self.state, self.held = machine, machine.START, b""
 
-    def feed(self, ids: list[int]) -> str:
-        data = self.held + b"".join(map(self.token_bytes.__getitem__, ids))
-        keep = unfinished(data)
-        self.held = data[len(data) - keep :]
-        return data[: len(data) - keep].decode(errors="replace")
+    def feed(self, ids: np.ndarray | list[int]) -> str:
+        ids = np.asarray(ids, np.int64)
+        data = self.held + b"".join(map(self.machine.token_bytes.__getitem__, ids.tolist()))
+        self.state = self.machine.after(self.state, ids)
+        whole = len(data) - self.state[0]
+        self.held = data[whole:]
+        return data[:whole].decode(errors="replace")
 
     def close(self) -> str:
-        data, self.held = self.held, b""
+        data, self.held, self.state = self.held, b"", self.machine.START
         return data.decode(errors="replace")
 
 
 @lru_cache(maxsize=2)
-def token_table(ranks_path: str) -> list[bytes]:
+def utf8_machine(ranks_path: str) -> Utf8Machine:
     ranks = read_ranks(ranks_path)
     out = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         out[rank] = token
-    return out
+    return Utf8Machine(out)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: str = "ids", memo: int = 500_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: str = "ids", memo: int = 400_000) -> DataFrame:
     """Adds a column of ids (array<int>) to docs."""
     if ids in docs.columns:
         raise ValueError(f"docs has a column {ids}")
@@ -206,13 +260,13 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "d
     """Adds the text of the ids as UTF-8 bytes; ids are fed to the streaming decoder in runs of ``step``."""
 
     def text(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = token_table(ranks_path)
+        known = utf8_machine(ranks_path)
         for rows in column:
             ends, flat = rows.offsets.to_numpy(), rows.values.to_numpy()
             out = []
             for a, b in zip(ends[:-1], ends[1:], strict=True):
-                machine = StreamingDecoder(names)
-                out.append("".join([machine.feed(flat[i : min(i + step, b)].tolist()) for i in range(a, b, step)] + [machine.close()]).encode())
+                machine = StreamingDecoder(known)
+                out.append("".join([machine.feed(flat[i : min(i + step, b)]) for i in range(a, b, step)] + [machine.close()]).encode())
             yield pa.array(out, pa.binary())
 
     return docs.withColumn(decoded, F.arrow_udf(text, "binary")(F.col(ids)))

@@ -1,13 +1,15 @@
-"""Texts cut at places where byte-level pre-tokenizers always cut, and a bounded memo of what each part encodes to.
+"""Texts cut at places where byte-level pre-tokenizers always cut, and bounded memos of what each part encodes to.
 
 The patterns of byte-level BPE attach one space to the word behind it. So a single space between two characters that
-are no white space begins a new pre-token whatever stands around it, and both sides encode independently.
+are no white space begins a new pre-token whatever stands around it, and both sides encode independently. A part is
+one pre-token or several, which are remembered too: words that stand before a full stop or a line's end are known as
+soon as they have stood alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 _ODD, _CUT = re.compile(r" \s|\s "), re.compile(r"(?<=\S) (?=\S)")
 
@@ -18,20 +20,52 @@ def parts(text: str) -> list[str]:
 
 
 class Memo:
-    """encode: from many strings to one value for each. At most ``limit`` values are kept; then the memo begins anew."""
+    """pieces: the pre-tokens of a part; encode: from a pre-token to its ids as bytes; many: from parts whose pre-tokens
+    aren't told (pieces gives None) to their ids. About ``limit`` values are kept at most: what is asked for stays in
+    the younger half, and when that is full the older one goes."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 300_000):
-        self.encode, self.limit, self.known = encode, limit, {}
+    def __init__(self, pieces: Callable[[str], list[str] | None], encode: Callable[[str], bytes], many: Callable[[list[str]], list[bytes]] | None = None, limit: int = 300_000):
+        self.pieces, self.encode, self.many, self.limit = pieces, encode, many, limit
+        self.known: dict[str, bytes] = {}  # by part, which a space precedes; by pre-token with a space before it, if none does
+        self.old: dict[str, bytes] = {}
 
-    def values(self, text: str) -> list:
+    def piece(self, piece: str) -> bytes:
+        name = piece[1:] if piece[0] == " " and len(piece) > 1 and piece[1] != " " else " " + piece
+        value = self.known.get(name)
+        if value is None:
+            value = self.old.get(name)
+            if value is None:
+                value = self.encode(piece)
+            self.known[name] = value
+        return value
+
+    def learn(self, missing: set[str]) -> None:
+        """Values of parts that a space precedes."""
+        known, rest = self.known, []
+        for part in missing:
+            value = self.old.get(part)
+            if value is None:
+                found = self.pieces(" " + part)
+                if found is None:
+                    rest.append(part)
+                    continue
+                value = self.encode(found[0]) if len(found) == 1 else b"".join(map(self.piece, found))
+            known[part] = value
+        if rest:
+            known.update(zip(rest, self.many([" " + p for p in rest]), strict=True))
+
+    def values(self, text: str) -> list[bytes]:
         first, *rest = parts(text)
         known = self.known
         try:
             found = list(map(known.__getitem__, rest))
         except KeyError:
-            if len(known) > self.limit:
-                known.clear()
-            missing = [*set(rest).difference(known)]
-            known.update(zip(missing, self.encode([" " + p for p in missing]), strict=True))
+            if len(known) > self.limit // 2:
+                self.old, self.known = known, {}
+                known = self.known
+            self.learn(set(rest).difference(known))
             found = list(map(known.__getitem__, rest))
-        return [*self.encode([first]), *found] if first else found
+        if first:
+            told = self.pieces(first)
+            found.insert(0, b"".join(map(self.piece, told)) if told is not None else self.many([first])[0])
+        return found

@@ -11,7 +11,9 @@ token's string inside a text is ordinary text.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,18 +35,36 @@ def decompose(n: int, longest: int = 1024) -> list[int]:
     return [longest] * whole + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
+# How byte-level BPE cuts texts, and writes a space, a tab and a line's end.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+_WRITTEN = {ord(" "): "\u0120", ord("\t"): "\u0109", ord("\n"): "\u010a"}
+_PLAIN = re.compile(r"[\t\n\x20-\x7e]*")
+
+
+def byte_level_pieces(text: str) -> list[str] | None:
+    """The pre-tokens of plain text; None of other text, which the library cuts itself."""
+    return _PIECES.findall(text) if _PLAIN.fullmatch(text) else None
+
+
 @lru_cache(maxsize=2)
 def encoder(tokenizer: str, memo: int) -> Memo:
-    """One for each Python worker, so that what a task has learned serves the next ones."""
+    """One for each Python worker, so that what a task has learned serves the next ones. Tokenizers whose pre-tokens are
+    not known to be those of byte-level BPE encode whole parts."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(tokenizer)
     model.encode_special_tokens = True
-    return Memo(lambda many: [array("I", x.ids).tobytes() for x in model.encode_batch_fast(many, add_special_tokens=False)], memo)
+    spec = json.loads(model.to_str())
+    bare, kind = model.model, spec["pre_tokenizer"] or {}
+    known = spec["normalizer"] is None and spec["model"]["type"] == "BPE" and kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space")
+    added = [t["content"] for t in spec["added_tokens"] if not t["special"]]
+    many = lambda texts: [array("I", x.ids).tobytes() for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+    one = lambda piece: array("I", [t.id for t in bare.tokenize(piece.translate(_WRITTEN))]).tobytes()
+    return Memo(byte_level_pieces if known and not added else lambda _: None, one, many, memo)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = 1024, memo: int = 700_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = 1024, memo: int = 400_000) -> DataFrame:
     """From docs(doc_id, text): a row for each piece, ids as little-endian unsigned 32-bit integers, with its bucket
     (log2 of the length), sequence_id and offset. Ids of sequences come from the partition and the place in it."""
 
