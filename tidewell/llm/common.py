@@ -16,19 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, a folder of our own in local mode,
+    where one machine runs all; on a cluster it must be set, as executors don't see each other's folders."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.tidewell.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.tidewell.scratch", base)
     return base.rstrip("/")
 
 
 class Scratch:
-    """Written intermediate tables in the shared folder: they cut lineage and outlive lost executors."""
+    """Written intermediate tables in the shared folder: they cut lineage and outlive lost executors. Operators drop
+    what they have read to the end; what a lazy result still reads goes by :func:`sweep` once that is written."""
+
+    live: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", {}
+        Scratch.live.append(self)
 
     def write(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
         """batch: rows that Python gets at once while this table is made, where rows are large."""
@@ -50,6 +57,14 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sweep(*keep: Scratch) -> None:
+    """Delete the tables of all but those, when nothing that reads them is yet to run."""
+    for scratch in Scratch.live:
+        if scratch not in keep:
+            scratch.drop(*scratch.paths)
+    Scratch.live = [*keep]
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Those names, lengthened until none clashes with a column (whose names Spark compares without case)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -49,6 +49,8 @@ def principal(rows: DataFrame, size: int, leading: int) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Scaled by their greatest component first, so that no finite row's squares leave the range."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -76,7 +78,7 @@ def near(xa: np.ndarray, ya: np.ndarray, xb: np.ndarray, yb: np.ndarray, same: b
             todo += [(a0, a1, b0, bm), (a0, a1, bm, b1)]
 
 
-def linked(vectors: DataFrame, cosine: float = 0.98, leading: int = 4, block: int = 1024) -> DataFrame:
+def linked(vectors: DataFrame, cosine: float = 0.98, leading: int = 8, block: int = 1024) -> DataFrame:
     """From vectors(vec_id, embedding, label): vec_id, n_links, component_id, kept for each row."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ego")

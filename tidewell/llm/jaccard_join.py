@@ -87,15 +87,15 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int, step: int = 400) -> Ite
 
 
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and print (null without shingles or id) of each row."""
+    """doc_id, mark (a hash of the text), n_shingles and print (null without shingles or id) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, _, owner, marks in _sets(batches, words):
             sizes = np.bincount(owner, minlength=some.num_rows)
             none = (sizes == 0) | np.array(some.column(0).is_null())
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes.astype(np.int64)), pa.array(marks.view(np.int64), mask=none)], ["doc_id", "n_shingles", "print"])
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(sizes.astype(np.int64)), pa.array(marks.view(np.int64), mask=none)], ["doc_id", "mark", "n_shingles", "print"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, print long")
+    return docs.withColumn("mark", F.xxhash64("text")).mapInArrow(run, "doc_id long, mark long, n_shingles long, print long")
 
 
 def common_shingles(docs: DataFrame, words: int, least: int = 3, part: int = 16, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -304,7 +304,7 @@ def linked_in_tiles(members: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, tile: int = 3 << 19, few: int = 32) -> DataFrame:
-    """From docs(doc_id, text): doc_id, n_shingles, component_id. tile: shingles in a side of a tile, about;
+    """From docs(doc_id, text): doc_id, mark (xxhash64 of the text), n_shingles, component_id. tile: shingles in a side of a tile, about;
     few: sets of a key that still give pairs."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -324,11 +324,11 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, tile: in
     scratch.drop("candidates", "near")
     of = scratch.write(reps.join(links.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id")), "of")
     scratch.drop("dealt")
-    return rows.join(of, "print", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(of, "print", "left").select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"), words=3, percent=90)
+    return jaccard_classes(table(spark, sf_dir, "documents"), words=3, percent=90).drop("mark")
 
 
 OP3_SQL = r"""

@@ -93,17 +93,17 @@ class Model:
         return [self.languages[k] for k in order[:, 0]], top, top * (1 - second) < self.margin
 
 
-def fit(texts: list[str], langs: list[str], margin: float = 0.05, steps: int = 100, rate: float = 20.0) -> Model | None:
-    """Logistic regressions of all bits at once, by accelerated gradient steps."""
+def fit(x: np.ndarray, langs: list[str], margin: float = 0.05, steps: int = 100, rate: float = 20.0) -> Model | None:
+    """Logistic regressions of all bits at once, by accelerated gradient steps, from features and languages."""
     languages = tuple(sorted(set(langs)))
     if not languages:
         return None
-    x, code = features(texts), codewords(len(languages))
+    code = codewords(len(languages))
     target = code[[languages.index(a) for a in langs]]
     w, b = np.zeros((SIZE, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     ahead_w, ahead_b = w, b
     for step in range(steps if code.shape[1] else 0):
-        pull = -target / (1 + np.exp(np.clip(target * (x @ ahead_w + ahead_b), -30, 30))) / len(texts)
+        pull = -target / (1 + np.exp(np.clip(target * (x @ ahead_w + ahead_b), -30, 30))) / len(x)
         new_w, new_b = ahead_w - rate * (x.T @ pull + 1e-5 * ahead_w), ahead_b - rate * pull.sum(0)
         fast = step / (step + 3)
         ahead_w, ahead_b, w, b = new_w + fast * (new_w - w), new_b + fast * (new_b - b), new_w, new_b
@@ -127,10 +127,23 @@ def sampled(rows: DataFrame, group: str, quota: int, key: str = "doc_id") -> Dat
 
 
 def train(docs: DataFrame, per_language: int = 500, margin: float = 0.05) -> Model | None:
-    """From docs(doc_id, text, lang): rows with a label and a letter."""
+    """From docs(doc_id, text, lang): rows with a label and a letter. Tasks make their features; of these, whose number is
+    bounded for each text, the sample's come to the driver."""
     rows = sampled(docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text"), "lang", per_language)
-    got = [(r["text"], r["lang"]) for r in rows.select("text", "lang").collect() if _LETTER.search(r["text"])]
-    return fit([t for t, _ in got], [a for _, a in got], margin)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                some = [(lang, text) for lang, text in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True) if _LETTER.search(text)]
+                made = features([text for _, text in some])
+                places = [np.nonzero(x)[0].astype(np.int32) for x in made]
+                yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in some], pa.string()), pa.array([i.tobytes() for i in places], pa.binary()), pa.array([x[i].tobytes() for x, i in zip(made, places, strict=True)], pa.binary())], ["lang", "places", "found"])
+
+    got = rows.select("lang", "text").mapInArrow(run, "lang string, places binary, found binary").collect()
+    x = np.zeros((len(got), SIZE), np.float32)
+    for i, r in enumerate(got):
+        x[i, np.frombuffer(r["places"], np.int32)] = np.frombuffer(r["found"], np.float32)
+    return fit(x, [r["lang"] for r in got], margin)
 
 
 PREDICTED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import Scratch, table
+from tidewell.llm.common import Scratch, table, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -127,7 +127,8 @@ def written(column: str) -> Column:
 
 def sanitised(docs: DataFrame, alpha: float = 0.8, support: int = 3) -> DataFrame:
     """docs with a generalisation in place of each span of text; rows without spans are as they were."""
-    marked = spans(docs, alpha, support).where(F.size("spans") > 0).select(F.col("row").alias("_row"), F.col("spans").alias("_spans")).dropDuplicates(["_row"])
+    row, found = unused(docs, "row", "spans")
+    marked = spans(docs, alpha, support).where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(found)).dropDuplicates([row])
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -135,9 +136,9 @@ def sanitised(docs: DataFrame, alpha: float = 0.8, support: int = 3) -> DataFram
         text = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), names[s["rank"]])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], text).otherwise(acc["out"]).alias("out"))
 
-    new = F.aggregate("_spans", first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    joined = docs.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit("")), "doc_id")).join(marked, "_row", "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(new)).select(*docs.columns)
+    new = F.aggregate(found, first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    joined = docs.withColumn(row, F.xxhash64(F.coalesce("text", F.lit("")), "doc_id")).join(marked, row, "left")
+    return joined.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(new)).select(*docs.columns)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
