@@ -4,13 +4,15 @@
    labelled rows of the learning folds. A voter votes "toxic" or abstains.
 2. Label model. Spark sums each voter's votes and each pair's common votes over all documents. Given the class, most
    voters are independent, so off-diagonal covariances factor as d_i * d_j; each d_i is fitted to its positively
-   covarying voters (voters of other languages never meet), which gives its rates in either class. What remains of a
-   covariance beyond d_i * d_j is correlation, and correlated voters share their weight.
+   covarying voters (voters of other languages never meet), and to one more voter of known rates, the labels, which
+   votes on the labelled sample alone. That gives a voter's rates in either class. What remains of a covariance beyond
+   d_i * d_j is correlation, and correlated voters share their weight.
 3. The posterior of a document is the prior's log odds and the summed weights of its votes. A logistic regression over
-   the voters and a bias is fitted to posteriors of a bounded sample of labelled rows of the learning folds, each
-   averaged with the row's label; its value is the score.
+   the voters and a bias is fitted to the posteriors of a bounded sample of labelled rows of the learning folds; its
+   value is the score. Labels choose voters, give the prior and steady the rates; they are no target.
 
-Bounds: at most ``quota`` labelled rows of each class are learned from, and at most ``most_voters`` voters are kept.
+Bounds: at most ``quota`` labelled rows of each class are learned from. All markers of theirs that stand out vote; how
+many can is bounded by the sample.
 Cases: a null or empty text scores like one without votes; a null doc_id is in no fold; without any toxic label there
 are only the fixed voters; repeated rows repeat their result, repeated labels of one id count once (toxic wins);
 very long texts are read whole; other columns are not read; an empty table gives no rows.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import table
+from tidewell.llm.common import Scratch, table
 from tidewell.llm.langid import fold, sampled
 
 # Insults and writing patterns that vote whatever the labels say.
@@ -69,9 +71,9 @@ def votes(text: str, voters: Voters) -> list[int]:
     return sorted(found | {voters[k] for k, p in _PATTERNS.items() if k in voters and p.search(text)})
 
 
-def mine(rows: DataFrame, least_lift: float = 10, least_llr: float = 20, most_voters: int = 150) -> list[str]:
+def mine(rows: DataFrame, least_lift: float = 10, least_llr: float = 20) -> list[str]:
     """rows(text, toxic), bounded: markers ten times as common in toxic rows as in others, by a log-likelihood ratio
-    that chance doesn't reach. A marker that begins with one already kept is left out."""
+    that chance doesn't reach. A marker that begins with one already kept is left out, as its rows are the other's."""
     totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if not totals.get(1):
         return []
@@ -89,14 +91,14 @@ def mine(rows: DataFrame, least_lift: float = 10, least_llr: float = 20, most_vo
     lift = (F.col("bad") / n_bad) / ((F.col("good") + 0.5) / (n_good + 1))
     share = F.col("bad") / (F.col("bad") + F.col("good"))
     llr = 2 * (F.col("bad") * F.log(share * (n_bad + n_good) / n_bad) + F.col("good") * F.log(F.greatest(1 - share, F.lit(1e-12)) * (n_bad + n_good) / max(1, n_good)))
-    best = sums.where((F.col("bad") >= 3) & (lift >= least_lift) & (llr >= least_llr)).orderBy(F.desc("bad"), F.length("marker"), "marker").limit(4 * most_voters).collect()
-    kept: list[str] = []
-    for r in best:
-        m = r["marker"]
-        inside = [k for k in kept if (k[-1] == "-" or k[-1] == m[-1] == "+") and m.strip("=-+").startswith(k[:-1])]
-        if not inside:
-            kept.append(m)
-    return kept[:most_voters]
+    best = sums.where((F.col("bad") >= 3) & (lift >= least_lift) & (llr >= least_llr)).orderBy(F.desc("bad"), F.length("marker"), "marker").collect()
+    kept: dict[str, None] = {}
+    for (m,) in ((r["marker"],) for r in best):
+        stem = m.strip("=-+")
+        starts = [stem[:n] for n in range(4, min(7, len(stem)) + 1)]
+        if not any(s + "-" in kept or m[-1] == "+" and s + "+" in kept for s in starts):
+            kept[m] = None
+    return [*kept]
 
 
 @dataclass(frozen=True)
@@ -109,12 +111,14 @@ class LabelModel:
     silent: float = 0.1  # the share of toxic documents that no voter is taken to know
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
-        rest = self.prior * self.silent
-        return 1 / (1 + np.exp(-np.clip(np.log(rest / (1 - rest)) + x @ self.weights, -30, 30)))
+        """Of rows of votes. A row without any is toxic by the prior times ``silent``; others start from the prior."""
+        rest, own = (np.log(p / (1 - p)) for p in (self.prior * self.silent, self.prior))
+        return 1 / (1 + np.exp(-np.clip(np.where(x.any(1), own, rest) + x @ self.weights, -30, 30)))
 
 
-def label_model(n: int, ones: np.ndarray, both: np.ndarray, prior: float) -> LabelModel:
-    """From sums over all documents: n of them, votes by voter, common votes by pair."""
+def label_model(n: int, ones: np.ndarray, both: np.ndarray, prior: float, labelled: tuple[np.ndarray, np.ndarray] | None = None) -> LabelModel:
+    """From sums over all documents: n of them, votes by voter, common votes by pair. labelled: the share of toxic and of
+    other labelled rows that each voter votes on."""
     mean = ones / max(n, 1)
     cov = both / max(n, 1) - np.outer(mean, mean)
     size = len(mean)
@@ -122,9 +126,13 @@ def label_model(n: int, ones: np.ndarray, both: np.ndarray, prior: float) -> Lab
     d = np.sqrt(np.clip(np.diag(cov), 0, None)) * 0.7
     for _ in range(50):  # least squares over the friends, one factor
         top, low = (cov * friends) @ d, friends @ d**2
+        if labelled:
+            top, low = top + (labelled[0] - labelled[1]) * (prior * (1 - prior)) ** 1.5, low + prior * (1 - prior)
         d = np.clip(0.5 * d + 0.5 * np.where(low > 1e-12, top / np.maximum(low, 1e-12), 0), 0, None)
     odds = np.sqrt((1 - prior) / prior)
     hit, noise = np.clip(mean + d * odds, 1e-4, 0.999), np.clip(mean - d / odds, 1e-5, 0.999)
+    if labelled:  # a small difference of sums says less about rare noise than labelled rows do
+        noise = np.maximum(noise, labelled[1])
     noise = np.minimum(noise, hit)
     spread = np.sqrt(np.maximum(np.outer(np.diag(cov), np.diag(cov)), 1e-18))
     correlation = np.where(friends, np.clip((cov - np.outer(d, d)) / spread, 0, 1), 0)
@@ -133,68 +141,81 @@ def label_model(n: int, ones: np.ndarray, both: np.ndarray, prior: float) -> Lab
 
 
 def count_votes(docs: DataFrame, voters: Voters) -> tuple[int, np.ndarray, np.ndarray]:
-    """One pass over all documents; each task gives one row of sums, whose size is the voters' number squared."""
+    """One pass over all documents: how many, votes by voter, common votes by pair of voters that meet."""
     size = len(voters)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, both = 0, np.zeros((size, size), np.int64)
         for batch in batches:
+            met = [np.empty(0, np.int64)]
             for text in batch.column(0).to_pylist():
-                n += 1
-                at = votes(text or "", voters)
-                if at:
-                    both[np.ix_(at, at)] += 1
-        i, j = np.nonzero(both)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.append(j, -1)), pa.array(np.append(both[i, j], n))], ["i", "j", "n"])
+                at = np.array(votes(text or "", voters), np.int64)
+                met.append((at[:, None] * size + at).ravel())
+            pair, n = np.unique(np.concatenate(met), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(pair, -1)), pa.array(np.append(n, batch.num_rows))], ["pair", "n"])
 
-    sums = docs.select("text").mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
-    inside = sums[sums["i"] >= 0]
-    both = np.zeros((size, size))
-    both[inside["i"].to_numpy(np.int64), inside["j"].to_numpy(np.int64)] = inside["n"]
-    return int(sums[sums["i"] < 0]["n"].sum()), np.diag(both).copy(), both
+    sums = docs.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    inside = sums[sums["pair"] >= 0]
+    both = np.zeros(size * size)
+    both[inside["pair"].to_numpy(np.int64)] = inside["n"]
+    both = both.reshape(size, size)
+    return int(sums[sums["pair"] < 0]["n"].sum()), np.diag(both).copy(), both
 
 
 @dataclass(frozen=True)
 class Scorer:
     voters: Voters
     weights: np.ndarray
+    any: float  # for rows with a vote
     bias: float
 
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[votes(text, self.voters)].sum(), -30, 30))))
+        at = votes(text, self.voters)
+        return float(1 / (1 + np.exp(-np.clip(self.bias + (self.any + self.weights[at].sum() if at else 0), -30, 30))))
 
 
-def fit(rows: list[tuple[str, int]], voters: Voters, model: LabelModel, steps: int = 25) -> Scorer:
-    """A ridge logistic regression on the mean of posterior and label, by Newton's steps."""
+def fit(rows: list[list[int]], voters: Voters, model: LabelModel, steps: int = 25) -> Scorer:
+    """A ridge logistic regression on the posteriors of rows of votes, by Newton's steps."""
     x = np.zeros((len(rows), len(voters)), np.float64)
-    for i, (text, _) in enumerate(rows):
-        x[i, votes(text or "", voters)] = 1
-    y = (model.posterior(x) + np.array([t for _, t in rows], np.float64)) / 2
-    x = np.column_stack([x, np.ones(len(rows))])
-    w, ridge = np.zeros(len(voters) + 1), np.diag([0.2] * len(voters) + [1e-3])
-    for _ in range(steps):
+    for i, at in enumerate(rows):
+        x[i, at] = 1
+    y = model.posterior(x)
+    x = np.column_stack([x, x.any(1), np.ones(len(rows))])
+    w, ridge = np.zeros(len(voters) + 2), np.diag([0.2] * len(voters) + [1e-3] * 2)
+    for _ in range(steps if len(rows) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = (x * (p * (1 - p))[:, None]).T @ x + ridge
-        w = w - np.linalg.solve(slope, x.T @ (p - y) + ridge @ w)
+        step = np.linalg.solve(slope, x.T @ (p - y) + ridge @ w)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
     if not len(rows):
         w[-1] = -4.0
-    return Scorer(voters, w[:-1], float(w[-1]))
+    return Scorer(voters, w[:-2], float(w[-2]), float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, quota: int = 3000, most_voters: int = 150) -> Scorer:
-    """docs(doc_id, text): all; labels(doc_id, toxic): those of the learning folds."""
-    spark = docs.sparkSession
+def train(docs: DataFrame, labels: DataFrame, quota: int = 3000) -> Scorer:
+    """docs(doc_id, text): all; labels(doc_id, toxic): those of the learning folds. Of the sample's texts only votes
+    come to the driver."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     totals = {r[0]: r[1] for r in marks.groupBy("toxic").count().collect()}
     prior = min(0.5, max(0.001, totals.get(1, 0) / max(1, sum(totals.values()))))
     chosen = sampled(marks, "toxic", quota)  # two classes, so about 2 * quota rows at most: small enough to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    learned = rows.toPandas()
-    small = spark.createDataFrame(learned, "text string, toxic int") if len(learned) else rows
-    names = [*dict.fromkeys([*("=" + w for w in LEXICON), *PATTERNS, *mine(small, most_voters=most_voters)])]
-    voters = Voters(names)
-    model = label_model(*count_votes(docs, voters), prior)
-    return fit([*zip(learned["text"], learned["toxic"], strict=True)], voters, model)
+    sample = scratch.write(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "sample")
+    voters = Voters([*dict.fromkeys([*("=" + w for w in LEXICON), *PATTERNS, *mine(sample)])])
+
+    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([votes(t or "", voters) for t in batch.column(0).to_pylist()], pa.list_(pa.int64())), batch.column(1)], ["votes", "toxic"])
+
+    learned = sample.select("text", "toxic").mapInArrow(cast, "votes array<long>, toxic int").collect()
+    scratch.drop("sample")
+    shares = []
+    for kind in (1, 0):
+        rows = [r["votes"] for r in learned if r["toxic"] == kind]
+        shares.append((np.bincount([i for at in rows for i in at], minlength=len(voters)) + 0.05) / (len(rows) + 1))
+    model = label_model(*count_votes(docs, voters), prior, tuple(shares) if len({r["toxic"] for r in learned}) == 2 else None)
+    return fit([r["votes"] for r in learned], voters, model)
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
