@@ -91,16 +91,21 @@ def surroundings(found: DataFrame, reach: int = 100) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch, alpha: float = 0.8, support: int = 3) -> DataFrame:
-    """Words that disclose an entity: (term). docs(text): all of them; found: those with base spans."""
+    """Words that disclose an entity: (term). docs(row, text): all of them; found: those with base spans."""
     pairs = scratch.write(surroundings(found), "pairs")
     counts = pairs.groupBy("entity", "term").agg(F.count_distinct("row").alias("n_et"), F.count_distinct("near").alias("support")).where(F.col("support") >= support)
     entities = found.select("row", F.explode("spans").alias("s")).select("row", F.concat_ws(":", F.col("s.rank"), F.col("s.found")).alias("entity")).groupBy("entity").agg(F.count_distinct("row").alias("n_e"))
     n = docs.count()
-    likely = scratch.write(counts.join(entities, "entity"), "likely")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))).alias("term"))
-    words = words.join(likely.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    likely = counts.join(entities, "entity").where(F.col("n_e") < n)
+    # a word in more documents than this can't disclose the entity; one part in 16 of them, drawn by hash, already tells
+    # so of common words, and nothing else is decided by it
+    most = F.col("n_et") * F.pow(n / F.col("n_e"), 1 - alpha) * (1 + 1e-9)
+    words = lambda rows: rows.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))).alias("term"))
+    seen = words(docs.where(F.pmod("row", F.lit(16)) == 0)).groupBy("term").agg(F.count("*").alias("seen"))
+    likely = scratch.write(likely.join(seen, "term", "left").where(F.coalesce("seen", F.lit(0)) <= most).drop("seen"), "likely")
+    often = words(docs).join(likely.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     pmi = F.log2(F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0)) * n / F.col("n_e"))
-    return scratch.write(likely.join(words, "term").where((F.col("n_e") < n) & (pmi >= alpha * F.log2(n / F.col("n_e")))).select("term").distinct(), "terms")
+    return scratch.write(likely.join(often, "term").where(pmi >= alpha * F.log2(n / F.col("n_e"))).select("term").distinct(), "terms")
 
 
 def spans(docs: DataFrame, alpha: float = 0.8, support: int = 3) -> DataFrame:
