@@ -45,18 +45,3 @@ def epoch_seconds(stamp: Column) -> Column:
     """Whole seconds since 1970 of a time without zone, whatever the session's zone."""
     day = F.datediff(stamp.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
     return day * 86400 + F.hour(stamp).cast("long") * 3600 + F.minute(stamp).cast("long") * 60 + F.second(stamp).cast("long")
-
-
-def pack_storage_id(page: Column, place: Column, length: Column, count: Column, cold: Column) -> Column:
-    """1 bit cold, 17 page, 16 place, 15 length, 15 count, in a signed long."""
-    hot = F.shiftleft(page.cast("long"), 46).bitwiseOR(F.shiftleft(place.cast("long"), 30)).bitwiseOR(F.shiftleft(length.cast("long"), 15)).bitwiseOR(count.cast("long"))
-    return F.when(cold, hot.bitwiseOR(F.lit(-(1 << 63)))).otherwise(hot)
-
-
-def unpack_storage_id(packed: Column) -> Column:
-    part = lambda shift, bits: F.shiftrightunsigned(packed, shift).bitwiseAND(F.lit((1 << bits) - 1))
-    return F.struct(part(46, 17).alias("page"), part(30, 16).alias("place"), part(15, 15).alias("length"), part(0, 15).alias("count"), is_cold(packed).alias("cold"))
-
-
-def is_cold(packed: Column) -> Column:
-    return (packed < 0) & (packed != -1)

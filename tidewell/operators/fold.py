@@ -1,33 +1,48 @@
 """Folds along a series, where each point's fate hangs on the last one kept.
 
 A point that comes at least the least distance after the point before it is kept whatever came earlier, so a series
-falls into runs that don't know of each other. Runs are found by bucket, with a summary row for each bucket, and folded
-one by one: a series that holds most points is dealt over its runs. Rows of a run stream by in order.
+falls into runs that don't know of each other. Runs begin at every such gap, found within slices of time and from one
+summary row for each slice. Points that are a run by themselves, most of them in a sparse series, are decided without
+Python; the others stream by in order, in memory that doesn't grow. A series without any gap is one run, so one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-
-def with_runs(points: DataFrame, series: list[str], delta: int) -> DataFrame:
-    """Adds run: a number that rises with each bucket of the series that begins at least delta after the one before."""
-    spans = points.groupBy(*series, "bucket").agg(F.min("unix_time").alias("_first"), F.max("unix_time").alias("_last"))
-    by = Window.partitionBy(*series).orderBy("bucket")
-    before = F.max("_last").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = (before.isNull() | (F.col("_first") - before >= delta)).cast("long")
-    runs = spans.withColumn("_fresh", fresh).withColumn("run", F.sum("_fresh").over(by)).select(*series, "bucket", "run")
-    return points.join(runs, [*series, "bucket"])
+from pyspark.sql import types as T
+
+
+def with_runs(points: DataFrame, series: list[str], delta: int, services: bool = False, width: int = 1 << 14) -> DataFrame:
+    """Adds run, a number that rises with each point that comes at least delta after all before it, and alone, if it
+    and its successor begin runs. services: adds mask too, the services that the whole series has."""
+    sliced = points.withColumn("slice", F.floor(F.col("unix_time") / width))
+    inner = Window.partitionBy(*series, "slice").orderBy("unix_time")
+    whole = Window.partitionBy(*series)
+    order = whole.orderBy("slice")
+    marks = [F.bit_or(F.expr("shiftleft(1L, cast(service_id AS int))")).alias("mask")] if services else []
+    spans = sliced.groupBy(*series, "slice").agg(F.min("unix_time").alias("low"), F.max("unix_time").alias("high"), *marks)
+    known = spans.withColumn("before", F.lag("high").over(order)).withColumn("after", F.lead("low").over(order))
+    if services:
+        known = known.withColumn("mask", F.bit_or("mask").over(whole))
+    near = sliced.withColumn("last", F.lag("unix_time").over(inner)).withColumn("next", F.lead("unix_time").over(inner))
+    both = near.join(known.drop("low", "high"), [*series, "slice"])
+    begins = lambda a, b: F.coalesce(b - a >= delta, F.lit(True))
+    marked = both.withColumn("fresh", begins(F.coalesce("last", "before"), F.col("unix_time"))).withColumn("ends", begins(F.col("unix_time"), F.coalesce("next", "after")))
+    counted = spans.select(*series, "slice").join(marked.groupBy(*series, "slice").agg(F.count_if("fresh").alias("n")), [*series, "slice"])
+    base = counted.withColumn("base", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    own = F.sum(F.col("fresh").cast("long")).over(inner)  # by range, so that equal times are in one run
+    return marked.withColumn("own", own).join(base, [*series, "slice"]).withColumn("run", F.col("base") + F.col("own")).withColumn("alone", F.col("fresh") & F.col("ends")).drop("slice", "last", "next", "before", "after", "fresh", "ends", "own", "base")
 
 
 def thinned(points: DataFrame, series: list[str], delta: int, rank: str | None = None) -> DataFrame:
     """Greedy thinning in order of time: a point stays if it comes at least delta after the last one that stayed."""
     order = [*series, "run", "unix_time", *([rank] if rank else [])]
-    runs = with_runs(points, series, delta).repartition(*series, "run").sortWithinPartitions(*order)
+    runs = with_runs(points, series, delta)
     width = len(series) + 1
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,45 +55,57 @@ def thinned(points: DataFrame, series: list[str], delta: int, rank: str | None =
                     now, last = group, t
             yield rows[pd.Series(stay, index=rows.index, dtype=bool)]
 
-    return runs.mapInPandas(keep, runs.schema).drop("run")
-
-
-def merged(copies: DataFrame, delta: int, epsilon: float) -> DataFrame:
-    """Copies of series, service after service: the first copy is taken as it is; each later one, though it be empty in
-    a run, is merged into the result by time (the result first on ties) and thinned, counting values that differ from the kept one.
-
-    From (key_norm, bucket, unix_time, service_id, value) to (key_norm, unix_time, value, mismatches): mismatches has
-    how many points this one displaced whose value is off by more than epsilon, relative or absolute."""
-
-    def merge(out: list[list], new: list[list]) -> list[list]:
-        both, kept = sorted([(p[0], 0, i, p) for i, p in enumerate(out)] + [(p[0], 1, i, p) for i, p in enumerate(new)], key=lambda x: x[:3]), []
-        for t, _, _, p in both:
-            if not kept or t - kept[-1][0] >= delta:
-                kept.append(p)
-            else:
-                kept[-1][2] += p[2] + (abs(p[1] - kept[-1][1]) > max(epsilon * abs(kept[-1][1]), epsilon))
-        return kept
-
-    def fold(copies_of: dict[int, list[list]], first: int, several: bool) -> list[list]:
-        out = copies_of.pop(first, [])
-        for new in [*copies_of.values()] or [[]] * int(several):
-            out = merge(out, new)
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, copies_of = None, {}
-        for rows in batches:
-            made: list[tuple] = []
-            for key, number, first, n, service, t, v in rows[["key_norm", "run", "first_service", "n_services", "service_id", "unix_time", "value"]].itertuples(index=False):
-                if (key, number, first, n) != group:
-                    made += [(group[0], *p) for p in fold(copies_of, group[2], group[3] > 1)] if group else []
-                    group, copies_of = (key, number, first, n), {}
-                copies_of.setdefault(service, []).append([t, v, 0])
-            yield pd.DataFrame(made, columns=["key_norm", "unix_time", "value", "mismatches"])
-        if group:
-            yield pd.DataFrame([(group[0], *p) for p in fold(copies_of, group[2], group[3] > 1)], columns=["key_norm", "unix_time", "value", "mismatches"])
-
-    held = copies.groupBy("key_norm").agg(F.min("service_id").alias("first_service"), F.count_distinct("service_id").alias("n_services"))
-    runs = with_runs(copies, ["key_norm"], delta).join(held, "key_norm").select("key_norm", "run", "service_id", "unix_time", "value", "arrival_seq", "first_service", "n_services")
-    dealt = runs.repartition("key_norm", "run").sortWithinPartitions("key_norm", "run", "service_id", "unix_time", "arrival_seq")
-    return dealt.mapInPandas(run, "key_norm string, unix_time long, value double, mismatches long")
+    contested = runs.where(~F.col("alone")).repartition(*series, "run").sortWithinPartitions(*order)
+    return runs.where("alone").unionByName(contested.mapInPandas(keep, runs.schema)).drop("run", "alone")
+
+
+def merge_fates(copies: DataFrame, services: int, delta: int, epsilon: float) -> DataFrame:
+    """Copies of series (key_norm, service_id, unix_time, value, arrival_seq), merged service after service: the first
+    copy is taken as it is; each later one is merged into the result by time, the result first on ties, and thinned.
+
+    Adds copy (1 for the first service that has the series), copies (how many have it), died (the merge in which the
+    point was displaced, null if it stays) and off (it was, and its value differs by more than epsilon, relative or
+    absolute). A series that one service has is never thinned. A merge is a pass over the contested points alone."""
+    below = F.expr("mask & (shiftleft(1L, cast(service_id AS int)) - 1)")
+    runs = with_runs(copies.select("key_norm", "service_id", "unix_time", "value", "arrival_seq"), ["key_norm"], delta, services=True)
+    ranked = runs.select("key_norm", "run", "service_id", "unix_time", "value", "arrival_seq", (F.bit_count(below) + 1).cast("int").alias("copy"), F.bit_count("mask").cast("int").alias("copies"), F.lit(None).cast("int").alias("died"), F.lit(False).alias("off"), "alone")
+    settled = F.col("alone") | (F.col("copies") == 1)
+    contested = ranked.where(~settled).drop("alone")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in contested.schema])
+
+    def merge(step: int) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, last, kept = None, 0, 0.0
+            for rows in batches:
+                died, off = rows["died"].to_numpy(np.float64, na_value=np.nan, copy=True), rows["off"].to_numpy(bool, copy=True)
+                takes_part = np.isnan(died) & (rows["copy"].to_numpy() <= step)
+                for i, key, number, t, v in zip(np.nonzero(takes_part)[0], *(rows[c].to_numpy()[takes_part] for c in ("key_norm", "run", "unix_time", "value")), strict=True):
+                    if (key, number) != now or t - last >= delta:
+                        now, last, kept = (key, number), t, v
+                    else:
+                        died[i], off[i] = step, abs(v - kept) > max(epsilon * abs(kept), epsilon)
+                yield rows.assign(died=pd.array(died).astype("Int32"), off=off)
+
+        # what the result has comes first on ties, then the copy that is merged
+        dealt = contested.repartition("key_norm", "run").sortWithinPartitions("key_norm", "run", "unix_time", F.col("copy") == step, "copy", "arrival_seq")
+        return dealt.mapInPandas(run, schema)
+
+    for step in range(2, services + 1):
+        contested = merge(step)
+    return ranked.where(settled).drop("alone").unionByName(contested)
+
+
+def merged(copies: DataFrame, services: int, delta: int, epsilon: float) -> DataFrame:
+    """The merged series: (key_norm, unix_time, value)."""
+    return merge_fates(copies, services, delta, epsilon).where("died is null").select("key_norm", "unix_time", "value")
+
+
+def merge_stats(fates: DataFrame, services: int) -> DataFrame:
+    """By series and merge (step, the service it brings): in_size points of the service, size of the result after it,
+    added by it, missing from it, and mismatches. A step that shrinks the result has a negative number added."""
+    steps = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("step")
+    rows = fates.select("key_norm", "service_id", "copy", "copies", F.coalesce("died", F.lit(services + 1)).alias("died"), "off", steps)
+    own, inside = F.col("copy") == F.col("step"), (F.col("copy") <= F.col("step")) & (F.col("died") > F.col("step"))
+    before = (F.col("copy") < F.col("step")) & (F.col("died") >= F.col("step"))
+    sums = rows.groupBy("key_norm", "step").agg(F.max(F.when(own, F.col("service_id"))).alias("service_id"), F.count_if(own).alias("in_size"), F.count_if(inside).alias("size"), F.count_if(before).alias("old"), F.count_if(F.col("off") & (F.col("died") == F.col("step"))).alias("mismatches"))
+    return sums.select("key_norm", F.col("step").cast("long").alias("step"), "service_id", "in_size", "size", (F.col("size") - F.col("old")).alias("added"), (F.col("size") - F.col("in_size")).alias("missing"), "mismatches")

@@ -52,6 +52,31 @@ def purged(catalogue: DataFrame, now_bucket: int, o: Options) -> DataFrame:
     return catalogue.where(F.col("max_bucket") < now_bucket - o.buckets).groupBy("category_id").agg(F.count("*").alias("n_purged"))
 
 
+def finalize_plan(points: DataFrame, done: DataFrame, now: int, o: Options) -> DataFrame:
+    """By shard, from done(shard_id, done: the last finalized bucket, 0 if none): the first and last bucket to finalize
+    and how many, how many series roll forward with them, and whether the shard is behind. A first run finalizes the
+    last bucket alone."""
+    last = last_finalized(F.lit(now).cast("long"), F.col("shard_id"), o)
+    plan = done.withColumn("last", last).withColumn("first", F.when(F.col("done") == 0, F.col("last")).otherwise(F.col("done") + 1))
+    current = points.groupBy("shard_id", "key_norm").agg(F.max("bucket").alias("current")).join(plan, "shard_id")
+    rolled = current.groupBy("shard_id", "done", "first", "last").agg(F.count_if(F.col("current") <= F.col("last")).alias("n"))
+    runs = F.col("first").between(F.col("done") + 1, F.col("last"))
+    return rolled.select("shard_id", "first", "last", F.when(runs, F.col("last") - F.col("first") + 1).otherwise(0).alias("n_buckets"), F.when(runs, F.col("n")).otherwise(0).alias("n_rolled"), ((F.col("done") != 0) & (F.col("last") > F.col("done") + 1)).alias("behind"))
+
+
+def expired(points: DataFrame, now: int, o: Options) -> DataFrame:
+    """Blocks that are older than all that is kept."""
+    oldest = buckets.bucket(F.lit(now).cast("long"), F.col("shard_id"), o) - o.buckets - 1
+    return points.where(F.col("bucket") < oldest).groupBy("shard_id", "bucket").agg(F.count("*").alias("n_points"))
+
+
+def owned(states: DataFrame) -> DataFrame:
+    """By service the shards that it owns or is about to."""
+    has = F.col("state") >= STATES.index("PRE_OWNED")
+    shards = F.array_join(F.array_sort(F.collect_list(F.when(has, F.col("shard_id")))), ",")
+    return states.groupBy("service_id").agg(F.count_if(has).alias("n_owned"), shards.alias("owned"))
+
+
 def key_log(points: DataFrame) -> DataFrame:
     """An append-only log: a series is added with its first point and deleted when its last event is an error."""
     added = points.groupBy("shard_id", "key_norm").agg(F.min("arrival_seq").alias("sequence"), F.min_by("category_id", "arrival_seq").alias("category_id"), F.min("unix_time").alias("first_time"), F.max("arrival_seq").alias("_last"), F.max("value").alias("_top"), F.max_by("value", "arrival_seq").alias("_end"))

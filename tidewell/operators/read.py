@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import buckets, keys
 from tidewell.options import Options
 
-OK, DONT_OWN, IN_PROGRESS, KEY_MISSING, RPC_FAIL, MISSING_DATA, NOT_FINALIZED = range(7)
+OK, KEY_MISSING = 0, 3  # of the statuses, those that a table of points alone can give
 
 
 def in_range(begin: int, end: int, o: Options) -> Column:
@@ -52,6 +52,22 @@ def last_updates(catalogue: DataFrame, least: int) -> DataFrame:
     return catalogue.where(F.col("last_time") >= least).select("shard_id", "key_norm", "category_id", F.col("last_time").alias("update_time"))
 
 
+def update_pages(catalogue: DataFrame, heats: DataFrame, least: int, offset: int, limit: int, o: Options) -> DataFrame:
+    """The series in slots [offset, offset + limit) of every shard with an update since ``least``: heats(key_norm,
+    queried_ago). Slots of series that are left out count, so a page may hold fewer rows than its limit."""
+    rows = page(catalogue, offset, limit).where(F.col("last_time") >= least).join(heats, "key_norm")
+    return rows.select("shard_id", "series_id", "key", "category_id", F.col("last_time").alias("update_time"), (F.col("queried_ago") <= 86400 // o.window).alias("queried_recently"), "more")
+
+
+def bucket_page(points: DataFrame, catalogue: DataFrame, begin: int, end: int, offset: int, limit: int, o: Options) -> DataFrame:
+    """The points that series in slots [offset, offset + limit) have in the buckets of a range, by series and bucket."""
+    shard = F.col("shard_id")
+    low, high = (buckets.bucket(F.lit(t).cast("long"), shard, o) for t in (begin, end))
+    rows = page(catalogue, offset, limit).select("shard_id", "series_id", "key_norm", "more")
+    found = points.where(F.col("bucket").between(low, high)).select("shard_id", "key_norm", "bucket", "unix_time", "value")
+    return rows.join(found, ["shard_id", "key_norm"]).select("shard_id", "series_id", "bucket", "unix_time", "value", "more")
+
+
 def without_blacklist(points: DataFrame, low: int, high: int) -> DataFrame:
     """Points outside [low, high]; the first of a block stays whatever its time."""
     first = F.row_number().over(Window.partitionBy("key_norm", "bucket").orderBy("unix_time", "arrival_seq")) == 1
@@ -66,5 +82,10 @@ def heat(points: DataFrame, queried: DataFrame) -> DataFrame:
     return now.join(last, "key_norm", "left").select("key_norm", ago.cast("long").alias("queried_ago"))
 
 
+def cold(ago: Column, o: Options) -> Column:
+    """Not read for more buckets than the threshold, or never."""
+    return ago > o.cold_threshold
+
+
 def recently_queried(ago: Column, o: Options) -> Column:
     return (ago != 255) & (ago <= 86400 // o.window)

@@ -19,6 +19,31 @@ def missing_points(copies: DataFrame, services: int) -> DataFrame:
     return mask.select(lacks.alias("service_id")).groupBy("service_id").agg(F.count("*").alias("missing"))
 
 
+def scan_stats(merges: DataFrame, services: int) -> DataFrame:
+    """(service_id, missing, missing_by_count) from a row for each series and merge: a service lacks what the result has
+    after its merge and it hasn't, and all that later ones add. A service without the series lacks all that is there.
+    Series that a merge shrinks don't count. missing_by_count is null, as it is known for two services at most."""
+    steps = F.array_sort(F.collect_list(F.struct("service_id", "added", "missing", "size")))
+    one = merges.groupBy("key_norm").agg(steps.alias("s"), F.min(F.least("added", "missing")).alias("least")).where("least >= 0")
+    every = one.withColumn("service_id", F.explode(F.sequence(F.lit(0), F.lit(services - 1)).cast("array<long>")))
+    total = lambda rows, name: F.aggregate(rows, F.lit(0).cast("long"), lambda n, x: n + x[name])
+    own = F.filter("s", lambda x: x["service_id"] == F.col("service_id"))
+    before = F.filter("s", lambda x: x["service_id"] < F.col("service_id"))
+    later = F.filter("s", lambda x: x["service_id"] > F.col("service_id"))
+    there = F.when(F.size(own) > 0, total(own, "missing")).otherwise(F.coalesce(F.try_element_at(before, F.lit(-1))["size"], F.lit(0)))
+    sums = every.groupBy("service_id").agg(F.sum(there + total(later, "added")).alias("missing"))
+    return sums.withColumn("missing_by_count", F.lit(None).cast("long"))
+
+
+def missing_by_count(merges: DataFrame) -> DataFrame:
+    """For two services: how many points none and one of them lacks. Series that a merge shrinks don't count."""
+    second = F.max(F.when(F.col("service_id") == 1, F.col("added"))), F.max(F.when(F.col("service_id") == 1, F.col("missing")))
+    one = merges.groupBy("key_norm").agg(F.max_by("size", "step").alias("size"), F.coalesce(second[0], F.lit(0)).alias("added"), second[1].alias("lacks"), F.min(F.least("added", "missing")).alias("least")).where("least >= 0")
+    lacks = one.withColumn("lacks", F.coalesce("lacks", "size"))
+    counts = F.array(F.struct(F.lit(0).cast("long").alias("n_missing"), (F.col("size") - F.col("added") - F.col("lacks")).alias("n")), F.struct(F.lit(1).cast("long").alias("n_missing"), (F.col("added") + F.col("lacks")).alias("n")))
+    return lacks.select(F.explode(counts).alias("c")).groupBy("c.n_missing").agg(F.sum("c.n").alias("n_points"))
+
+
 def by_missing_services(copies: DataFrame, services: int) -> DataFrame:
     return presence(copies, services).groupBy("missing").agg(F.count("*").alias("n_keys"))
 

@@ -32,3 +32,22 @@ def problems(topology: DataFrame) -> DataFrame:
 
 def shards_of_hosts(topology: DataFrame) -> DataFrame:
     return topology.groupBy("service_name", "host", "port").agg(F.array_sort(F.collect_set("shard_id")).alias("shards"))
+
+
+def host_names(text: str) -> list[str]:
+    """A comma-separated list of hosts, as they are."""
+    return text.split(",")
+
+
+def hosts_of_shards(asked: DataFrame, topology: DataFrame) -> DataFrame:
+    """asked(service_name, shard_id) with host and port, null where the service has no such shard."""
+    return asked.join(topology, ["service_name", "shard_id"], "left")
+
+
+def services(names: DataFrame, topology: DataFrame) -> DataFrame:
+    """names(service_name) with n_shards, 0 for one that isn't there; nearest, the first by name of those that are; and
+    largest, those with most shards."""
+    counts = topology.groupBy("service_name").agg(F.count_distinct("shard_id").alias("n_shards"))
+    ends = counts.agg(F.min("service_name").alias("first"), F.max("n_shards").alias("most"))
+    known = counts.join(F.broadcast(ends)).select("service_name", "n_shards", (F.col("service_name") == F.col("first")).alias("nearest"), (F.col("n_shards") == F.col("most")).alias("largest"))
+    return names.join(known, "service_name", "left").na.fill({"n_shards": 0, "nearest": False, "largest": False})

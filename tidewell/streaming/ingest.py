@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.functions import buckets
-from tidewell.operators.ingest import gate, repaired
+from tidewell.functions import keys
+from tidewell.operators.ingest import admitted, prepared
 from tidewell.options import Options
-from tidewell.sources.events import as_points, read_events
 
 OUT = "arrival_seq long, key_norm string, unix_time long, bucket long, fate string"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; in local mode, where it may be unset, one of our own."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-stream-")
+    return base.rstrip("/")
+
+
 def gated(points: DataFrame, o: Options) -> DataFrame:
     """No watermark: late points were repaired, not dropped. Rows of a series in a batch are put in order of arrival."""
 
@@ -24,28 +34,20 @@ def gated(points: DataFrame, o: Options) -> DataFrame:
         rows = pd.concat(parts).sort_values("arrival_seq")
         now = tuple(state.get) if state.exists else None
         fates = []
-        for t, b in zip(rows["unix_time"], rows["bucket"], strict=True):
-            fate, now = gate(now, int(t), int(b), o.min_delta)
+        for t, b, low, primary in zip(rows["unix_time"], rows["bucket"], rows["low"], rows["primary"], strict=True):
+            fate, now = admitted(now, int(t), int(b), low, primary, o.min_delta)
             fates.append(fate)
-        state.update(now)
+        if now:
+            state.update(now)
         yield rows.assign(fate=fates)[["arrival_seq", "key_norm", "unix_time", "bucket", "fate"]]
 
     return points.groupBy("key_norm").applyInPandasWithState(run, OUT, "last long, now long", "append", "NoTimeout")
 
 
-def ingested(spark: SparkSession, sf_dir: str, now: int, o: Options) -> DataFrame:
-    """Runs the stream over the events that are there and returns what it has written."""
-    from pyspark.sql.types import StructType
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-stream-")
-    where = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
-    schema: StructType = read_events(spark, sf_dir).schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    fixed = as_points(events, o).withColumn("unix_time", repaired(F.col("unix_time"), now, o)).withColumn("bucket", buckets.bucket(F.col("unix_time"), F.col("shard_id"), o))
-    stream = gated(fixed.select("arrival_seq", "key_norm", "unix_time", "bucket"), o).writeStream.format("parquet").option("checkpointLocation", f"{where}/state").option("path", f"{where}/out").trigger(availableNow=True).start()
+def ingested(events: DataFrame, points: Callable[[DataFrame], DataFrame], now: int | Column, o: Options) -> DataFrame:
+    """Runs the stream ``events``, made points by a function, to what is there now and returns what it has written."""
+    where = f"{shared_dir(events.sparkSession)}/ingest-{uuid.uuid4().hex}"
+    fixed = prepared(points(events), now, o).where(keys.key_fits(F.col("key"), o.max_key_bytes))
+    stream = gated(fixed.select("arrival_seq", "key_norm", "unix_time", "bucket", "low", "primary"), o).writeStream.format("parquet").option("checkpointLocation", f"{where}/state").option("path", f"{where}/out").trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{where}/out")
+    return events.sparkSession.read.schema(OUT).parquet(f"{where}/out")
