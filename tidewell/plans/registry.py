@@ -19,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 BEGIN, END = 1704672000, 1705708800  # 2024-01-08 and 2024-01-20
 HOSTS = ["host-a", "host-b", "host-c"]
 SERVICES = 3
-ARRIVING = replace(O, max_key_bytes=10)  # so that some keys are too long
+ARRIVING = replace(O, max_key_bytes=9)  # so that some keys are too long
 _ALL: dict[str, tuple[Query, str | None]] = {}
 
 BASE = f"""
@@ -28,7 +28,7 @@ p0 AS (SELECT event_id AS arrival_seq, event_type, user_id, event_type || ':' ||
 p1 AS (SELECT *, lower(key) AS key_norm, ('0x' || substr(md5('0:' || lower(key)), 1, 8))::BIGINT % {O.shards} AS shard_id FROM p0),
 points AS (SELECT *, CASE WHEN unix_time < shard_id * {O.window} // {O.shards} THEN 0 ELSE (unix_time - shard_id * {O.window} // {O.shards}) // {O.window} END::BIGINT AS bucket FROM p1)"""
 ARRIVALS = f"""
-e0 AS (SELECT event_id, event_type || ':' || user_id % 20 AS key, floor(epoch(ts))::BIGINT AS t0, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 WHEN 'login' THEN 5 ELSE 0 END::BIGINT AS category_id FROM events),
+e0 AS (SELECT event_id, event_type || ':' || user_id % 4 AS key, floor(epoch(ts))::BIGINT AS t0, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 WHEN 'login' THEN 5 ELSE 0 END::BIGINT AS category_id FROM events),
 e1 AS (SELECT *, lower(key) AS key_norm, ('0x' || substr(md5('0:' || lower(key)), 1, 8))::BIGINT % {O.shards} AS shard_id, t0 + event_id * 7919 % 1800 - 90 AS now, event_id % 4 = 0 AS low, event_id % 7 <> 0 AS prim FROM e0),
 e2 AS (SELECT *, shard_id * {O.window} // {O.shards} AS off, now * 4294967296 + event_id AS arrival_seq, CASE WHEN t0 = 0 OR t0 < now - {O.behind} OR t0 > now + {O.ahead} THEN now ELSE t0 END AS t FROM e1),
 arrivals AS (SELECT *, CASE WHEN t < off THEN 0 ELSE (t - off) // {O.window} END AS b FROM e2)"""
@@ -570,7 +570,7 @@ def bucket_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.join(now, "key_norm").select("arrival_seq", buckets.age(F.col("now"), F.col("bucket")).alias("age"), buckets.aligned_floor(t + O.window - 1, O).alias("ceil_time"))
 
 
-_PLAN = f"""p0s AS (SELECT shard_id, max(bucket) FILTER (value > 20) AS newest FROM points GROUP BY shard_id), plan0 AS (SELECT shard_id, CASE WHEN shard_id % 4 = 0 THEN 0 ELSE newest - 30 + shard_id % 3 END AS done,
+_PLAN = f"""p0s AS (SELECT shard_id, max(bucket) FILTER (value > 20) AS newest FROM points GROUP BY shard_id), plan0 AS (SELECT shard_id, CASE WHEN shard_id % 4 = 0 THEN 0 ELSE newest - 107 + shard_id % 3 END AS done,
   ({NOW} - {O.behind} - 60 - {O.window} - shard_id * {O.window} // {O.shards}) // {O.window} AS last FROM p0s), plan AS (SELECT shard_id, done, last, CASE WHEN done = 0 THEN last ELSE done + 1 END AS first FROM plan0)"""
 
 
@@ -581,7 +581,7 @@ def finalize_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From what each shard has finalized to what the clock allows; a fourth of the shards have finalized nothing."""
     points = points_of(spark, sf_dir)
     newest = points.groupBy("shard_id").agg(F.max(F.when(F.col("value") > 20, F.col("bucket"))).alias("newest"))
-    done = newest.select("shard_id", F.when(F.col("shard_id") % 4 == 0, 0).otherwise(F.col("newest") - 30 + F.col("shard_id") % 3).alias("done"))
+    done = newest.select("shard_id", F.when(F.col("shard_id") % 4 == 0, 0).otherwise(F.col("newest") - 107 + F.col("shard_id") % 3).alias("done"))
     return lifecycle.finalize_plan(points, done, NOW, O)
 
 

@@ -36,7 +36,7 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(read_events(spark, sf_dir).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def arrivals(events: DataFrame, o: Options, users: int = 20) -> DataFrame:
+def arrivals(events: DataFrame, o: Options, users: int = 4) -> DataFrame:
     """Events as points that arrive up to half an hour late, some a little early, in series of ``users`` groups of users:
     arrival_seq is by arrival, now when it is, low whether memory is low then, primary whether the service is."""
     points = as_points(events.withColumn("user_id", F.col("user_id") % users), o)
