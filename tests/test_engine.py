@@ -124,7 +124,9 @@ def test_scan_stats_of_two_and_three(spark):
 
 def test_runs_split_at_every_gap(spark):
     rows = [("a", 0, t, 0, 1.0, t) for t in (0, 10, 16380, 16390, 16430, 40000, 40029, 40059)]
-    got = {r["unix_time"]: (r["run"], r["alone"]) for r in fold.with_runs(points(spark, rows), ["key_norm"], 30).collect()}
+    narrow = fold.with_runs(points(spark, rows), ["key_norm"], 30, width=20)
+    assert len({r["run"] for r in narrow.collect()}) == 5
+    got = {r["unix_time"]: (r["run"], r["alone"]) for r in fold.with_runs(points(spark, rows), ["key_norm"], 30, width=1 << 14).collect()}
     assert len({got[t][0] for t in (0, 10)}) == 1 and got[16380][0] == got[16390][0] != got[16430][0]
     assert [got[t][1] for t in (0, 10, 16380, 16430, 40000, 40059)] == [False, False, False, True, False, True]
 
@@ -208,3 +210,19 @@ def test_requests(spark):
     p = spark.createDataFrame([("a", 1, 4.0), ("a", 3, 5.0), ("z", 2, 6.0)], "key string, unix_time long, value double")
     got = render.answered(render.parsed(spark.createDataFrame([(body,)], "body string")), p).first()
     assert got["panel"] == 1 and got["response"] == '[{"target":"z","datapoints":[[6,2000]]},{"target":"a","datapoints":[[4,1000]]},{"target":"none","datapoints":[]}]'
+
+
+def test_thinning_equals_a_plain_one(spark):
+    """Batches of five rows, slices of 50 seconds, runs that go on over many of either."""
+    rng = random.Random(3)
+    rows = [(k, 0, rng.randrange(1500), 0, 1.0, i) for i in range(300) for k in "ab"] + [("c", 0, 40 * i, 0, 1.0, i) for i in range(9)]
+    want = {}
+    for k, _, t, *_ in sorted(rows, key=lambda r: r[2]):
+        if not want.get(k) or t - want[k][-1] >= 30:
+            want.setdefault(k, []).append(t)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = fold.thinned(points(spark, rows).repartition(3), ["key_norm"], 30, "arrival_seq").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert {k: sorted(r["unix_time"] for r in got if r["key_norm"] == k) for k in "abc"} == want

@@ -17,43 +17,73 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def with_runs(points: DataFrame, series: list[str], delta: int, services: bool = False, width: int = 1 << 14) -> DataFrame:
-    """Adds run, a number that rises with each point that comes at least delta after all before it, and alone, if it
-    and its successor begin runs. services: adds mask too, the services that the whole series has."""
-    sliced = points.withColumn("slice", F.floor(F.col("unix_time") / width))
+def with_runs(points: DataFrame, series: list[str], delta: int, services: bool = False, width: int = 1 << 20) -> DataFrame:
+    """Adds run, equal for the points of a run, which begins with each point that comes at least delta after all before
+    it, and alone, if a point and its successor begin runs. services: adds mask too, the services that the series has.
+
+    Runs are numbered within slices of ``width`` seconds; the first run of a slice may go on from the one before."""
     inner = Window.partitionBy(*series, "slice").orderBy("unix_time")
-    whole = Window.partitionBy(*series)
-    order = whole.orderBy("slice")
+    order = Window.partitionBy(*series).orderBy("slice")
+    near = points.withColumn("slice", F.floor(F.col("unix_time") / width)).withColumn("last", F.lag("unix_time").over(inner)).withColumn("next", F.lead("unix_time").over(inner))
+    breaks = (F.col("unix_time") - F.col("last") >= delta).cast("long")
+    near = near.withColumn("number", F.sum(F.coalesce(breaks, F.lit(0))).over(inner))  # by range, so that equal times are in one run
     marks = [F.bit_or(F.expr("shiftleft(1L, cast(service_id AS int))")).alias("mask")] if services else []
-    spans = sliced.groupBy(*series, "slice").agg(F.min("unix_time").alias("low"), F.max("unix_time").alias("high"), *marks)
+    spans = near.groupBy(*series, "slice").agg(F.min("unix_time").alias("low"), F.max("unix_time").alias("high"), F.max("number").alias("numbers"), *marks)
     known = spans.withColumn("before", F.lag("high").over(order)).withColumn("after", F.lead("low").over(order))
-    if services:
-        known = known.withColumn("mask", F.bit_or("mask").over(whole))
-    near = sliced.withColumn("last", F.lag("unix_time").over(inner)).withColumn("next", F.lead("unix_time").over(inner))
-    both = near.join(known.drop("low", "high"), [*series, "slice"])
     begins = lambda a, b: F.coalesce(b - a >= delta, F.lit(True))
-    marked = both.withColumn("fresh", begins(F.coalesce("last", "before"), F.col("unix_time"))).withColumn("ends", begins(F.col("unix_time"), F.coalesce("next", "after")))
-    counted = spans.select(*series, "slice").join(marked.groupBy(*series, "slice").agg(F.count_if("fresh").alias("n")), [*series, "slice"])
-    base = counted.withColumn("base", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = F.sum(F.col("fresh").cast("long")).over(inner)  # by range, so that equal times are in one run
-    return marked.withColumn("own", own).join(base, [*series, "slice"]).withColumn("run", F.col("base") + F.col("own")).withColumn("alone", F.col("fresh") & F.col("ends")).drop("slice", "last", "next", "before", "after", "fresh", "ends", "own", "base")
+    own = lambda number: F.col("slice") * (1 << 32) + number
+    fresh = begins(F.col("before"), F.col("low"))
+    ends_with = F.when((F.col("numbers") > 0) | fresh, own(F.col("numbers")))  # the run that a slice ends with, if it began there
+    carried = F.last("tail", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    known = known.withColumn("first", fresh).withColumn("tail", ends_with).withColumn("carried", carried)
+    if services:
+        known = known.withColumn("mask", F.bit_or("mask").over(Window.partitionBy(*series)))
+    both = near.join(known.drop("low", "high", "numbers", "tail"), [*series, "slice"])
+    run = F.when((F.col("number") == 0) & ~F.col("first"), F.col("carried")).otherwise(own(F.col("number")))
+    alone = begins(F.coalesce("last", "before"), F.col("unix_time")) & begins(F.col("unix_time"), F.coalesce("next", "after"))
+    return both.withColumn("run", run).withColumn("alone", alone).drop("slice", "last", "next", "number", "before", "after", "first", "carried")
+
+
+def kept(new: np.ndarray, t: np.ndarray, delta: int, last: int | None) -> np.ndarray:
+    """Which points of runs stay, each at least delta after the last one that did. new: where runs begin; last: the last
+    point kept of the run that the first ones belong to, if they don't begin one. All runs take a step at a time."""
+    low = int(t.min())
+    number = np.cumsum(new)
+    line = number * (int(t.max()) - low + delta + 1) + (t - low)
+    stay, at = np.zeros(len(t), bool), np.nonzero(new)[0]
+    if not new[0]:
+        at = np.append(np.searchsorted(line[: int((number == 0).sum())], last + delta - low), at)
+        at = at[(number[np.minimum(at, len(t) - 1)] > 0) | (at < (number == 0).sum())]
+    while len(at):
+        stay[at] = True
+        then = np.searchsorted(line, line[at] + delta)
+        at = then[(then < len(t)) & (number[np.minimum(then, len(t) - 1)] == number[at])]
+    return stay
+
+
+def changes(columns: list[np.ndarray], before: tuple | None) -> np.ndarray:
+    """Where a row differs from the one before it in any column."""
+    differs = columns[0][1:] != columns[0][:-1]
+    for c in columns[1:]:
+        differs = differs | (c[1:] != c[:-1])
+    return np.concatenate([[before is None or before != tuple(c[0] for c in columns)], differs]).astype(bool)
 
 
 def thinned(points: DataFrame, series: list[str], delta: int, rank: str | None = None) -> DataFrame:
     """Greedy thinning in order of time: a point stays if it comes at least delta after the last one that stayed."""
     order = [*series, "run", "unix_time", *([rank] if rank else [])]
     runs = with_runs(points, series, delta)
-    width = len(series) + 1
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last = None, 0
+        now, last = None, None
         for rows in batches:
-            stay = []
-            for *group, t in rows[[*order[:width], "unix_time"]].itertuples(index=False):
-                stay.append(group != now or t - last >= delta)
-                if stay[-1]:
-                    now, last = group, t
-            yield rows[pd.Series(stay, index=rows.index, dtype=bool)]
+            if not len(rows):
+                continue
+            columns, t = [rows[c].to_numpy() for c in [*series, "run"]], rows["unix_time"].to_numpy()
+            stay = kept(changes(columns, now), t, delta, last)
+            now = tuple(c[-1] for c in columns)
+            last = int(t[stay][-1]) if stay.any() else last
+            yield rows[stay]
 
     contested = runs.where(~F.col("alone")).repartition(*series, "run").sortWithinPartitions(*order)
     return runs.where("alone").unionByName(contested.mapInPandas(keep, runs.schema)).drop("run", "alone")
@@ -75,15 +105,20 @@ def merge_fates(copies: DataFrame, services: int, delta: int, epsilon: float) ->
 
     def merge(step: int) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            now, last, kept = None, 0, 0.0
+            now, last, held = None, None, 0.0
             for rows in batches:
                 died, off = rows["died"].to_numpy(np.float64, na_value=np.nan, copy=True), rows["off"].to_numpy(bool, copy=True)
-                takes_part = np.isnan(died) & (rows["copy"].to_numpy() <= step)
-                for i, key, number, t, v in zip(np.nonzero(takes_part)[0], *(rows[c].to_numpy()[takes_part] for c in ("key_norm", "run", "unix_time", "value")), strict=True):
-                    if (key, number) != now or t - last >= delta:
-                        now, last, kept = (key, number), t, v
-                    else:
-                        died[i], off[i] = step, abs(v - kept) > max(epsilon * abs(kept), epsilon)
+                part = np.nonzero(np.isnan(died) & (rows["copy"].to_numpy() <= step))[0]
+                if len(part):
+                    columns, t, v = [rows[c].to_numpy()[part] for c in ("key_norm", "run")], rows["unix_time"].to_numpy()[part], rows["value"].to_numpy()[part]
+                    stay = kept(changes(columns, now), t, delta, last)
+                    nearest = np.maximum.accumulate(np.where(stay, np.arange(len(t)), -1))
+                    over = np.where(nearest >= 0, v[nearest], held)
+                    died[part[~stay]] = step
+                    off[part[~stay]] = (np.abs(v - over) > np.maximum(epsilon * np.abs(over), epsilon))[~stay]
+                    now = tuple(c[-1] for c in columns)
+                    if stay.any():
+                        last, held = int(t[stay][-1]), float(v[stay][-1])
                 yield rows.assign(died=pd.array(died).astype("Int32"), off=off)
 
         # what the result has comes first on ties, then the copy that is merged
