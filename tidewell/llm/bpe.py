@@ -238,36 +238,47 @@ def utf8_machine(ranks_path: str) -> Utf8Machine:
     return Utf8Machine(out)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: str = "ids", memo: int = 400_000) -> DataFrame:
-    """Adds a column of ids (array<int>) to docs."""
-    if ids in docs.columns:
-        raise ValueError(f"docs has a column {ids}")
+def encoded(encoder: Encoder, texts: list[str | None]) -> pa.ListArray:
+    made = [encoder.encode(x or "") for x in texts]
+    ends = np.cumsum([0, *(len(x) // 4 for x in made)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), np.int32)))
+
+
+def decoded_texts(machine: Utf8Machine, ids: pa.ListArray, step: int) -> pa.Array:
+    """UTF-8 bytes; ids are fed to the streaming decoder in runs of ``step``."""
+    ends, flat, out = ids.offsets.to_numpy(), ids.values.to_numpy(), []
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        decoder = StreamingDecoder(machine)
+        out.append("".join([decoder.feed(flat[i : min(i + step, b)]) for i in range(a, b, step)] + [decoder.close()]).encode())
+    return pa.array(out, pa.binary())
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: str = "ids", memo: int = 400_000, decoded: str | None = None, step: int = 4096) -> DataFrame:
+    """Adds a column of ids (array<int>) to docs, and if ``decoded`` is a name also their text, as :func:`decode` does."""
+    names = [ids, *([decoded] if decoded else [])]
+    if clash := {c.lower() for c in docs.columns} & {n.lower() for n in names}:
+        raise ValueError(f"docs has columns {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(ranks_path, pattern, memo)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                made = [encoder.encode(x or "") for x in some.column(some.schema.get_field_index(text)).to_pylist()]
-                ends = np.cumsum([0, *(len(x) // 4 for x in made)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(made), np.int32))
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.ListArray.from_arrays(pa.array(ends), values)], [*some.schema.names, ids])
+                made = [encoded(encoder, some.column(some.schema.get_field_index(text)).to_pylist())]
+                if decoded:
+                    made.append(decoded_texts(utf8_machine(ranks_path), made[0], step))
+                yield pa.RecordBatch.from_arrays([*some.columns, *made], [*some.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded", step: int = 4096) -> DataFrame:
-    """Adds the text of the ids as UTF-8 bytes; ids are fed to the streaming decoder in runs of ``step``."""
+    """Adds the text of the ids as UTF-8 bytes."""
 
     def text(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = utf8_machine(ranks_path)
         for rows in column:
-            ends, flat = rows.offsets.to_numpy(), rows.values.to_numpy()
-            out = []
-            for a, b in zip(ends[:-1], ends[1:], strict=True):
-                machine = StreamingDecoder(known)
-                out.append("".join([machine.feed(flat[i : min(i + step, b)]) for i in range(a, b, step)] + [machine.close()]).encode())
-            yield pa.array(out, pa.binary())
+            yield decoded_texts(utf8_machine(ranks_path), rows, step)
 
     return docs.withColumn(decoded, F.arrow_udf(text, "binary")(F.col(ids)))
 
@@ -275,5 +286,5 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "d
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, path), path)
+    both = encode(docs, path, decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
