@@ -339,8 +339,11 @@ def test_cascade_is_exact(spark):
     assert len(cascade.levels) > 2
     got = keys.select("key", url_filter.flag(cascade, F.array("key"))[0].alias("f"))
     assert {r["key"] for r in got.where("f").collect()} == {r["key"] for r in listed.collect()}
-    assert url_filter.flag_by_join(keys, "key", listed).where("listed").count() == listed.count()
-    with pytest.raises(ValueError):
+    several = keys.groupBy(F.pmod(F.hash("key"), F.lit(50))).agg(F.collect_list("key").alias("keys"))
+    for most in (1 << 28, 64):  # beyond 64 bits the list is asked by joins
+        said = url_filter.flagged(several, "keys", listed, "f", 0.2, most).select(F.explode(F.arrays_zip("keys", "f")).alias("x"))
+        assert {r["x"]["keys"] for r in said.where("x.f").collect()} == {r["key"] for r in listed.collect()} and said.count() == 3000
+    with pytest.raises(url_filter.TooManyKeys):
         url_filter.build_cascade(listed, keys, max_bits=64)
 
 

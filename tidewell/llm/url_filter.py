@@ -5,8 +5,9 @@ listed keys that level 2 accepts wrongly, and so on until a level errs on nothin
 that refuses it has an even number. The universe is every distinct key of the corpus, so no key of the corpus is ever
 judged wrongly, and the pages meet only the bit arrays: no join.
 
-The bits go to every executor, so their size is checked: beyond ``max_bits`` a level is refused and
-:func:`flag_by_join` gives the same answer by an equi-join.
+The bits go to every executor, so their size is checked: where a level would be over ``max_bits``, :func:`judge_urls`
+asks that list by an equi-join of the distinct keys, which gives the same answer. Keys are known by 64-bit hashes, so
+two keys of a corpus with one hash would be judged alike.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; repeated pages get
 a row each; an empty list or universe gives a cascade that accepts nothing; other columns of the pages are not read.
@@ -31,6 +32,10 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 BLOCKED_PARTS = ("casino", "bets", "pills", "ads", "porn", "warez")
 
 
+class TooManyKeys(ValueError):
+    """A level would be larger than what may go to every executor."""
+
+
 @dataclass(frozen=True)
 class Level:
     bits: int
@@ -73,7 +78,7 @@ def encode(keys: DataFrame, n: int, seed: int, error: float, max_bits: int) -> L
     """One level over the n keys of a DataFrame with a column h. Each task makes words; words are merged by bit_or."""
     bits = max(256, math.ceil(n * -math.log(error) / math.log(2) ** 2 / 64) * 64)
     if bits > max_bits:
-        raise ValueError(f"a level of {bits} bits is over max_bits={max_bits}; use flag_by_join")
+        raise TooManyKeys(f"a level of {bits} bits is over max_bits={max_bits}")
     hashes = max(1, round(bits / max(n, 1) * math.log(2)))
     hashes = min(hashes, 16)
 
@@ -126,10 +131,23 @@ def flag(cascade: Cascade, keys: Column) -> Column:
     return F.pandas_udf(judge, "array<boolean>")(F.transform(keys, lambda k: F.xxhash64(k)))
 
 
-def flag_by_join(df: DataFrame, key: str, listed: DataFrame) -> DataFrame:
-    """The way beyond max_bits: a boolean column ``listed`` by an equi-join."""
-    marks = listed.select(F.col("key").alias("_key")).distinct().withColumn("_listed", F.lit(True))
-    return df.join(marks, df[key] == marks["_key"], "left").withColumn("listed", F.coalesce("_listed", F.lit(False))).drop("_key", "_listed")
+def flag_by_join(df: DataFrame, keys: str, listed: DataFrame, name: str) -> DataFrame:
+    """The way beyond max_bits: the same array of booleans, as column ``name``, by equi-joins of distinct keys."""
+    asked = df.select(keys).distinct().select(F.xxhash64(keys).alias("id"), F.explode(keys).alias("key"))
+    hits = asked.join(listed.select("key").distinct(), "key").groupBy("id").agg(F.collect_set("key").alias("hits"))
+    none = F.array().cast("array<string>")
+    joined = df.withColumn("id", F.xxhash64(keys)).join(hits, "id", "left")
+    return joined.withColumn(name, F.transform(keys, lambda k: F.array_contains(F.coalesce("hits", none), k))).drop("id", "hits")
+
+
+def flagged(df: DataFrame, keys: str, listed: DataFrame, name: str, error: float, max_bits: int) -> DataFrame:
+    """Adds an array of booleans: which of the keys are listed?"""
+    universe = df.select(F.explode(keys).alias("key")).distinct()
+    try:
+        cascade = build_cascade(listed, universe, error, max_bits)
+    except TooManyKeys:
+        return flag_by_join(df, keys, listed, name)
+    return df.withColumn(name, flag(cascade, F.col(keys)))
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -163,11 +181,10 @@ def judge_urls(pages: DataFrame, listed_hosts: DataFrame, rules: tuple[tuple[str
     lengths = sorted({len(p) for _, _, p in rules})
     base = pages.select("page_id", host.alias("host"), path.alias("path"))
     base = base.select("*", rule_keys(F.col("host"), F.col("path"), lengths).alias("_keys"), host_suffixes(F.col("host")).alias("_hosts"))
-    key = lambda name: base.select(F.explode(name).alias("key")).distinct()
-    listed_rules = {act: spark.createDataFrame([(h + p,) for a, h, p in rules if a == act], "key string") for act in ("allow", "block")}
-    allow, block = (build_cascade(listed_rules[act], key("_keys"), error, max_bits) for act in ("allow", "block"))
-    hosts = build_cascade(listed_hosts, key("_hosts"), error, max_bits)
-    said = base.select("*", flag(allow, F.col("_keys")).alias("_a"), flag(block, F.col("_keys")).alias("_b"), flag(hosts, F.col("_hosts")).alias("_h"))
+    said = base
+    for act, name in (("allow", "_a"), ("block", "_b")):
+        said = flagged(said, "_keys", spark.createDataFrame([(h + p,) for a, h, p in rules if a == act], "key string"), name, error, max_bits)
+    said = flagged(said, "_hosts", listed_hosts, "_h", error, max_bits)
     fits = F.filter(F.zip_with("_keys", F.arrays_zip("_a", "_b"), lambda k, ab: F.when(ab["_a"] | ab["_b"], F.struct(F.length(k).alias("n"), k.alias("rule"), ab["_b"].alias("block")))), lambda x: x.isNotNull())
     best = F.array_max(fits)
     listed = F.exists("_h", lambda x: x)
