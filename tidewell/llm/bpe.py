@@ -140,10 +140,10 @@ class Transducer:
 class Encoder:
     """Encodes texts: each match of the pattern by itself; a match that is a token is that token."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 600_000):
         self.ranks, self.machine = ranks, Transducer(ranks)
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.memo = Memo(self.pattern.findall, self.piece, limit=memo)
+        self.memo = Memo(self.pattern.findall, self.piece, lambda word: self.piece(" " + word), limit=memo)
 
     def piece(self, piece: str) -> bytes:
         data = piece.encode()
@@ -253,7 +253,7 @@ def decoded_texts(machine: Utf8Machine, ids: pa.ListArray, step: int) -> pa.Arra
     return pa.array(out, pa.binary())
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: str = "ids", memo: int = 400_000, decoded: str | None = None, step: int = 4096) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: str = "ids", memo: int = 600_000, decoded: str | None = None, step: int = 4096) -> DataFrame:
     """Adds a column of ids (array<int>) to docs, and if ``decoded`` is a name also their text, as :func:`decode` does."""
     names = [ids, *([decoded] if decoded else [])]
     if clash := {c.lower() for c in docs.columns} & {n.lower() for n in names}:

@@ -20,12 +20,13 @@ def parts(text: str) -> list[str]:
 
 
 class Memo:
-    """pieces: the pre-tokens of a part; encode: from a pre-token to its ids as bytes; many: from parts whose pre-tokens
+    """pieces: the pre-tokens of a part, one if it is letters alone; encode: from a pre-token to its ids as bytes; word:
+    the same for a space and these ASCII letters; many: from parts whose pre-tokens
     aren't told (pieces gives None) to their ids. About ``limit`` values are kept at most: what is asked for stays in
     the younger half, and when that is full the older one goes."""
 
-    def __init__(self, pieces: Callable[[str], list[str] | None], encode: Callable[[str], bytes], many: Callable[[list[str]], list[bytes]] | None = None, limit: int = 300_000):
-        self.pieces, self.encode, self.many, self.limit = pieces, encode, many, limit
+    def __init__(self, pieces: Callable[[str], list[str] | None], encode: Callable[[str], bytes], word: Callable[[str], bytes], many: Callable[[list[str]], list[bytes]] | None = None, limit: int = 300_000):
+        self.pieces, self.encode, self.word, self.many, self.limit = pieces, encode, word, many, limit
         self.known: dict[str, bytes] = {}  # by part, which a space precedes; by pre-token with a space before it, if none does
         self.old: dict[str, bytes] = {}
 
@@ -39,17 +40,21 @@ class Memo:
             self.known[name] = value
         return value
 
-    def learn(self, missing: set[str]) -> None:
+    def learn(self, missing: list[str]) -> None:
         """Values of parts that a space precedes."""
-        known, rest = self.known, []
+        known, old, pieces, encode, word, rest = self.known, self.old, self.pieces, self.encode, self.word, []
         for part in missing:
-            value = self.old.get(part)
+            if part in known:
+                continue
+            value = old.get(part)
             if value is None:
-                found = self.pieces(" " + part)
-                if found is None:
+                if part.isascii() and part.isalpha():
+                    value = word(part)
+                elif (found := pieces(" " + part)) is None:
                     rest.append(part)
                     continue
-                value = self.encode(found[0]) if len(found) == 1 else b"".join(map(self.piece, found))
+                else:
+                    value = encode(found[0]) if len(found) == 1 else b"".join(map(self.piece, found))
             known[part] = value
         if rest:
             known.update(zip(rest, self.many([" " + p for p in rest]), strict=True))
@@ -57,14 +62,13 @@ class Memo:
     def values(self, text: str) -> list[bytes]:
         first, *rest = parts(text)
         known = self.known
-        try:
-            found = list(map(known.__getitem__, rest))
-        except KeyError:
+        found = list(map(known.get, rest))
+        if None in found:
             if len(known) > self.limit // 2:
                 self.old, self.known = known, {}
                 known = self.known
-            self.learn(set(rest).difference(known))
-            found = list(map(known.__getitem__, rest))
+            self.learn([p for p, value in zip(rest, found, strict=True) if value is None])
+            found = [known[p] if value is None else value for p, value in zip(rest, found, strict=True)]
         if first:
             told = self.pieces(first)
             found.insert(0, b"".join(map(self.piece, told)) if told is not None else self.many([first])[0])

@@ -35,10 +35,10 @@ def decompose(n: int, longest: int = 1024) -> list[int]:
     return [longest] * whole + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
-# How byte-level BPE cuts texts, and writes a space, a tab and a line's end.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
-_WRITTEN = {ord(" "): "\u0120", ord("\t"): "\u0109", ord("\n"): "\u010a"}
-_PLAIN = re.compile(r"[\t\n\x20-\x7e]*")
+#: How byte-level BPE cuts texts of plain characters: ASCII but for control characters, and Latin letters with marks.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
+_PLAIN = re.compile(rf"[\t\n\x20-\x7e{_LETTER}]*")
 
 
 def byte_level_pieces(text: str) -> list[str] | None:
@@ -46,6 +46,13 @@ def byte_level_pieces(text: str) -> list[str] | None:
     return _PIECES.findall(text) if _PLAIN.fullmatch(text) else None
 
 
+def byte_names() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as they are, the others, in order, from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 @lru_cache(maxsize=2)
 def encoder(tokenizer: str, memo: int) -> Memo:
     """One for each Python worker, so that what a task has learned serves the next ones. Tokenizers whose pre-tokens are
@@ -60,11 +67,20 @@ def encoder(tokenizer: str, memo: int) -> Memo:
     known = spec["normalizer"] is None and spec["model"]["type"] == "BPE" and kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space")
     added = [t["content"] for t in spec["added_tokens"] if not t["special"]]
     many = lambda texts: [array("I", x.ids).tobytes() for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-    one = lambda piece: array("I", [t.id for t in bare.tokenize(piece.translate(_WRITTEN))]).tobytes()
-    return Memo(byte_level_pieces if known and not added else lambda _: None, one, many, memo)
+    names, tokenize = byte_names(), bare.tokenize
+
+    def word(letters: str) -> bytes:
+        return array("I", [t.id for t in tokenize(names[32] + letters)]).tobytes()
+
+    def one(piece: str) -> bytes:
+        return array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(names))]).tobytes()
+
+    if not known or added:
+        return Memo(lambda _: None, one, lambda letters: many([" " + letters])[0], many, memo)
+    return Memo(byte_level_pieces, one, word, many, memo)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = 1024, memo: int = 400_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = 1024, memo: int = 1_000_000) -> DataFrame:
     """From docs(doc_id, text): a row for each piece, ids as little-endian unsigned 32-bit integers, with its bucket
     (log2 of the length), sequence_id and offset. Ids of sequences come from the partition and the place in it."""
 
