@@ -95,7 +95,7 @@ def merge_fates(copies: DataFrame, services: int, delta: int, epsilon: float) ->
 
     Adds copy (1 for the first service that has the series), copies (how many have it), died (the merge in which the
     point was displaced, null if it stays) and off (it was, and its value differs by more than epsilon, relative or
-    absolute). A series that one service has is never thinned. A merge is a pass over the contested points alone."""
+    absolute). A series that one service has is never thinned. Contested points alone stream through the merges."""
     below = F.expr("mask & (shiftleft(1L, cast(service_id AS int)) - 1)")
     runs = with_runs(copies.select("key_norm", "service_id", "unix_time", "value", "arrival_seq"), ["key_norm"], delta, services=True)
     ranked = runs.select("key_norm", "run", "service_id", "unix_time", "value", "arrival_seq", (F.bit_count(below) + 1).cast("int").alias("copy"), F.bit_count("mask").cast("int").alias("copies"), F.lit(None).cast("int").alias("died"), F.lit(False).alias("off"), "alone")
@@ -103,31 +103,31 @@ def merge_fates(copies: DataFrame, services: int, delta: int, epsilon: float) ->
     contested = ranked.where(~settled).drop("alone")
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in contested.schema])
 
-    def merge(step: int) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            now, last, held = None, None, 0.0
-            for rows in batches:
-                died, off = rows["died"].to_numpy(np.float64, na_value=np.nan, copy=True), rows["off"].to_numpy(bool, copy=True)
-                part = np.nonzero(np.isnan(died) & (rows["copy"].to_numpy() <= step))[0]
-                if len(part):
-                    columns, t, v = [rows[c].to_numpy()[part] for c in ("key_norm", "run")], rows["unix_time"].to_numpy()[part], rows["value"].to_numpy()[part]
-                    stay = kept(changes(columns, now), t, delta, last)
-                    nearest = np.maximum.accumulate(np.where(stay, np.arange(len(t)), -1))
-                    over = np.where(nearest >= 0, v[nearest], held)
-                    died[part[~stay]] = step
-                    off[part[~stay]] = (np.abs(v - over) > np.maximum(epsilon * np.abs(over), epsilon))[~stay]
-                    now = tuple(c[-1] for c in columns)
-                    if stay.any():
-                        last, held = int(t[stay][-1]), float(v[stay][-1])
-                yield rows.assign(died=pd.array(died).astype("Int32"), off=off)
-
-        # what the result has comes first on ties, then the copy that is merged
-        dealt = contested.repartition("key_norm", "run").sortWithinPartitions("key_norm", "run", "unix_time", F.col("copy") == step, "copy", "arrival_seq")
-        return dealt.mapInPandas(run, schema)
-
-    for step in range(2, services + 1):
-        contested = merge(step)
-    return ranked.where(settled).drop("alone").unionByName(contested)
+    def merge(step: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last, held = None, None, 0.0
+        for rows in batches:
+            died, off = rows["died"].to_numpy(np.float64, na_value=np.nan, copy=True), rows["off"].to_numpy(bool, copy=True)
+            part = np.nonzero(np.isnan(died) & (rows["copy"].to_numpy() <= step))[0]
+            if len(part):
+                columns, t, v = [rows[c].to_numpy()[part] for c in ("key_norm", "run")], rows["unix_time"].to_numpy()[part], rows["value"].to_numpy()[part]
+                stay = kept(changes(columns, now), t, delta, last)
+                nearest = np.maximum.accumulate(np.where(stay, np.arange(len(t)), -1))
+                over = np.where(nearest >= 0, v[nearest], held)
+                died[part[~stay]] = step
+                off[part[~stay]] = (np.abs(v - over) > np.maximum(epsilon * np.abs(over), epsilon))[~stay]
+                now = tuple(c[-1] for c in columns)
+                if stay.any():
+                    last, held = int(t[stay][-1]), float(v[stay][-1])
+            yield rows.assign(died=pd.array(died).astype("Int32"), off=off)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for step in range(2, services + 1):
+            batches = merge(step, batches)
+        yield from batches
+
+    # copies in order on ties: so what the result has comes before the copy that is merged, in every step
+    dealt = contested.repartition("key_norm", "run").sortWithinPartitions("key_norm", "run", "unix_time", "copy", "arrival_seq")
+    return ranked.where(settled).drop("alone").unionByName(dealt.mapInPandas(run, schema))
 
 
 def merged(copies: DataFrame, services: int, delta: int, epsilon: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import buckets, keys
 from tidewell.options import Options
+from tidewell.sources.storage import within
 
 OK, KEY_MISSING = 0, 3  # of the statuses, those that a table of points alone can give
 
@@ -23,7 +24,7 @@ def get_data(points: DataFrame, requests: DataFrame, begin: int, end: int, o: Op
     one without a point for a key that has none in range. Keys match without case."""
     wanted = requests.select("request_idx", F.col("key").alias("asked"), keys.normal(F.col("key")).alias("key_norm"))
     known = points.select("key_norm").distinct().withColumn("known", F.lit(True))
-    found = points.where(in_range(begin, end, o)).select("key_norm", "unix_time", "value")
+    found = within(points, begin, end).where(in_range(begin, end, o)).select("key_norm", "unix_time", "value")
     status = F.when(F.col("known").isNull(), KEY_MISSING).otherwise(OK).cast("long")
     return wanted.join(known, "key_norm", "left").join(found, "key_norm", "left").select("request_idx", F.col("asked").alias("key"), status.alias("status"), "unix_time", "value")
 
@@ -32,7 +33,9 @@ def scan_shards(points: DataFrame, begin: int, end: int, subshards: int, o: Opti
     """Every series with points in range, by shard and sub-shard: counts and ends; floors both ends to buckets first."""
     shard = F.col("shard_id")
     low, high = buckets.bucket(F.lit(begin), shard, o), buckets.bucket(F.lit(end), shard, o)
-    return points.where(F.col("bucket").between(low, high)).groupBy("shard_id", "key_norm").agg(F.count("*").alias("n_points"), F.min("unix_time").alias("first_time"), F.max("unix_time").alias("last_time"), F.count_distinct("bucket").alias("n_blocks")).withColumn("subshard", keys.subshard_of(F.col("key_norm"), subshards))
+    inside = within(points, begin - o.window, end + o.window).where(F.col("bucket").between(low, high))
+    blocks = inside.groupBy("shard_id", "key_norm", "bucket").agg(F.count("*").alias("n"), F.min("unix_time").alias("low"), F.max("unix_time").alias("high"))
+    return blocks.groupBy("shard_id", "key_norm").agg(F.sum("n").alias("n_points"), F.min("low").alias("first_time"), F.max("high").alias("last_time"), F.count("*").alias("n_blocks")).withColumn("subshard", keys.subshard_of(F.col("key_norm"), subshards))
 
 
 def series(points: DataFrame) -> DataFrame:
@@ -64,7 +67,7 @@ def bucket_page(points: DataFrame, catalogue: DataFrame, begin: int, end: int, o
     shard = F.col("shard_id")
     low, high = (buckets.bucket(F.lit(t).cast("long"), shard, o) for t in (begin, end))
     rows = page(catalogue, offset, limit).select("shard_id", "series_id", "key_norm", "more")
-    found = points.where(F.col("bucket").between(low, high)).select("shard_id", "key_norm", "bucket", "unix_time", "value")
+    found = within(points, begin - o.window, end + o.window).where(F.col("bucket").between(low, high)).select("shard_id", "key_norm", "bucket", "unix_time", "value")
     return rows.join(found, ["shard_id", "key_norm"]).select("shard_id", "series_id", "bucket", "unix_time", "value", "more")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import buckets, keys
 from tidewell.operators import lifecycle
 from tidewell.options import Options
+from tidewell.sources.storage import within
 
 # The statuses in their order.
 STATUSES = ("OK", "DONT_OWN_SHARD", "SHARD_IN_PROGRESS", "KEY_MISSING", "RPC_FAIL", "MISSING_TOO_MUCH_DATA", "BUCKET_NOT_FINALIZED")
@@ -91,7 +92,7 @@ def scanned(points: DataFrame, statuses: DataFrame, begin: int, end: int, subsha
     series for other statuses. times: of the points, in order, joined by commas."""
     shard = F.col("shard_id")
     low, high = (buckets.bucket(F.lit(t).cast("long"), shard, o) for t in (begin, end))
-    inside = points.where(F.col("bucket").between(low, high) & (keys.subshard_of(F.col("key_norm"), subshards) == subshard))
+    inside = within(points, begin - o.window, end + o.window).where(F.col("bucket").between(low, high) & (keys.subshard_of(F.col("key_norm"), subshards) == subshard))
     rows = inside.groupBy("service_id", "shard_id", "key_norm").agg(F.array_join(F.array_sort(F.collect_list("unix_time")), ",").alias("times"), F.count("*").alias("n_points"))
     return statuses.where(F.col("status") == OK).join(rows, ["service_id", "shard_id"]).unionByName(statuses.where(F.col("status") != OK), allowMissingColumns=True)
 

@@ -13,6 +13,7 @@ from tidewell.operators import deviations, fold, ingest, lifecycle, read, render
 from tidewell.options import EVENTS as O
 from tidewell.options import NOW
 from tidewell.sources.events import arrivals, as_points, read_events, replicas, shard_states, stream_events
+from tidewell.sources.storage import stored_points
 from tidewell.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +59,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def points_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_points(read_events(spark, sf_dir), O)
+    return stored_points(spark, sf_dir, O)
 
 
 @query("q_wn01_bucket_functions", f"""WITH {BASE}, o AS (SELECT *, shard_id * {O.window} // {O.shards} AS off FROM points)

@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import keys
 from tidewell.operators.ingest import admitted, prepared
 from tidewell.options import Options
+from tidewell.sources.storage import shared_dir
 
 OUT = "arrival_seq long, key_norm string, unix_time long, bucket long, fate string"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; in local mode, where it may be unset, one of our own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-stream-")
-    return base.rstrip("/")
-
-
 def gated(points: DataFrame, o: Options) -> DataFrame:
     """No watermark: late points were repaired, not dropped. Rows of a series in a batch are put in order of arrival."""
 
