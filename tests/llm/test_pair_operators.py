@@ -186,6 +186,21 @@ def test_agreeing_equals_brute_force():
     assert substring_dedup.agreeing(five(own), five(block), 46, 0.8) == [(0, 85, 0, 85)]
 
 
+def test_what_is_plain_is_what_agreeing_finds():
+    rng, plain = random.Random(19), [0, 0]
+    for case in range(300):
+        own = [f"a{k}" for k in range(rng.randrange(40, 120))]
+        other = [*(f"x{case}.{k}" for k in range(rng.randrange(9))), *own[rng.randrange(5) :][: rng.randrange(30, 120)], *(rng.choice(["q", f"y{k}", "a3"]) for k in range(rng.randrange(12)))]
+        a, b = five(own), five([rng.choice(["p", w]) if rng.random() < 0.01 else w for w in other])
+        at = {t: k for k, t in enumerate(b)}
+        shift = next((k - at[t] for k, t in enumerate(a) if t in at), 0)
+        found = substring_dedup.plainly(a, b, 46, 0.8, shift)
+        if found is not None:
+            plain[len(found)] += 1
+            assert substring_dedup.agreeing(a, b, 46, 0.8, shift) == found
+    assert min(plain) > 30
+
+
 def test_distinct_shares():
     rng = np.random.default_rng(9)
     for _ in range(100):
