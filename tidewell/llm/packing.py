@@ -80,7 +80,7 @@ def encoder(tokenizer: str, memo: int) -> Memo:
     return Memo(byte_level_pieces, one, word, many, memo)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = 1024, memo: int = 1_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = 1024, memo: int = 600_000) -> DataFrame:
     """From docs(doc_id, text): a row for each piece, ids as little-endian unsigned 32-bit integers, with its bucket
     (log2 of the length), sequence_id and offset. Ids of sequences come from the partition and the place in it."""
 
