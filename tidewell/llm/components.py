@@ -32,9 +32,9 @@ def _settled(edges: DataFrame) -> bool:
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """From edges(a long, b long): (id, component) for every id in them, component being the smallest id reachable.
 
-    Least neighbours are partial aggregates, and what they are joined to may be split where a node has very many edges
-    (adaptive skew joins), so no node's edges need one task. A round halves long paths, so few are needed; if ``rounds``
-    don't suffice the function raises rather than return something else.
+    Least neighbours are partial aggregates. The join that brings them back sees a node's edges in one task, as plain
+    rows that stream by and are never held together. A round halves long paths, so few are needed; if ``rounds`` don't
+    suffice the function raises rather than return something else.
     """
     real = edges.where("a is not null and b is not null and a <> b")
     now = scratch.write(real.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
