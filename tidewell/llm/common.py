@@ -57,12 +57,11 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def sweep(*keep: Scratch) -> None:
-    """Delete the tables of all but those, when nothing that reads them is yet to run."""
-    for scratch in Scratch.live:
-        if scratch not in keep:
-            scratch.drop(*scratch.paths)
-    Scratch.live = [*keep]
+def sweep(since: int) -> None:
+    """Delete the tables of all scratches made since there were so many, when nothing that reads them is yet to run."""
+    for scratch in Scratch.live[since:]:
+        scratch.drop(*scratch.paths)
+    del Scratch.live[since:]
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
