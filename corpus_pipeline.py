@@ -71,8 +71,9 @@ STAGES = [("language", language), ("near_copies", near_copies), ("passages", pas
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch, last = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
+        before = len(Scratch.live)
         docs = scratch.write(stage(spark, docs, sf_dir), name)
-        sweep(scratch)
+        sweep(before)
         if last:
             scratch.drop(last)
         last = name
