@@ -42,7 +42,7 @@ def key_statuses(requests: DataFrame, copies: DataFrame, states: DataFrame, begi
     return every.select("service_id", "request_idx", "key_norm", status.cast("long").alias("status"), served.alias("served"))
 
 
-def route(status: Column, served: Column) -> Column:
+def route(status: Column) -> Column:
     """What a reader of one service does with an answer if it takes partial data only from the last service."""
     return F.when(status == OK, "found").when(status == KEY_MISSING, "missing").when(status.isin(RPC_FAIL, DONT_OWN), "failed").when(status == IN_PROGRESS, "in_progress").otherwise("partial")
 

@@ -453,7 +453,7 @@ def get_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_rd01_triage", f"WITH {BASE}, {COPIES}, {ANSWERS} SELECT service_id, CASE status WHEN 0 THEN 'found' WHEN 3 THEN 'missing' WHEN 2 THEN 'in_progress' WHEN 5 THEN 'partial' ELSE 'failed' END AS route, count(*) AS n_keys, count(*) FILTER (served) AS n_served FROM answers GROUP BY ALL")
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, answers = _answers(spark, sf_dir)
-    return answers.groupBy("service_id", status.route(F.col("status"), F.col("served")).alias("route")).agg(F.count("*").alias("n_keys"), F.count_if("served").alias("n_served"))
+    return answers.groupBy("service_id", status.route(F.col("status")).alias("route")).agg(F.count("*").alias("n_keys"), F.count_if("served").alias("n_served"))
 
 
 _CHOSEN = """, chosen AS (SELECT request_idx, key_norm, service_id, status, served AND status <> 3 AS found FROM answers QUALIFY row_number() OVER (PARTITION BY request_idx ORDER BY status IN (0, 3) DESC, CASE WHEN status IN (0, 3) THEN service_id ELSE -service_id END) = 1)"""
@@ -633,3 +633,25 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = targets.select(F.to_json(F.struct(F.col("user_id").alias("panelId"), span.alias("range"), F.transform("keys", lambda k: F.struct(k.alias("target"))).alias("targets"))).alias("body"))
     whole = points.withColumn("value", F.col("value").cast("long").cast("double"))
     return render.answered(render.parsed(bodies), whole).select(F.col("panel"), "response")
+
+
+@query("q_fl13_problems", f"""WITH {BASE}, {_TOPOLOGY}, t AS (SELECT service_name, shard_id, CASE WHEN shard_id = 5 THEN '' ELSE host END AS host, CASE WHEN shard_id = 3 THEN 0 ELSE port END AS port FROM hosts WHERE shard_id <> 9
+  UNION ALL SELECT service_name, shard_id, host, port FROM hosts WHERE shard_id = 7 UNION ALL SELECT service_name, shard_id + 100, host, port FROM hosts WHERE shard_id = 6),
+n AS (SELECT service_name, count(*) AS n, count(DISTINCT shard_id) AS d FROM t GROUP BY 1)
+SELECT service_name, CASE WHEN host = '' THEN 'no host' WHEN NOT port BETWEEN 1 AND 65535 THEN 'bad port' ELSE 'shard out of range' END AS problem FROM t WHERE host = '' OR NOT port BETWEEN 1 AND 65535 OR NOT shard_id BETWEEN 0 AND {O.shards - 1}
+UNION SELECT service_name, CASE WHEN n > d THEN 'doubled shard' ELSE 'missing shard' END FROM n WHERE n > d OR d < {O.shards}""")
+def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A topology with faults: a shard without a host, a bad port, one out of range, one doubled and many missing."""
+    made = _topology(spark, sf_dir)
+    shard = F.col("shard_id")
+    faulty = made.where(shard != 9).withColumn("host", F.when(shard == 5, "").otherwise(F.col("host"))).withColumn("port", F.when(shard == 3, 0).otherwise(F.col("port")))
+    more = made.where(shard == 7).unionByName(made.where(shard == 6).withColumn("shard_id", shard + 100))
+    return topology.problems(faulty.unionByName(more).withColumn("shard_count", F.lit(O.shards)))
+
+
+@query("q_lc06_duplicate_keys", f"""WITH {BASE}, {COPIES}, a AS (SELECT DISTINCT service_id, shard_id, key_norm FROM copies) SELECT shard_id, key_norm, count(*) AS n FROM a GROUP BY shard_id, key_norm HAVING count(*) > 1""")
+def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series that the key logs of several services have appended."""
+    copies = replicas(points_of(spark, sf_dir))
+    logs = [lifecycle.key_log(copies.where(F.col("service_id") == s)) for s in range(SERVICES)]
+    return lifecycle.duplicate_keys(logs[0].unionByName(logs[1]).unionByName(logs[2]))
