@@ -117,7 +117,8 @@ def spans(docs: DataFrame, alpha: float = 0.8, support: int = 3) -> DataFrame:
     terms = disclosing(rows, found, scratch, alpha, support)
     held = rows.select("doc_id", "row", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))).alias("term")).join(terms, "term")
     edge = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-    places = held.dropDuplicates(["row", "term"]).select("row", F.explode(_located("text", None, 4, F.concat(F.lit(edge[0]), "term", F.lit(edge[1])))).alias("s"))
+    located = held.select("row", "term", _located("text", None, 4, F.concat(F.lit(edge[0]), "term", F.lit(edge[1]))).alias("found"))
+    places = located.dropDuplicates(["row", "term"]).select("row", F.explode("found").alias("s"))  # spans are shuffled, and no texts
     more = scratch.write(places.groupBy("row").agg(F.collect_list("s").alias("more")), "more")
     base = rows.select("doc_id", "row").join(found.select("row", F.col("spans").alias("base")).dropDuplicates(["row"]), "row", "left").join(more, "row", "left")
     none = F.array().cast(f"array<{SPAN}>")
