@@ -396,3 +396,10 @@ def test_pipeline(spark, docs, empty, tmp_path):
             if name == "docs" and stage == "near_copies":
                 assert kept.where("doc_id = 48").count() == 1 and kept.where("doc_id is null").count() == 1
         assert (kept.count() > 0) == (name == "docs")
+
+
+def test_embeddings_of_any_size(spark):
+    """Finite vectors whose squares leave the range of doubles link as others do."""
+    rows = [(1, [1e-200, 0.0], 1), (2, [2e-200, 0.0], 1), (3, [1e200, 0.0], 1), (4, [2e200, 1e190], 1), (5, [0.0, 3.0], 1), (6, [0.0, 0.0], 1), (7, [float("nan"), 1.0], 1), (8, None, 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6), 7: (0, 7), 8: (0, 8)}
