@@ -151,6 +151,61 @@ def test_substring_wrong_pivot(spark):
         assert got == {3: [" ".join(passage)]}
 
 
+def decoy(rng, passage):
+    """A document that has every token of a passage in wide windows, but not the passage."""
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    return [w for k in range(len(passage) - 4) for w in [*fresh(60), *passage[k : k + 5], *fresh(60)]]
+
+
+def test_substring_near_beside_pivot(spark):
+    """1 is the pivot of all keys and near to none. 2, 3 and 4 are near copies, none equal; 5 has the first part of the
+    passage from 1, and all of it nearly from 4; 6 is near to 5 and to no other."""
+    rng = random.Random(41)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    edited = lambda ws, *at: [fresh(1)[0] if k in at else w for k, w in enumerate(ws)]
+    passage = fresh(150)
+    two, three, four = edited(passage, 60), edited(passage, 85), edited(passage, 110)
+    far = edited(four, 30, 52, 74, 97, 122)
+    texts = [decoy(rng, passage) + passage[:55], *(fresh(20) + t + fresh(20) for t in (two, three, four)), fresh(9) + four[:55] + four[55:] + fresh(9), fresh(9) + far + fresh(30)]
+    rows = [*enumerate((" ".join(t) for t in texts), 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (substring_dedup.repeated(frame.repartition(k)).collect() for k in (1, 5))
+    assert sorted(one) == sorted(many)
+    got = found_words(rows, one)
+    assert {*got} >= {3, 4, 5, 6}
+    for doc, text in ((3, three), (4, four), (5, four)):
+        begin = texts[doc - 1].index(text[0])
+        assert {*range(begin, begin + 150)} <= got[doc]
+    assert len(got[6]) > 100
+
+
+@pytest.mark.parametrize("most", [4096, 7])
+def test_substring_runs_of_a_key(spark, most):
+    """Each two runs of a key that agree in the least share: the later one is covered, by whichever earlier one."""
+    rng, least, share = random.Random(43), 46, 0.8
+    bases = [[rng.randrange(1 << 32) for _ in range(90)] for _ in range(4)]
+    common = [rng.randrange(1 << 32) for _ in range(9)]
+    rows = []
+    for doc in range(60):
+        base = list(rng.choice(bases)) if rng.random() < 0.7 else [rng.randrange(1 << 32) for _ in range(90)]
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.choice([*range(35), *range(49, 85)])
+            base[at : at + 5] = [rng.randrange(1 << 32) for _ in range(5)]
+        base[40:49] = common
+        rows.append((1, doc, doc, 0, 0, 89, 44, bytearray(np.array(base, np.uint32).tobytes()), bytearray(12)))
+    found = substring_dedup.linked(spark.createDataFrame(rows, substring_dedup._OPENED), least, share, most).collect()
+    own = [np.frombuffer(r[7], np.uint32) for r in rows]
+    covered = {}
+    for r in found:
+        a, b = own[r["doc"]][r["first"] : r["last"] + 1], own[r["pdoc"]][r["pfirst"] : r["plast"] + 1]
+        assert r["pdoc"] < r["doc"] and len(a) >= least and len({*a} & {*b}) >= share * len({*a} | {*b})
+        covered.setdefault(r["doc"], set()).update(range(r["first"], r["last"] + 1))
+    want = [(i, p) for i in range(60) for j in range(i) for p in substring_dedup.agreeing(own[i], own[j], least, share)]
+    assert len({i for i, _ in want}) > 25
+    for i, (a, b, *_) in want:
+        assert {*range(a, b + 1)} <= covered[i]
+
+
 def five(text):
     return np.array([zlib.crc32(" ".join(text[k : k + 5]).encode()) for k in range(len(text) - 4)], np.uint64)
 

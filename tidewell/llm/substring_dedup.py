@@ -170,8 +170,9 @@ def hot_keys(docs: DataFrame, n: int, least: int, share: float = 0.001, part: in
 
 def met(rows: DataFrame, least: int, most: int = 4096) -> DataFrame:
     """From runs: kind 0, pairs of a run with its pivot (c: how far it is from pdoc's place; equal: of equal content);
-    kind 1, runs to open; kind 2, runs of hot keys as they are, equal if they are of the first pair of functions. Rows
-    stream by in order of key and document; a key of more than ``most`` rows goes on with its pivot alone in memory."""
+    kind 1, runs to open; kind 2, runs of hot keys as they are, equal if they are of the first pair of functions; kind 3,
+    all runs of keys that three documents or more have, as they are. Rows stream by in order of key and document; a key
+    of more than ``most`` rows goes on with its pivot alone in memory."""
 
     def given(kind: int, doc, s1, s2, c=None, pdoc=None, equal=None, key=None) -> pa.RecordBatch:
         k = len(doc)
@@ -224,6 +225,8 @@ def met(rows: DataFrame, least: int, most: int = 4096) -> DataFrame:
         differ = opens & ~equal & several[number]
         too = (np.bincount(number[differ], minlength=len(first)) > 0) | (known | (size > most)) & opens[first]
         yield given(1, np.concatenate([doc[differ], p[0][too]]), np.concatenate([s1[differ], p[1][too]]), np.concatenate([s2[differ], p[2][too]]))
+        more = ((documents > 2) | (size > most) | known)[number]
+        yield given(3, doc[more], s1[more], s2[more], c[more], key=key[more].view(np.int64))
 
     return rows.repartition("deal").sortWithinPartitions("deal", "doc", "s1").mapInArrow(run, _MET)
 
@@ -505,10 +508,196 @@ def verified(cuts: DataFrame, n: int, least: int, share: float) -> DataFrame:
                 out.append((own[0], *spans[:2], own[1], *spans[2:], own[5]))
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(7)], [x.split()[0] for x in _FOUND.split(", ")])
 
-    fragments = cuts.where("key is null").select("doc", "pdoc", "side", "lo", "first", "mark", "part", "hits")
+    fragments = cuts.where("key is null and side < 2").select("doc", "pdoc", "side", "lo", "first", "mark", "part", "hits")
     return fragments.repartition("doc", "pdoc").sortWithinPartitions("doc", "pdoc", "side").mapInArrow(run, _FOUND)
 
 
+_OPENED = "key long, doc long, mark long, lo int, first int, last int, place int, tokens binary, covered binary"
+
+
+def opened(texts: DataFrame, n: int, least: int, share: float) -> DataFrame:
+    """From texts(doc_id, text, mark, base) with runs (of keys of three documents or more) and spans found so far: each run
+    (lo + first..last) with tokens around it, from lo on, and which of them the spans cover. place: of the key's token."""
+    names = [x.split()[0] for x in _OPENED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, data, marks, bases, runs, spans in slices([batch]):
+                token, bounds, first, end = tokens(data, n)
+                out: list[tuple] = []
+                for k, text in enumerate(data):
+                    own, size = token[bounds[k] : bounds[k + 1]].astype(np.uint32), int(bounds[k + 1] - bounds[k])
+                    covered = np.zeros(size, bool)
+                    if spans[k]:
+                        low, high = first[bounds[k] : bounds[k + 1]], end[bounds[k] : bounds[k + 1]]
+                        if not text.isascii():
+                            counts = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+                            low, high = counts[low], counts[high]
+                        for span in spans[k]:
+                            covered[np.searchsorted(low, span["start"] - bases[k]) : np.searchsorted(high, span["end"] - bases[k], side="right")] = True
+                    for r in runs[k]:
+                        a, b = r["s1"], r["s2"] + least - 1
+                        if b < size:
+                            room = int((b - a + 1) * (1 / share - 1)) + 1
+                            lo, hi = max(0, a - room), min(size, b + room + 1)
+                            out.append((r["key"], ids[k], marks[k], lo, a - lo, b - lo, r["c"], own[lo:hi].tobytes(), np.packbits(covered[lo:hi]).tobytes()))
+                        if len(out) >= 2000:
+                            yield given(out)
+                            out = []
+                yield given(out)
+
+    def given(out: list[tuple]) -> pa.RecordBatch:
+        types = [*[pa.int64()] * 3, *[pa.int32()] * 4, *[pa.binary()] * 2]
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names)
+
+    return texts.select("doc_id", "text", "mark", "base", "runs", "spans").mapInArrow(run, _OPENED)
+
+
+class Group:
+    """Runs of one key, in order of document, of different contents: for each one what of it a passage in an earlier
+    one's document can still cover. Only runs that can meet the share and cover more are compared.
+
+    A passage that covers more holds a token that isn't covered and that both have; or it bridges a stretch between two
+    covered ones, that is then no more than a quarter of the run. And both have more than ``few`` of the run's tokens,
+    so one besides any tokens that fill ``few`` places: the most common ones."""
+
+    def __init__(self, rows: list[tuple], least: int, share: float):
+        self.rows, self.least, self.share = rows, least, share
+        self.few = int(np.ceil(share * least - 1e-9)) - 1
+        sizes = [r[5] - r[4] + 1 for r in rows]
+        self.at = np.cumsum([0, *sizes])
+        self.owner = np.repeat(np.arange(len(rows)), sizes)
+        names, self.number = np.unique(np.concatenate([self.part(k, 7) for k in range(len(rows))]), return_inverse=True)
+        order = np.argsort(self.number, kind="stable")
+        number, owner = self.number[order], self.owner[order]
+        once = np.concatenate([[True], (number[1:] != number[:-1]) | (owner[1:] != owner[:-1])])
+        self.holders = owner[once]
+        self.begin = np.searchsorted(number[once], np.arange(len(names) + 1))
+        self.bare = ~np.concatenate([self.part(k, 8) for k in range(len(rows))])
+        self.first = self.holders[self.begin[:-1]]
+
+    def part(self, k: int, of: int) -> np.ndarray:
+        return self.rows[k][of][self.rows[k][4] : self.rows[k][5] + 1]
+
+    def bridged(self, k: int) -> bool:
+        there = np.nonzero(self.part(k, 8))[0]
+        gaps, tokens = np.nonzero(np.diff(there) > 1)[0], self.part(k, 7)
+        return any(len(np.unique(tokens[there[g] + 1 : there[g + 1]])) <= len(tokens) * (1 / self.share - 1) for g in gaps)
+
+    def sharers(self, tokens: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.holders[self.begin[t] : self.begin[t + 1]] for t in tokens]) if len(tokens) else np.empty(0, np.int64)
+
+    def candidates(self, k: int) -> np.ndarray:
+        """Earlier runs that may cover more of run k, those that share most first."""
+        number = self.number[self.at[k] : self.at[k + 1]]
+        bare = np.unique(number if self.bridged(k) else number[~self.part(k, 8)])
+        own, times = np.unique(number, return_counts=True)
+        often = np.diff(self.begin)
+        order = np.argsort(-often[own], kind="stable")
+        rare = own[order][np.cumsum(times[order]) > self.few]
+        probe = min((bare, rare), key=lambda t: often[t].sum())
+        shared = np.bincount(self.sharers(probe), minlength=k)[:k]
+        found = np.nonzero(shared)[0]
+        return found[np.argsort(-shared[found], kind="stable")]
+
+    def links(self, crossing: bool) -> Iterator[tuple]:
+        """(doc, mark, first, last, pdoc, pmark, first, last) of passages, by token, that cover more."""
+        hope = {*np.unique(self.owner[self.bare & (self.first[self.number] < self.owner)]).tolist()}
+        for k in np.unique(self.owner[self.bare]).tolist():
+            if k and (k in hope or self.bridged(k)):
+                yield from self._links(k, crossing)
+
+    def _links(self, k: int, crossing: bool) -> Iterator[tuple]:
+        doc, mark, lo, a, b, place, own, covered = self.rows[k][1:9]
+        number, tried = self.number[self.at[k] : self.at[k + 1]], {k}
+        while not covered[a : b + 1].all():
+            rest = [j for j in self.candidates(k).tolist() if j not in tried]
+            for j in rest:
+                tried.add(j)
+                pdoc, pmark, plo, x, y, pplace, other, _ = self.rows[j][1:9]
+                if pdoc >= doc or crossing and self.rows[j][9] == self.rows[k][9]:
+                    continue
+                if np.isin(number, self.number[self.at[j] : self.at[j + 1]]).sum() <= self.few:
+                    continue
+                shift, more = (place - lo) - (pplace - plo), False
+                for i, p, u, v in ((0, 0, own, other), (a, x, own[a : b + 1], other[x : y + 1])):
+                    for a0, b0, x0, y0 in agreeing(u, v, self.least, self.share, shift - i + p):
+                        if not covered[i + a0 : i + b0 + 1].all():
+                            more = True
+                            covered[i + a0 : i + b0 + 1] = True
+                            yield doc, mark, lo + i + a0, lo + i + b0, pdoc, pmark, plo + p + x0, plo + p + y0
+                    if covered[a : b + 1].all():
+                        break
+                if more:
+                    break
+            else:
+                return
+
+
+_LINKED = "doc long, mark long, first int, last int, pdoc long, pmark long, pfirst int, plast int"
+
+
+def linked(rows: DataFrame, least: int, share: float, most: int = 4096) -> DataFrame:
+    """From opened runs: passages of runs with any earlier one of their key that cover what wasn't covered. Keys of more
+    than ``most`` runs are dealt as pairs of blocks."""
+    names = [x.split()[0] for x in _LINKED.split(", ")]
+    blocks = rows.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
+    dealt = rows.join(F.broadcast(blocks), "key", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit("block"), "doc"), "blocks")).cast("int"))
+    other = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tiles = dealt.withColumn("o", F.explode(other)).select("key", *_names(_OPENED)[1:], "block", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        seen: set[bytes] = set()
+        tile, out = None, []
+        for batch in batches:
+            for *row, block, b1, b2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (row[0], b1, b2) != tile:
+                    out += solved(held, tile)
+                    tile, held, seen = (row[0], b1, b2), [], set()
+                    if len(out) > 1000:
+                        yield given(out)
+                        out = []
+                tokens = np.frombuffer(row[7], np.uint32)
+                content = tokens[row[4] : row[5] + 1].tobytes()
+                if content not in seen:
+                    seen.add(content)
+                    held.append((*row[:7], tokens, np.unpackbits(np.frombuffer(row[8], np.uint8), count=len(tokens)).astype(bool), block))
+        yield given(out + solved(held, tile))
+
+    def solved(held: list[tuple], tile: tuple | None) -> list[tuple]:
+        bare = sum(not r[8][r[4] : r[5] + 1].all() for r in held[1:])
+        return [*Group(held, least, share).links(tile[1] != tile[2])] if bare and len(held) > 1 else []
+
+    def given(out: list[tuple]) -> pa.RecordBatch:
+        types = 2 * [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names)
+
+    return tiles.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2", "doc", "mark", "lo", "first").mapInArrow(run, _LINKED)
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def placed(found: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Passages by token as passages by code point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, data, marks, bases, asked in slices([batch]):
+                _, bounds, first, end = tokens(data, n)
+                out = [(int(ids[k]), marks[k], a["first"], a["last"], bases[k] + len(data[k][: first[bounds[k] + a["first"]]].decode()), bases[k] + len(data[k][: end[bounds[k] + a["last"]]].decode())) for k in range(len(data)) for a in asked[k]]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(6)], ["doc", "mark", "first", "last", "start", "end"])
+
+    sides = found.select("doc", "mark", "first", "last").unionByName(found.select(F.col("pdoc").alias("doc"), F.col("pmark").alias("mark"), F.col("pfirst").alias("first"), F.col("plast").alias("last")))
+    asked = sides.groupBy(F.col("doc").alias("doc_id"), "mark").agg(F.collect_set(F.struct("first", "last")).alias("asked"))
+    places = texts.join(asked, ["doc_id", "mark"]).select("doc_id", "text", "mark", "base", "asked").mapInArrow(run, "doc long, mark long, first long, last long, start long, end long").distinct()
+    p = places.select(F.col("doc").alias("pdoc"), F.col("mark").alias("pmark"), F.col("first").alias("pfirst"), F.col("last").alias("plast"), F.col("start").alias("source_start"), F.col("end").alias("source_end"))
+    both = found.join(places, ["doc", "mark", "first", "last"]).join(p, ["pdoc", "pmark", "pfirst", "plast"])
+    return both.select(F.col("doc").alias("doc_id"), "start", "end", F.col("pdoc").alias("source_doc_id"), "source_start", "source_end", "mark")
+
+
 def repeated(docs: DataFrame, passage: int = 50, n: int = 5, share: float = 0.8) -> DataFrame:
     """Passages of docs(doc_id, text) of at least that many words that stand, nearly alike, in a document of a smaller
     id: doc_id, start, end, source_doc_id, source_start, source_end, and mark, a hash of the text they stand in."""
@@ -516,11 +705,18 @@ def repeated(docs: DataFrame, passage: int = 50, n: int = 5, share: float = 0.8)
     least = passage - n + 1
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     found = scratch.write(met(runs(docs, n, least, hot_keys(docs, n, least)), least), "met")
-    texts = docs.withColumn("mark", F.xxhash64("text")).join(asked(found, least, share), "doc_id")
+    whole = found.where("kind in (2, 3)").select(F.col("doc").alias("doc_id"), "doc").distinct().select("*", F.lit(2).alias("side"), F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("hi"))
+    texts = docs.withColumn("mark", F.xxhash64("text")).join(asked(found, least, share).unionByName(whole, allowMissingColumns=True), "doc_id")
     cuts = scratch.write(cut(texts, n, least), "cut", batch=256)
     out = scratch.write(verified(cuts, n, least, share).unionByName(same_passages(cuts)).distinct(), "found", batch=1000)
-    scratch.drop("met", "cut")
-    return out
+    texts = cuts.where("side = 2").select(F.col("doc").alias("doc_id"), F.col("part").alias("text"), "mark", F.col("first").alias("base"))
+    first = texts.groupBy("mark").agg(F.min("doc_id").alias("doc_id"))  # copies of a text are covered by the first one
+    several = found.where("kind in (2, 3)").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("key", "s1", "s2", "c")).alias("runs"))
+    open_ = texts.join(first, ["doc_id", "mark"]).join(several, "doc_id").join(merged(out, "doc_id", "mark"), ["doc_id", "mark"], "left")
+    rest = scratch.write(linked(scratch.write(opened(open_, n, least, share), "opened", batch=256), least, share), "linked", batch=1000)
+    more = scratch.write(placed(rest, texts, n), "placed", batch=256)
+    scratch.drop("met", "cut", "opened", "linked")
+    return out.unionByName(more)
 
 
 def merged(found: DataFrame, *keys: str) -> DataFrame:
