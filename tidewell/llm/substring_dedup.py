@@ -575,6 +575,7 @@ class Group:
         self.begin = np.searchsorted(number[once], np.arange(len(names) + 1))
         self.bare = ~np.concatenate([self.part(k, 8) for k in range(len(rows))])
         self.first = self.holders[self.begin[:-1]]
+        self.flag = np.zeros(len(names), bool)
 
     def part(self, k: int, of: int) -> np.ndarray:
         return self.rows[k][of][self.rows[k][4] : self.rows[k][5] + 1]
@@ -584,6 +585,26 @@ class Group:
         gaps, tokens = np.nonzero(np.diff(there) > 1)[0], self.part(k, 7)
         return any(len(np.unique(tokens[there[g] + 1 : there[g + 1]])) <= len(tokens) * (1 / self.share - 1) for g in gaps)
 
+    def common(self, k: int, j: int) -> np.ndarray:
+        """Which of run k's tokens run j has."""
+        other = self.number[self.at[j] : self.at[j + 1]]
+        self.flag[other] = True
+        out = self.flag[self.number[self.at[k] : self.at[k + 1]]]
+        self.flag[other] = False
+        return out
+
+    def wide(self, common: np.ndarray, once: np.ndarray, bare: np.ndarray) -> bool:
+        """Whether a range of the least length with one of the bare places can have that share of its tokens in common;
+        of those not in common only tokens that the run has once are sure to count."""
+        size, gap = len(common), self.least - 1
+        sums = np.concatenate([[0], np.cumsum(np.where(common, 1 - self.share, -self.share * once))])
+        low = np.minimum.accumulate(sums)
+        ends = np.full(size + gap, -np.inf)  # by last place: the best of all ranges that end there
+        ends[gap:size] = sums[gap + 1 :] - low[: size - gap]
+        near = np.lib.stride_tricks.sliding_window_view(ends, gap + 1)[bare].max(1)
+        high = np.append(np.maximum.accumulate(sums[::-1])[::-1], np.full(gap + 1, -np.inf))
+        return bool((np.maximum(near, high[bare + gap + 1] - low[bare]) >= -1e-6).any())
+
     def sharers(self, tokens: np.ndarray) -> np.ndarray:
         return np.concatenate([self.holders[self.begin[t] : self.begin[t + 1]] for t in tokens]) if len(tokens) else np.empty(0, np.int64)
 
@@ -610,23 +631,30 @@ class Group:
     def _links(self, k: int, crossing: bool) -> Iterator[tuple]:
         doc, mark, lo, a, b, place, own, covered = self.rows[k][1:9]
         number, tried = self.number[self.at[k] : self.at[k + 1]], {k}
+        _, same, times = np.unique(number, return_inverse=True, return_counts=True)
+        once = times[same] == 1
         while not covered[a : b + 1].all():
+            bridged = self.bridged(k)
             rest = [j for j in self.candidates(k).tolist() if j not in tried]
             for j in rest:
                 tried.add(j)
                 pdoc, pmark, plo, x, y, pplace, other, _ = self.rows[j][1:9]
                 if pdoc >= doc or crossing and self.rows[j][9] == self.rows[k][9]:
                     continue
-                if np.isin(number, self.number[self.at[j] : self.at[j + 1]]).sum() <= self.few:
+                common = self.common(k, j)
+                if common.sum() <= self.few:
+                    continue
+                bare = np.nonzero(~covered[a : b + 1] & (common | bridged))[0]
+                if not len(bare) or not self.wide(common, once, bare):
                     continue
                 shift, more = (place - lo) - (pplace - plo), False
-                for i, p, u, v in ((0, 0, own, other), (a, x, own[a : b + 1], other[x : y + 1])):
+                for i, p, u, v in ((a, x, own[a : b + 1], other[x : y + 1]), (0, 0, own, other)):
                     for a0, b0, x0, y0 in agreeing(u, v, self.least, self.share, shift - i + p):
                         if not covered[i + a0 : i + b0 + 1].all():
                             more = True
                             covered[i + a0 : i + b0 + 1] = True
                             yield doc, mark, lo + i + a0, lo + i + b0, pdoc, pmark, plo + p + x0, plo + p + y0
-                    if covered[a : b + 1].all():
+                    if not more:
                         break
                 if more:
                     break
