@@ -179,6 +179,21 @@ def test_substring_near_beside_pivot(spark):
     assert len(got[6]) > 100
 
 
+def test_passages_near_beside_pivot(spark):
+    """The pipeline's stage cuts a near passage of 2 out of 3, though 1, which is near to neither, is the pivot."""
+    import corpus_pipeline
+
+    rng = random.Random(47)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(150)
+    two, three = ([fresh(1)[0] if k == at else w for k, w in enumerate(passage)] for at in (60, 85))
+    before, after = fresh(20), fresh(20)
+    texts = [" ".join(t) for t in (decoy(rng, passage), two, before + three + after)]
+    frame = spark.createDataFrame([*enumerate(texts, 1)], "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.passages(spark, frame, "").collect()}
+    assert left[1] == texts[0] and left[2] == texts[1] and left[3].split() == before + after
+
+
 @pytest.mark.parametrize("most", [4096, 7])
 def test_substring_runs_of_a_key(spark, most):
     """Each two runs of a key that agree in the least share: the later one is covered, by whichever earlier one."""
