@@ -194,6 +194,49 @@ def test_passages_near_beside_pivot(spark):
     assert left[1] == texts[0] and left[2] == texts[1] and left[3].split() == before + after
 
 
+@pytest.mark.parametrize("beside", [False, True])
+def test_substring_every_near_passage(spark, beside):
+    """Passages of 50 words and more with as many edits as the share allows are found, all of them; also where an earlier
+    document has parts of each, so that no two of the others are its copies."""
+    rng = random.Random(53)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts, pivots = {}, []
+    for case in range(90):
+        passage = fresh(rng.choice([50, 50, 50, 60, 70, 90, 110]))
+        near = list(passage)
+        for at in sorted(rng.sample(range(5, len(near) - 5), max(1, len(near) // 55)), reverse=True):
+            near[at : at + rng.randrange(2)] = fresh(1)
+        pivots += [w for k in range(0, len(passage) - 15, 10) for w in [*passage[k : k + 26], *fresh(60)]]
+        texts[1000 + case], texts[2000 + case] = fresh(30) + passage + fresh(30), fresh(30) + near + fresh(30)
+    if beside:
+        texts |= {k: pivots[at : at + 2000] for k, at in enumerate(range(0, len(pivots), 1900), 1)}
+    rows = [(k, " ".join(t)) for k, t in texts.items()]
+    got = found_words(rows, substring_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    met = 0
+    for case in range(90):
+        for a, b, *_ in substring_dedup.agreeing(five(texts[2000 + case]), five(texts[1000 + case]), 46, 0.8):
+            met += 1
+            assert {*range(a, b + 5)} <= got.get(2000 + case, set())
+    assert met > 60
+
+
+def test_substring_near_and_repeated(spark):
+    """1 has a part of the passage before all of it; 2, which is near to that, has it at two places. 13 has one twice that
+    is near to 12's and not to the pivot's, 11's."""
+    rng = random.Random(59)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for base in range(0, 400, 20):
+        passage, other = fresh(60), fresh(60)
+        near, far = ([*p[:30], "edit", *p[31:]] for p in (passage, other))
+        texts = {1: fresh(30) + passage[4:28] + fresh(60) + passage + fresh(9), 2: fresh(30) + near + fresh(50) + near + fresh(9)}
+        texts |= {11: fresh(30) + other[4:28] + fresh(60), 12: fresh(40) + other + fresh(30), 13: fresh(30) + far + fresh(50) + far + fresh(9)}
+        rows += [(base + k, " ".join(t)) for k, t in texts.items()]
+        want |= {base + k: {*range(30, 90), *range(140, 200)} for k in (2, 13)}
+    got = found_words(rows, substring_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert {*got} == {*want} and all(w <= got[doc] for doc, w in want.items())
+
+
 @pytest.mark.parametrize("most", [4096, 7])
 def test_substring_runs_of_a_key(spark, most):
     """Each two runs of a key that agree in the least share: the later one is covered, by whichever earlier one."""

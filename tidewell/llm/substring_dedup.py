@@ -4,8 +4,10 @@ Tokens are shingles of five words. For each of k hash functions the Cartesian tr
 its compact windows: at a node c with range [l, r] all subsequences within l..r that hold c have c's hash as their
 min-hash. Only nodes whose range holds a passage of the least length are made; so every passage of that length lies in
 one window of each function. Windows of two functions, joined as intervals, leave runs of passages that have both
-min-hashes in common; their key is the pair of tokens. The functions work in pairs, and a key in common with another
-document is a candidate.
+min-hashes in common; their key is the pair of tokens. Such keys bring exact passages together, and near ones with a
+chance. Near passages that meet the share have a stretch of 20 equal tokens, as an edit costs nine tokens of both sides
+(fewer only where words repeat): so compact windows of that width, by hashes of four tokens, give keys that near passages
+are sure to have in common. A key in common with another document is a candidate.
 
 Runs of a key aren't paired with each other. They stream by in order of document, and each is paired with the first
 one, the pivot; so a key costs one row for each run. A pivot may have both tokens and not the passage, so where a key
@@ -40,9 +42,10 @@ from tidewell.llm.shingles import _INVERSE as INVERSE
 from tidewell.llm.shingles import _powers as powers
 from tidewell.llm.shingles import shingles, words
 
-#: Pairs of hash functions. A near passage of the least length with a similarity s has a pair's key in common with a
-#: chance of s squared; a longer one has more chances.
-PAIRS = ((0, 1), (2, 3))
+#: The hash functions whose min-hashes are a key of exact passages.
+FUNCTIONS = (0, 1)
+#: Tokens that a near passage has in common without a break, at least; and how many of them are a key.
+STRETCH, GRAM = 20, 4
 _RUN = "deal long, hot long, doc long, s1 int, s2 int, c int, whole long"
 _MET = "kind int, key long, doc long, pdoc long, s1 int, s2 int, c int, equal boolean"
 
@@ -118,6 +121,26 @@ class Content:
             return mix64((self.sums[end] - self.sums[first]) * self.back[first] + (end - first).astype(np.uint64), 6)
 
 
+def seeds(token: np.ndarray, content: Content, bounds: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(place, key, s1, s2) of the grams that are the least of a stretch: s1..s2 are the first tokens of the passages of the
+    least length that hold one of the gram's stretches."""
+    at = np.arange(max(0, len(token) - GRAM + 1))
+    gram = content.of(at, at + GRAM)
+    value = np.append(gram, np.zeros(len(token) - len(gram), np.uint64))
+    ends = np.maximum(bounds[1:] - GRAM + 1, bounds[:-1])
+    wide = STRETCH - GRAM + 1
+    l, c, r = compact_windows(_ordered(mix64(value, 22), np.arange(len(value)) - bounds[np.append(owner, 0)[: len(value)]]), bounds[:-1], ends, wide)
+    first, last = np.maximum(l, c - wide + 1), np.minimum(c, r - wide + 1)
+    order = np.argsort(first)
+    first, last, c = first[order], last[order], c[order]
+    value, doc = gram[c], owner[c]
+    new = np.nonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])]))[0] if len(c) else order
+    first, last, c, doc = first[new], last[np.append(new[1:], len(c))[: len(new)] - 1], c[new], doc[new]
+    s1, s2 = np.maximum(bounds[doc], first - (least - STRETCH)), np.minimum(last, bounds[doc + 1] - least)
+    fits = s1 <= s2
+    return c[fits], mix64(gram[c[fits]], 41), s1[fits], s2[fits]
+
+
 def tokens(data: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All tokens, each text's bounds among them, and each token's first and end byte in its text."""
     hashed, text, first, end = words(data)
@@ -127,7 +150,7 @@ def tokens(data: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def runs(docs: DataFrame, n: int, least: int, hot: np.ndarray) -> DataFrame:
     """Runs of passages (doc, s1..s2 their first tokens) of docs(doc_id, text), by key. c: where the first function's
-    token is; whole: a hash of all the run covers, for the first pair of functions; hot: the key, if it is one of those,
+    token is; whole: a hash of all the run covers, for keys of exact passages; hot: the key, if it is one of those,
     whose rows are spread; deal: the key, else."""
 
     def made(ids: np.ndarray, data: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -138,12 +161,16 @@ def runs(docs: DataFrame, n: int, least: int, hot: np.ndarray) -> DataFrame:
         if not len(start):
             return
         content = Content(token)
-        for number, pair in enumerate(PAIRS):
-            cf, cg = (minima(_ordered(mix64(token, 20 + f), place), bounds, least) for f in pair)
-            new = np.nonzero(np.concatenate([[True], (cf[1:] != cf[:-1]) | (cg[1:] != cg[:-1])]))[0]
-            s1, s2, c = start[new], start[np.append(new[1:], len(start)) - 1], cf[new]
-            with np.errstate(over="ignore"):
-                key = mix64(mix64(token[c], 30 + number) + token[cg[new]], 40 + number)
+        for number in (0, 1):
+            if number:
+                c, key, s1, s2 = seeds(token, content, bounds, owner, least)
+            else:
+                cf, cg = (minima(_ordered(mix64(token, 20 + f), place), bounds, least) for f in FUNCTIONS)
+                f, g = token[cf], token[cg]
+                new = np.nonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (g[1:] != g[:-1]) | (owner[start[1:]] != owner[start[:-1]])]))[0]
+                s1, s2, c = start[new], start[np.append(new[1:], len(start)) - 1], cf[new]
+                with np.errstate(over="ignore"):
+                    key = mix64(mix64(f[new], 30) + g[new], 40)
             often = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), bool)
             doc = owner[s1]
             whole = pa.nulls(len(key), pa.int64()) if number else pa.array(content.of(s1, s2 + least).view(np.int64))
@@ -170,8 +197,8 @@ def hot_keys(docs: DataFrame, n: int, least: int, share: float = 0.001, part: in
 
 def met(rows: DataFrame, least: int, most: int = 4096) -> DataFrame:
     """From runs: kind 0, pairs of a run with its pivot (c: how far it is from pdoc's place; equal: of equal content);
-    kind 1, runs to open; kind 2, runs of hot keys as they are, equal if they are of the first pair of functions; kind 3,
-    all runs of keys that three documents or more have, as they are. Rows stream by in order of key and document; a key
+    kind 1, runs to open; kind 2, runs of hot keys as they are, equal if they are keys of exact passages; kind 3, all runs
+    of a stretch's key that later ones may need besides the pivot, as they are. Rows stream by in order of key and document; a key
     of more than ``most`` rows goes on with its pivot alone in memory."""
 
     def given(kind: int, doc, s1, s2, c=None, pdoc=None, equal=None, key=None) -> pa.RecordBatch:
@@ -225,7 +252,8 @@ def met(rows: DataFrame, least: int, most: int = 4096) -> DataFrame:
         differ = opens & ~equal & several[number]
         too = (np.bincount(number[differ], minlength=len(first)) > 0) | (known | (size > most)) & opens[first]
         yield given(1, np.concatenate([doc[differ], p[0][too]]), np.concatenate([s1[differ], p[1][too]]), np.concatenate([s2[differ], p[2][too]]))
-        more = ((documents > 2) | (size > most) | known)[number]
+        again = np.bincount(number[~pair], minlength=len(first)) > 1  # the pivot's document has the key at other places
+        more = ((documents > 2) | (documents > 1) & again | (size > most) | known)[number] & ~opens
         yield given(3, doc[more], s1[more], s2[more], c[more], key=key[more].view(np.int64))
 
     return rows.repartition("deal").sortWithinPartitions("deal", "doc", "s1").mapInArrow(run, _MET)
@@ -322,7 +350,7 @@ def asked(found: DataFrame, least: int, share: float) -> DataFrame:
     hot_pairs = hot.join(F.broadcast(pivots), "key").where("doc <> p.doc").select("doc", F.col("p.doc").alias("pdoc"), "s1", (F.col("s2") + least - 1).alias("s2"), (F.col("c") - F.col("p.c")).alias("c"), F.lit(False).alias("equal"))
     pairs = found.where("kind = 0").select("doc", "pdoc", "s1", "s2", "c", "equal").unionByName(hot_pairs)
     hits = pairs.groupBy("doc", "pdoc").agg(F.collect_list(F.struct(F.col("c").alias("shift"), F.col("s1").alias("a"), F.col("s2").alias("b"), "equal")).alias("hits"), F.min("s1").alias("a"), F.max("s2").alias("b"), F.min(F.col("s1") - F.col("c")).alias("pa"), F.max(F.col("s2") - F.col("c")).alias("pb"))
-    room = F.ceil((F.greatest(F.col("b") - F.col("a"), F.col("pb") - F.col("pa")) + 1) * (1 / share - 1)).cast("int") + 1
+    room = F.ceil((F.greatest(F.col("b") - F.col("a"), F.col("pb") - F.col("pa")) + 1) * (1 / share - 1)).cast("int") + 1 + 2 * least
     side = lambda k, of, a, b, hits: F.struct(F.col(of).alias("doc_id"), F.lit(k).alias("side"), F.greatest(F.lit(0), F.col(a) - room).alias("lo"), (F.col(b) + room).alias("hi"), hits.alias("hits"))
     none = F.lit(None).cast(hits.schema["hits"].dataType)
     fragments = hits.select("doc", "pdoc", F.explode(F.array(side(0, "doc", "a", "b", F.col("hits")), side(1, "pdoc", "pa", "pb", none))).alias("f")).select("f.doc_id", "doc", "pdoc", "f.side", "f.lo", "f.hi", "f.hits")
@@ -451,21 +479,30 @@ def verified(cuts: DataFrame, n: int, least: int, share: float) -> DataFrame:
     """From fragments: the passages that hold."""
 
     def passages(hits: list[dict], own: np.ndarray, lo: int, other: np.ndarray, plo: int) -> Iterator[tuple[int, int, int, int]]:
-        """All passages of an interval are found. own and other begin with tokens lo and plo of their documents; so do
-        the places returned."""
-        given: list[tuple[int, int]] = []
-        for shift, a, b in sorted(joined_hits(hits), key=lambda h: h[1] - h[2]):
+        """All that passages of the fragments and of an interval cover is found: the fragments as a whole come first, and
+        what they leave of an interval. own and other begin with tokens lo and plo of their documents; so do the places
+        returned."""
+        covered, common = np.zeros(len(own), bool), np.nonzero(np.isin(own, other))[0]
+        joined = sorted(joined_hits(hits), key=lambda h: h[1] - h[2])
+        windows = [(0, len(own), 0, len(other), joined[0][0])] if joined else []
+        for shift, a, b in joined:
             room = int((b - a + 1) * (1 / share - 1)) + 1
-            i, x = max(0, a - lo - room), max(0, a - shift - plo - room)
-            sides, between = (own[i : b - lo + room + 1], other[x : max(0, b - shift - plo + room + 1)]), shift - (lo + i) + (plo + x)
+            windows.append((max(0, a - lo - room), b - lo + room + 1, max(0, a - shift - plo - room), max(0, b - shift - plo + room + 1), shift))
+        for i, j, x, y, shift in windows:
+            first, end = np.searchsorted(common, (i, j))
+            if first == end or covered[common[first] : common[end - 1] + 1].all():
+                continue
+            sides, between = (own[i:j], other[x:y]), shift - (lo + i) + (plo + x)
             plain = plainly(*sides, least, share, between)
             for a0, b0, x0, y0 in agreeing(*sides, least, share, between) if plain is None else plain:
-                given.append((a0 + i, b0 + i))
-                yield a0 + i, b0 + i, x0 + x, y0 + x
+                if not covered[a0 + i : b0 + i + 1].all():
+                    covered[a0 + i : b0 + i + 1] = True
+                    yield a0 + i, b0 + i, x0 + x, y0 + x
         for shift, a, b in joined_hits([h for h in hits if h["equal"]]):
             a, b = a - lo, b - lo
             x, y = a + lo - shift - plo, b + lo - shift - plo
-            if not any(c <= a and b <= d for c, d in given) and 0 <= a and 0 <= x and b < len(own) and y < len(other) and (own[a : b + 1] == other[x : y + 1]).all():
+            if 0 <= a and 0 <= x and b < len(own) and y < len(other) and not covered[a : b + 1].all() and (own[a : b + 1] == other[x : y + 1]).all():
+                covered[a : b + 1] = True
                 yield a, b, x, y
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -516,7 +553,7 @@ _OPENED = "key long, doc long, mark long, lo int, first int, last int, place int
 
 
 def opened(texts: DataFrame, n: int, least: int, share: float) -> DataFrame:
-    """From texts(doc_id, text, mark, base) with runs (of keys of three documents or more) and spans found so far: each run
+    """From texts(doc_id, text, mark, base) with runs (of stretches' keys) and spans found so far: each run
     (lo + first..last) with tokens around it, from lo on, and which of them the spans cover. place: of the key's token."""
     names = [x.split()[0] for x in _OPENED.split(", ")]
 
@@ -676,20 +713,19 @@ def linked(rows: DataFrame, least: int, share: float, most: int = 4096) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        seen: set[bytes] = set()
+        seen: dict[bytes, int] = {}
         tile, out = None, []
         for batch in batches:
             for *row, block, b1, b2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (row[0], b1, b2) != tile:
                     out += solved(held, tile)
-                    tile, held, seen = (row[0], b1, b2), [], set()
+                    tile, held, seen = (row[0], b1, b2), [], {}
                     if len(out) > 1000:
                         yield given(out)
                         out = []
                 tokens = np.frombuffer(row[7], np.uint32)
                 content = tokens[row[4] : row[5] + 1].tobytes()
-                if content not in seen:
-                    seen.add(content)
+                if seen.setdefault(content, row[1]) == row[1]:  # an equal run of an earlier document covers it
                     held.append((*row[:7], tokens, np.unpackbits(np.frombuffer(row[8], np.uint8), count=len(tokens)).astype(bool), block))
         yield given(out + solved(held, tile))
 
@@ -726,6 +762,14 @@ def placed(found: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return both.select(F.col("doc").alias("doc_id"), "start", "end", F.col("pdoc").alias("source_doc_id"), "source_start", "source_end", "mark")
 
 
+def whole_pairs(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of texts of passages by token as fragments, as a passage can be wider than what is around one key."""
+    hits = found.groupBy("doc", "mark", "pdoc", "pmark").agg(F.collect_list(F.struct((F.col("first") - F.col("pfirst")).cast("int").alias("shift"), F.col("first").cast("int").alias("a"), F.col("last").cast("int").alias("b"), F.lit(False).alias("equal"))).alias("hits"))
+    own, other = (hits.select("doc", "pdoc", F.col(d).alias("doc_id"), F.col(m).alias("mark"), F.lit(side).alias("side"), h.alias("hits")) for side, d, m, h in ((0, "doc", "mark", F.col("hits")), (1, "pdoc", "pmark", F.lit(None).cast(hits.schema["hits"].dataType))))
+    both = own.unionByName(other.dropDuplicates(["doc", "pdoc", "mark"])).join(texts, ["doc_id", "mark"])
+    return both.select(F.lit(None).cast("long").alias("key"), "doc", "pdoc", "side", F.lit(0).alias("lo"), F.col("base").alias("first"), "mark", F.col("text").alias("part"), "hits")
+
+
 def repeated(docs: DataFrame, passage: int = 50, n: int = 5, share: float = 0.8) -> DataFrame:
     """Passages of docs(doc_id, text) of at least that many words that stand, nearly alike, in a document of a smaller
     id: doc_id, start, end, source_doc_id, source_start, source_end, and mark, a hash of the text they stand in."""
@@ -733,18 +777,20 @@ def repeated(docs: DataFrame, passage: int = 50, n: int = 5, share: float = 0.8)
     least = passage - n + 1
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     found = scratch.write(met(runs(docs, n, least, hot_keys(docs, n, least)), least), "met")
-    whole = found.where("kind in (2, 3)").select(F.col("doc").alias("doc_id"), "doc").distinct().select("*", F.lit(2).alias("side"), F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("hi"))
+    later = found.where("kind = 3 or kind = 2 and not equal")
+    whole = later.select(F.col("doc").alias("doc_id"), "doc").distinct().select("*", F.lit(2).alias("side"), F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("hi"))
     texts = docs.withColumn("mark", F.xxhash64("text")).join(asked(found, least, share).unionByName(whole, allowMissingColumns=True), "doc_id")
     cuts = scratch.write(cut(texts, n, least), "cut", batch=256)
     out = scratch.write(verified(cuts, n, least, share).unionByName(same_passages(cuts)).distinct(), "found", batch=1000)
     texts = cuts.where("side = 2").select(F.col("doc").alias("doc_id"), F.col("part").alias("text"), "mark", F.col("first").alias("base"))
     first = texts.groupBy("mark").agg(F.min("doc_id").alias("doc_id"))  # copies of a text are covered by the first one
-    several = found.where("kind in (2, 3)").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("key", "s1", "s2", "c")).alias("runs"))
+    several = later.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("key", "s1", "s2", "c")).alias("runs"))
     open_ = texts.join(first, ["doc_id", "mark"]).join(several, "doc_id").join(merged(out, "doc_id", "mark"), ["doc_id", "mark"], "left")
     rest = scratch.write(linked(scratch.write(opened(open_, n, least, share), "opened", batch=256), least, share), "linked", batch=1000)
     more = scratch.write(placed(rest, texts, n), "placed", batch=256)
+    wider = scratch.write(verified(whole_pairs(rest, texts), n, least, share), "wider", batch=256)
     scratch.drop("met", "cut", "opened", "linked")
-    return out.unionByName(more)
+    return out.unionByName(more).unionByName(wider)
 
 
 def merged(found: DataFrame, *keys: str) -> DataFrame:
