@@ -268,6 +268,51 @@ def five(text):
     return np.array([zlib.crc32(" ".join(text[k : k + 5]).encode()) for k in range(len(text) - 4)], np.uint64)
 
 
+def _runs(rng, contents, covered=None):
+    rows = []
+    for doc, tokens in enumerate(contents):
+        there = np.zeros(len(tokens), bool) if covered is None else rng.random(len(tokens)) < covered
+        rows.append((1, doc, 0, 0, 0, len(tokens) - 1, 0, np.array(tokens, np.uint32), there, 0))
+    return rows
+
+
+def test_runs_that_share_too_little_are_not_compared(monkeypatch):
+    rng, calls = np.random.default_rng(3), []
+    plain = substring_dedup.agreeing
+    monkeypatch.setattr(substring_dedup, "agreeing", lambda *a: calls.append(a) or plain(*a))
+    head = list(range(43))  # would be enough for the share, and ends before the least length
+    apart = [head + [1000 * (d + 1) + i for i in range(30)] for d in range(40)]
+    assert not [*substring_dedup.Group(_runs(rng, apart), 46, 0.8).links(False)] and not calls
+    # lines that repeat: one document has the key at 20 places, with equal contents
+    lines = [[(100 * d if i >= 20 else 0) + i for i in range(31)] * 3 for d in (0, *[1] * 20)]
+    rows = [(*r[:1], min(r[1], 1), *r[2:]) for r in _runs(rng, lines)]
+    assert not [*substring_dedup.Group(rows, 46, 0.8).links(False)] and len(calls) <= 1
+
+
+def test_bounds_lose_no_run():
+    rng = np.random.default_rng(4)
+    for n in range(150):
+        words = int(rng.choice([3, 12, 60, 10000]))
+        base = rng.integers(0, words, 60)
+        contents = []
+        for _ in range(int(rng.integers(2, 9))):
+            own = base.copy()
+            for _ in range(rng.integers(0, 4)):
+                i = rng.integers(0, len(own))
+                own = np.concatenate([own[:i], rng.integers(0, 20000, rng.integers(0, 6)), own[i + rng.integers(0, 6) :]])
+            contents.append(own if len(own) >= 46 else base)
+        rows = _runs(rng, contents, covered=n % 3 / 3)
+        left = [r[8].copy() for r in rows]
+        want = [u.copy() for u in left]
+        for k in range(len(rows)):
+            for j in range(k):
+                for a, b, _, _ in substring_dedup.agreeing(rows[k][7], rows[j][7], 46, 0.8, 0):
+                    want[k][a : b + 1] = True
+        for doc, _, a, b, *_ in substring_dedup.Group(rows, 46, 0.8).links(False):
+            left[doc][a : b + 1] = True
+        assert all((x == y).all() for x, y in zip(left, want, strict=True)), n
+
+
 def test_agreeing_parts_of_a_run():
     """50 equal words before 100 of which every 7th is changed; four words put in by the other side."""
     own = [f"a{k}" for k in range(150)]

@@ -297,6 +297,29 @@ def _distinct(own: tuple, other: tuple, n: int, i: int, x: int, j: np.ndarray, y
     return common >= share * (np.searchsorted(first[0], j) + np.searchsorted(first[1], y) - common) - 1e-9
 
 
+def _heaviest(x: np.ndarray, size: np.ndarray) -> list[int]:
+    """The heaviest chain of ranges x..x+size, each beginning where the one before ends or later; of equal ones the first."""
+    n, ends = len(x), np.unique(x + size)
+    under, put, weight = (v.tolist() for v in (np.searchsorted(ends, x, side="right"), np.searchsorted(ends, x + size) + 1, size))
+    tree, before, top = [0] * (len(ends) + 1), [-1] * n, 0  # prefix maxima by end: weight of a chain and its last range in one number
+    for k in range(n):
+        best, at = 0, under[k]
+        while at:
+            best = max(best, tree[at])
+            at &= at - 1
+        if best:
+            before[k] = n - best % (n + 1)
+        best = (best // (n + 1) + weight[k]) * (n + 1) + n - k
+        top, at = max(top, best), put[k]
+        while at < len(tree):
+            tree[at] = max(tree[at], best)
+            at += at & -at
+    chain = [n - top % (n + 1)]
+    while before[chain[-1]] >= 0:
+        chain.append(before[chain[-1]])
+    return chain[::-1]
+
+
 def agreeing(a: np.ndarray, b: np.ndarray, least: int, share: float, shift: int = 0) -> list[tuple[int, int, int, int]]:
     """Verified passages (first, last, first, last) of token sequences a and b, a's places less shift being about b's:
     all of the least length that begin and end with stretches of equal tokens, have at least that share of both sides'
@@ -304,22 +327,14 @@ def agreeing(a: np.ndarray, b: np.ndarray, least: int, share: float, shift: int
     if not len(a) or not len(b):
         return []
     own, there = _counterparts(a, b, shift)
-    if len(own) < share * least:
+    if np.count_nonzero(np.bincount(there, minlength=1)) < share * least:
         return []
     cut = np.nonzero((np.diff(own) != 1) | (np.diff(there) != 1))[0]
     first, last = np.append(0, cut + 1), np.append(cut, len(own) - 1)
     i, x, size = own[first], there[first], last - first + 1
     if (x[1:] < (x + size)[:-1]).any():  # the heaviest chain of stretches that rise in both
-        best, before = size.astype(float), np.full(len(x), -1)
-        for k in range(1, len(x)):
-            under = np.where((x + size)[:k] <= x[k], best[:k], 0)
-            if under.max() > 0:
-                before[k] = under.argmax()
-                best[k] += under.max()
-        chain = [int(best.argmax())]
-        while before[chain[-1]] >= 0:
-            chain.append(int(before[chain[-1]]))
-        i, x, size = (v[chain[::-1]] for v in (i, x, size))
+        chain = _heaviest(x, size)
+        i, x, size = (v[chain] for v in (i, x, size))
     j, y, sums = i + size, x + size, np.append(0, np.cumsum(size))
     # no stretch after reach[k] can end a passage that begins with k: a's side alone would have too little in common
     rest = np.maximum.accumulate((sums[1:] - share * j)[::-1])[::-1]
@@ -596,7 +611,9 @@ class Group:
 
     A passage that covers more holds a token that isn't covered and that both have; or it bridges a stretch between two
     covered ones, that is then no more than a quarter of the run. And both have more than ``few`` of the run's tokens,
-    so one besides any tokens that fill ``few`` places: the most common ones."""
+    so one besides any tokens that fill ``few`` places: the most common ones. Where no token repeats, all stretches that a
+    run has in common with any earlier one are known at once: two of them must begin and end a passage. Contents that meet
+    again, as lines that repeat do, are compared once."""
 
     def __init__(self, rows: list[tuple], least: int, share: float):
         self.rows, self.least, self.share = rows, least, share
@@ -610,9 +627,15 @@ class Group:
         once = np.concatenate([[True], (number[1:] != number[:-1]) | (owner[1:] != owner[:-1])])
         self.holders = owner[once]
         self.begin = np.searchsorted(number[once], np.arange(len(names) + 1))
+        self.place = (order - self.at[owner])[once]
+        self.times = np.diff(np.append(np.nonzero(once)[0], len(order)))
+        self.repeats = np.bincount(self.holders, minlength=len(rows)) < sizes
+        contents: dict[bytes, int] = {}
+        self.content = [contents.setdefault(self.part(k, 7).tobytes(), k) for k in range(len(rows))]
+        self.compared: dict[tuple, list] = {}
         self.bare = ~np.concatenate([self.part(k, 8) for k in range(len(rows))])
         self.first = self.holders[self.begin[:-1]]
-        self.flag = np.zeros(len(names), bool)
+        self.order, self.doc = order, np.array([r[1] for r in rows])
 
     def part(self, k: int, of: int) -> np.ndarray:
         return self.rows[k][of][self.rows[k][4] : self.rows[k][5] + 1]
@@ -622,25 +645,17 @@ class Group:
         gaps, tokens = np.nonzero(np.diff(there) > 1)[0], self.part(k, 7)
         return any(len(np.unique(tokens[there[g] + 1 : there[g + 1]])) <= len(tokens) * (1 / self.share - 1) for g in gaps)
 
-    def common(self, k: int, j: int) -> np.ndarray:
-        """Which of run k's tokens run j has."""
-        other = self.number[self.at[j] : self.at[j + 1]]
-        self.flag[other] = True
-        out = self.flag[self.number[self.at[k] : self.at[k + 1]]]
-        self.flag[other] = False
-        return out
-
-    def wide(self, common: np.ndarray, once: np.ndarray, bare: np.ndarray) -> bool:
-        """Whether a range of the least length with one of the bare places can have that share of its tokens in common;
-        of those not in common only tokens that the run has once are sure to count."""
-        size, gap = len(common), self.least - 1
-        sums = np.concatenate([[0], np.cumsum(np.where(common, 1 - self.share, -self.share * once))])
-        low = np.minimum.accumulate(sums)
-        ends = np.full(size + gap, -np.inf)  # by last place: the best of all ranges that end there
-        ends[gap:size] = sums[gap + 1 :] - low[: size - gap]
-        near = np.lib.stride_tricks.sliding_window_view(ends, gap + 1)[bare].max(1)
-        high = np.append(np.maximum.accumulate(sums[::-1])[::-1], np.full(gap + 1, -np.inf))
-        return bool((np.maximum(near, high[bare + gap + 1] - low[bare]) >= -1e-6).any())
+    def hopeful(self, most: int = 1 << 21) -> np.ndarray:
+        """Which runs an earlier document's run shares enough tokens with, as often, by one product of matrices; all, if
+        there are too many tokens for that."""
+        new = np.repeat(np.cumsum(self.times) - self.times, self.times)  # the nth of equal tokens of a run is a column
+        nth = np.arange(len(self.order)) - new
+        column = self.number[self.order] if not nth.any() else np.unique(self.number[self.order] * (nth.max() + 1) + nth, return_inverse=True)[1]
+        if len(self.rows) * (int(column.max()) + 1) > most:
+            return np.ones(len(self.rows), bool)
+        there = np.zeros((len(self.rows), int(column.max()) + 1), np.float32)
+        there[self.owner[self.order], column] = 1
+        return ((there @ there.T > self.few + 0.5) & (self.doc[:, None] > self.doc)).any(1)
 
     def sharers(self, tokens: np.ndarray) -> np.ndarray:
         return np.concatenate([self.holders[self.begin[t] : self.begin[t + 1]] for t in tokens]) if len(tokens) else np.empty(0, np.int64)
@@ -658,35 +673,77 @@ class Group:
         found = np.nonzero(shared)[0]
         return found[np.argsort(-shared[found], kind="stable")]
 
+    def possible(self, k: int, found: np.ndarray, most: int = 64) -> np.ndarray:
+        """Which of those runs before it may hold a passage that covers more of run k: one that has enough of its tokens, as
+        often, and begins and ends with stretches of equal tokens between which both sides have the share. The latter is
+        not asked of runs with repeated tokens or more stretches than ``most``."""
+        number = self.number[self.at[k] : self.at[k + 1]]
+        tokens, times = np.unique(number, return_counts=True)
+        many = self.begin[tokens + 1] - self.begin[tokens]
+        ends = np.cumsum(many)
+        at = np.arange(ends[-1]) + np.repeat(self.begin[tokens] - ends + many, many)
+        run = self.holders[at]
+        shared = np.bincount(run, np.minimum(np.repeat(times, many), self.times[at]), k)
+        found = found[shared[found] > self.few]
+        if self.repeats[k] or not len(found):
+            return found
+        bridged, plain = self.bridged(k), np.zeros(len(self.rows), bool)
+        plain[found] = ~self.repeats[found]
+        own = np.nonzero(plain[run])[0]
+        p = np.argsort(number)[np.repeat(np.arange(len(tokens)), many)[own]]
+        order = np.lexsort((p, run[own]))
+        own, p = own[order], p[order]
+        run, x = run[own], self.place[at[own]]
+        bare = np.concatenate([[0], np.cumsum(~self.part(k, 8)[p])])
+        first = np.nonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (np.diff(p) != 1) | (np.diff(x) != 1)]))[0] if len(run) else own
+        end, of = np.append(first[1:], len(run))[: len(first)], run[first]
+        begins = np.searchsorted(of, np.arange(k + 1))
+        several = np.diff(begins)
+        good = np.zeros(k, bool)
+        good[found] = self.repeats[found] | (several[found] > most)
+        later = np.where(several[of] > most, 0, begins[of + 1] - np.arange(len(of)))
+        for lo in range(0, len(of), 4096):  # pairs of stretches of one run, the first and the last of a passage
+            n = later[lo : lo + 4096]
+            s = np.repeat(np.arange(lo, lo + len(n)), n)
+            e = s + np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+            i, j, u, v = first[s], end[e], x[first[s]], x[end[e] - 1] + 1
+            long, other, common = p[j - 1] + 1 - p[i], v - u, j - i
+            fits = (long >= self.least) & ((s == e) | (x[first[e]] > x[end[s] - 1])) & (common >= self.share * (long + other - common) - 1e-6)
+            good[of[s[fits & (bridged | (bare[j] > bare[i]))]]] = True
+        return found[good[found]]
+
     def links(self, crossing: bool) -> Iterator[tuple]:
         """(doc, mark, first, last, pdoc, pmark, first, last) of passages, by token, that cover more."""
-        hope = {*np.unique(self.owner[self.bare & (self.first[self.number] < self.owner)]).tolist()}
+        barren: set[tuple] = set()  # runs of one document of equal contents, of which no more is covered
+        hopeful, hope = self.hopeful(), {*np.unique(self.owner[self.bare & (self.first[self.number] < self.owner)]).tolist()}
         for k in np.unique(self.owner[self.bare]).tolist():
-            if k and (k in hope or self.bridged(k)):
-                yield from self._links(k, crossing)
+            if hopeful[k] and k and (k in hope or self.bridged(k)):
+                row = self.rows[k]
+                state = *row[1:3], self.content[k], row[6] - row[3] - row[4], self.part(k, 8).tobytes()
+                if state not in barren:
+                    links = [*self._links(k, crossing)]
+                    yield from links
+                    if not links:
+                        barren.add(state)
 
     def _links(self, k: int, crossing: bool) -> Iterator[tuple]:
         doc, mark, lo, a, b, place, own, covered = self.rows[k][1:9]
-        number, tried = self.number[self.at[k] : self.at[k + 1]], {k}
-        _, same, times = np.unique(number, return_inverse=True, return_counts=True)
-        once = times[same] == 1
+        tried, possible = {k}, None
         while not covered[a : b + 1].all():
-            bridged = self.bridged(k)
-            rest = [j for j in self.candidates(k).tolist() if j not in tried]
+            if possible is None:  # what covers no more now never will
+                possible = {*self.possible(k, np.arange(k)).tolist()}
+            rest = [j for j in self.candidates(k).tolist() if j in possible and j not in tried] if possible else []
             for j in rest:
                 tried.add(j)
                 pdoc, pmark, plo, x, y, pplace, other, _ = self.rows[j][1:9]
                 if pdoc >= doc or crossing and self.rows[j][9] == self.rows[k][9]:
                     continue
-                common = self.common(k, j)
-                if common.sum() <= self.few:
-                    continue
-                bare = np.nonzero(~covered[a : b + 1] & (common | bridged))[0]
-                if not len(bare) or not self.wide(common, once, bare):
-                    continue
                 shift, more = (place - lo) - (pplace - plo), False
-                for i, p, u, v in ((a, x, own[a : b + 1], other[x : y + 1]), (0, 0, own, other)):
-                    for a0, b0, x0, y0 in agreeing(u, v, self.least, self.share, shift - i + p):
+                pair = self.content[k], self.content[j], shift - a + x
+                if pair not in self.compared:
+                    self.compared[pair] = agreeing(self.part(k, 7), self.part(j, 7), self.least, self.share, pair[2])
+                for i, p, found in ((a, x, self.compared[pair]), (0, 0, None)):
+                    for a0, b0, x0, y0 in agreeing(own, other, self.least, self.share, shift) if found is None else found:
                         if not covered[i + a0 : i + b0 + 1].all():
                             more = True
                             covered[i + a0 : i + b0 + 1] = True
