@@ -313,6 +313,81 @@ def test_bounds_lose_no_run():
         assert all((x == y).all() for x, y in zip(left, want, strict=True)), n
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_runs_of_repeated_words_are_not_compared(monkeypatch, few):
+    """Each word many times in a row: the runs of a key have that one word in common, and it is covered."""
+    calls, plain = [], substring_dedup.agreeing
+    monkeypatch.setattr(substring_dedup, "agreeing", lambda *a: calls.append(a) or plain(*a))
+    if not few:
+        monkeypatch.setattr(substring_dedup.Group, "shares", lambda self: None)
+    rows = []
+    for doc in range(60):
+        own = [100 * (doc + 1) + i for i in range(10)]
+        tokens = [own[0]] * 22 + own[1:5] + [7] * (51 + doc) + own[5:9] + [own[9]] * 22
+        there = np.array([t in (own[0], 7) for t in tokens])
+        rows.append((1, doc, 0, 0, 0, len(tokens) - 1, 0, np.array(tokens, np.uint32), there, 0))
+    assert not [*substring_dedup.Group(rows, 46, 0.8).links(False)] and not calls
+
+
+@pytest.mark.parametrize("repeats", [True, False])
+def test_probes_lose_no_run(monkeypatch, repeats):
+    """Groups whose tokens are too many for a product of matrices: the same passages; and few runs are given up only if they
+    have none."""
+    rng, found = np.random.default_rng(5), 0
+    for n in range(120):
+        base = rng.integers(0, 5 if n % 2 else 40, 70) if repeats else np.arange(70)
+        contents = []
+        for _ in range(int(rng.integers(2, 7))):
+            own = base[rng.integers(0, 12) :].copy()
+            for _ in range(rng.integers(0, 5)):
+                i = rng.integers(0, len(own))
+                own = np.concatenate([own[:i], rng.choice(10**6, rng.integers(0, 6), False) + 100, own[i + rng.integers(0, 6) :]])
+            contents.append(own if len(own) >= 46 else base)
+        rows = _runs(rng, contents, covered=n % 3 / 3)
+        ways = []
+        for probed in (False, True):
+            with monkeypatch.context() as m:
+                if probed:
+                    m.setattr(substring_dedup.Group, "shares", lambda self: None)
+                own = [(*r[:8], r[8].copy(), r[9]) for r in rows]
+                ways.append([*substring_dedup.Group(own, 46, 0.8).links(False)])
+        assert ways[0] == ways[1], n
+        assert substring_dedup.hopeful(rows, 46, 0.8) or not ways[0], n
+        found += len(ways[0])
+    assert found > 50
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_runs_by_bucket(hot):
+    rng = np.random.default_rng(6)
+    rows = np.zeros(500, substring_dedup.HOT if hot else substring_dedup.ROW)
+    rows["deal"], rows["doc"] = rng.integers(0, 2**63, 500), rng.integers(-(2**63), 2**63 - 1, 500)
+    rows["s1"], rows["whole"] = rng.integers(0, 9, 500), rng.integers(-9, 9, 500)
+    batch = substring_dedup.dealt(rows, 300)
+    got = []
+    for bucket, often, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        part = np.frombuffer(data, rows.dtype)
+        assert often == hot and len(part) and (hot or (part["deal"] % 300 == bucket).all())
+        got += part.tolist()
+    assert sorted(got) == sorted(rows.tolist()) and len({*batch.column(0).to_pylist()}) == batch.num_rows
+    assert batch.num_rows == 1 or not hot
+
+
+@pytest.mark.parametrize("buckets", [16, 64])
+def test_rows_of_runs_grow_with_texts(spark, buckets):
+    """Not with texts times buckets, however small the batches are."""
+    rng = random.Random(8)
+    frame = spark.createDataFrame([(i, " ".join(f"u{rng.randrange(10**9)}" for _ in range(300))) for i in range(2000)], "doc_id long, text string").repartition(1)
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "10")
+    try:
+        found = substring_dedup.runs(frame, 5, 46, np.empty(0, np.uint64), buckets).select(F.length("runs").alias("n")).collect()
+    finally:
+        spark.conf.set(key, before)
+    many = sum(r["n"] for r in found) / substring_dedup.ROW.itemsize
+    assert len(found) <= many / 1024 + buckets
+
+
 def test_agreeing_parts_of_a_run():
     """50 equal words before 100 of which every 7th is changed; four words put in by the other side."""
     own = [f"a{k}" for k in range(150)]

@@ -10,17 +10,29 @@ import numpy as np
 
 from tidewell.llm.common import mix64
 
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_LOWER = np.array([b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], np.uint64)  # and 1, so none is 0
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out)
+_KNOWN: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int, most: int = 1 << 20) -> np.ndarray:
+    """The first n powers, to be read only; those kept for later calls are bounded."""
+    if len(_KNOWN.get(base, ())) >= n:
+        return _KNOWN[base][:n]
+    size = n if n > most else 1 << max(n - 1, 1).bit_length()
+    out, done, factor = np.ones(size, np.uint64), 1, base
+    with np.errstate(over="ignore"):
+        while done < size:  # the powers so far, times the next one
+            np.multiply(out[: min(done, size - done)], np.uint64(factor), out=out[done : 2 * done])
+            done, factor = 2 * done, factor * factor & 0xFFFFFFFFFFFFFFFF
+    out.flags.writeable = False
+    if n <= most:
+        _KNOWN[base] = out
+    return out[:n]
 
 
 def words(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -32,7 +44,7 @@ def words(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     first, end = edges[::2], edges[1::2]
     # a word's polynomial is a difference of prefix sums, brought to power 0 by the inverse base
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)))])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_LOWER[raw] * _powers(_BASE, len(raw)))])
         hashes = mix64((sums[end] - sums[first]) * _powers(_INVERSE, len(raw) + 1)[first], 3)
     text = np.searchsorted(starts, first, side="right") - 1
     return hashes, text, first - starts[text], end - starts[text]

@@ -9,8 +9,8 @@ chance. Near passages that meet the share have a stretch of 20 equal tokens, as
 (fewer only where words repeat): so compact windows of that width, by hashes of four tokens, give keys that near passages
 are sure to have in common. A key in common with another document is a candidate.
 
-Runs of a key aren't paired with each other. They stream by in order of document, and each is paired with the first
-one, the pivot; so a key costs one row for each run. A pivot may have both tokens and not the passage, so where a key
+Runs of a key aren't paired with each other. In order of document, each is paired with the first one, the pivot; so a key
+costs one row for each run. Keys are dealt in buckets, as many as the texts' size asks for, and one is in memory at a time. A pivot may have both tokens and not the passage, so where a key
 has three documents or more, runs whose whole content isn't the pivot's are opened: each passage in them is keyed by all
 of its tokens and paired with the least document of that key. Exact passages depend on no pivot, and what is found does
 not depend on how rows are dealt. Near passages are verified by the tokens of both sides, sent as the fragments that
@@ -46,7 +46,12 @@ from tidewell.llm.shingles import shingles, words
 FUNCTIONS = (0, 1)
 #: Tokens that a near passage has in common without a break, at least; and how many of them are a key.
 STRETCH, GRAM = 20, 4
-_RUN = "deal long, hot long, doc long, s1 int, s2 int, c int, whole long"
+#: Bytes of text whose runs are a bucket of keys (seven times as many bytes in all, at a run for 20 bytes).
+BUCKET = 3 << 20
+_RUN = "bucket int, hot boolean, runs binary"
+#: A run; a run of a hot key has the key behind.
+ROW = np.dtype([("deal", np.uint64), ("doc", np.int64), ("s1", np.int32), ("s2", np.int32), ("c", np.int32), ("opens", np.bool_), ("whole", np.int64)])
+HOT = np.dtype([(n, ROW[n]) for n in ROW.names] + [("key", np.int64)])
 _MET = "kind int, key long, doc long, pdoc long, s1 int, s2 int, c int, equal boolean"
 
 
@@ -58,12 +63,13 @@ def compact_windows(value: np.ndarray, start: np.ndarray, end: np.ndarray, least
     ranges = np.stack([start, end - 1])[:, end - start >= least]
     if not ranges.size:
         return (np.empty(0, np.int64),) * 3
-    best, width = [np.arange(len(value))], ranges[1] - ranges[0] + 1
+    best, width, least_value = [np.arange(len(value), dtype=np.int32)], ranges[1] - ranges[0] + 1, value
     while 2 ** len(best) <= int(width.max()):
         size, last = 2 ** len(best), best[-1]
-        many = int(ranges[1][width >= size].max()) - size + 2
-        a, b = last[:many], last[size // 2 : size // 2 + many]
-        best.append(np.where(value[a] <= value[b], a, b))
+        many, half = int(ranges[1][width >= size].max()) - size + 2, size // 2
+        a, b = least_value[:many], least_value[half : half + many]
+        best.append(np.where(a <= b, last[:many], last[half : half + many]))
+        least_value = np.minimum(a, b)
     found = []
     while ranges.shape[1]:
         l, r = ranges
@@ -84,7 +90,11 @@ def _ordered(value: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (value & ~np.uint64(0xFFFF)) | (mix64(place, 19) & np.uint64(0xFFFF))
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple]:
+#: Bytes of text that are worked on at a time: what is made of them fits into a core's cache.
+SLICE = 1 << 19
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[tuple]:
     """From (id, text, ...): ids and texts (and what else there is, as lists) of about that many bytes at a time."""
     for batch in batches:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
@@ -148,40 +158,75 @@ def tokens(data: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return token, np.searchsorted(text[at], np.arange(len(data) + 1)), first[at], end[at + n - 1]
 
 
-def runs(docs: DataFrame, n: int, least: int, hot: np.ndarray) -> DataFrame:
-    """Runs of passages (doc, s1..s2 their first tokens) of docs(doc_id, text), by key. c: where the first function's
-    token is; whole: a hash of all the run covers, for keys of exact passages; hot: the key, if it is one of those,
-    whose rows are spread; deal: the key, else."""
-
-    def made(ids: np.ndarray, data: list[bytes]) -> Iterator[pa.RecordBatch]:
-        token, bounds, _, _ = tokens(data, n)
-        owner = np.repeat(np.arange(len(data)), np.diff(bounds))
-        place = np.arange(len(token)) - bounds[owner]
-        start = np.nonzero(owner[: max(0, len(token) - least + 1)] == owner[least - 1 :])[0]
-        if not len(start):
-            return
-        content = Content(token)
-        for number in (0, 1):
-            if number:
-                c, key, s1, s2 = seeds(token, content, bounds, owner, least)
-            else:
-                cf, cg = (minima(_ordered(mix64(token, 20 + f), place), bounds, least) for f in FUNCTIONS)
-                f, g = token[cf], token[cg]
-                new = np.nonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (g[1:] != g[:-1]) | (owner[start[1:]] != owner[start[:-1]])]))[0]
-                s1, s2, c = start[new], start[np.append(new[1:], len(start)) - 1], cf[new]
-                with np.errstate(over="ignore"):
-                    key = mix64(mix64(f[new], 30) + g[new], 40)
-            often = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), bool)
-            doc = owner[s1]
-            whole = pa.nulls(len(key), pa.int64()) if number else pa.array(content.of(s1, s2 + least).view(np.int64))
-            deal = np.where(often, mix64(ids[doc].view(np.uint64) + s1.astype(np.uint64), 50), key)
-            columns = [pa.array(deal.view(np.int64)), pa.array(key.view(np.int64), mask=~often), pa.array(ids[doc]), *(pa.array((x - bounds[doc]).astype(np.int32)) for x in (s1, s2, c)), whole]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _RUN.split(", ")])
+def made(ids: np.ndarray, data: list[bytes], n: int, least: int, hot: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of passages (doc, s1..s2 their first tokens) of texts, as ROW and HOT. c: where the first function's token is;
+    opens: whether it is a key of exact passages; whole: a hash of all the run covers, for these; key: the key, if it is a
+    hot one, whose rows are spread; deal: the key, else."""
+    token, bounds, _, _ = tokens(data, n)
+    owner = np.repeat(np.arange(len(data)), np.diff(bounds))
+    place = np.arange(len(token)) - bounds[owner]
+    start = np.nonzero(owner[: max(0, len(token) - least + 1)] == owner[least - 1 :])[0]
+    if not len(start):
+        return
+    content = Content(token)
+    for number in (0, 1):
+        if number:
+            c, key, s1, s2 = seeds(token, content, bounds, owner, least)
+        else:
+            cf, cg = (minima(_ordered(mix64(token, 20 + f), place), bounds, least) for f in FUNCTIONS)
+            f, g = token[cf], token[cg]
+            new = np.nonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (g[1:] != g[:-1]) | (owner[start[1:]] != owner[start[:-1]])]))[0]
+            s1, s2, c = start[new], start[np.append(new[1:], len(start)) - 1], cf[new]
+            with np.errstate(over="ignore"):
+                key = mix64(mix64(f[new], 30) + g[new], 40)
+        often = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), bool)
+        doc = owner[s1]
+        rows = np.empty(len(key), HOT if often.any() else ROW)
+        rows["deal"] = np.where(often, mix64(ids[doc].view(np.uint64) + s1.astype(np.uint64), 50), key) if often.any() else key
+        rows["doc"], rows["s1"], rows["s2"], rows["c"] = ids[doc], s1 - bounds[doc], s2 - bounds[doc], c - bounds[doc]
+        rows["opens"], rows["whole"] = number == 0, 0 if number else content.of(s1, s2 + least).view(np.int64)
+        if often.any():
+            rows["key"] = key.view(np.int64)
+            yield rows[often]
+            rows = rows[~often][[*ROW.names]].astype(ROW)
+        yield rows
+
+
+def dealt(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Runs by bucket, those of one as bytes: they are much less work for Spark than a row for each. Runs of hot keys are met
+    by none, and lie together in any bucket."""
+    bucket = (rows["deal"] % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+    if rows.dtype == HOT:
+        bucket[:] = bucket[0]
+    rows = rows[np.argsort(bucket, kind="stable")]
+    many = np.bincount(bucket, minlength=buckets)
+    there = np.nonzero(many)[0]
+    ends = np.append(0, np.cumsum(many[there]) * rows.itemsize).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(there), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+    return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(np.full(len(there), rows.dtype == HOT)), packed], _names(_RUN))
+
+
+def by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    for ids, data in slices(batches):
+        order = sorted(range(len(data)), key=lambda i: -len(data[i]))  # noqa: B023
+        yield ids[order], [data[i] for i in order]
+
+
+def runs(docs: DataFrame, n: int, least: int, hot: np.ndarray, buckets: int) -> DataFrame:
+    """Runs of docs(doc_id, text), by buckets of keys. So many are gathered before they are dealt that the number of rows
+    grows with that of runs and not with the buckets' too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, data in slices(batches):
-            order = sorted(range(len(data)), key=lambda i: -len(data[i]))  # noqa: B023
-            yield from made(ids[order], [data[i] for i in order])
+        held, many = [], 0
+        for ids, data in by_size(batches):
+            some = [rows for rows in made(ids, data, n, least, hot) if len(rows)]
+            yield from (dealt(rows, buckets) for rows in some if rows.dtype == HOT)
+            held += [rows for rows in some if rows.dtype == ROW]
+            many += sum(len(rows) for rows in some)
+            if many > min(1024 * buckets, 1 << 20):
+                yield from (dealt(np.concatenate(held), buckets) for _ in held[:1])
+                held, many = [], 0
+        yield from (dealt(np.concatenate(held), buckets) for _ in held[:1])
 
     return docs.mapInArrow(run, _RUN)
 
@@ -189,82 +234,89 @@ def runs(docs: DataFrame, n: int, least: int, hot: np.ndarray) -> DataFrame:
 def hot_keys(docs: DataFrame, n: int, least: int, share: float = 0.001, part: int = 16) -> np.ndarray:
     """Keys of at least that share of the documents (and 16 of them) in one part of 16, dealt by hash: no more than the
     mean number of runs of a document over share. They only steer how rows are dealt."""
+    return sampled(docs, n, least, share, part)[0]
+
+
+def sampled(docs: DataFrame, n: int, least: int, share: float = 0.001, part: int = 16) -> tuple[np.ndarray, int]:
+    """The hot keys, and in how many buckets all keys are dealt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, data in by_size(batches):
+            for rows in made(ids, data, n, least, np.empty(0, np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(rows["deal"].view(np.int64))], ["deal"])
+
     chosen = docs.where(F.pmod(F.xxhash64(F.lit("hot"), "doc_id"), F.lit(part)) == 0)
-    many = max(16.0, share * chosen.count())
-    found = runs(chosen, n, least, np.empty(0, np.uint64)).groupBy("deal").count().where(F.col("count") >= many)
-    return np.sort(found.select("deal").toPandas()["deal"].to_numpy(np.int64).view(np.uint64))
+    count, size = chosen.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    found = chosen.mapInArrow(run, "deal long").groupBy("deal").count().where(F.col("count") >= max(16.0, share * count))
+    return np.sort(found.select("deal").toPandas()["deal"].to_numpy(np.int64).view(np.uint64)), max(16, part * size // BUCKET)
 
 
 def met(rows: DataFrame, least: int, most: int = 4096) -> DataFrame:
     """From runs: kind 0, pairs of a run with its pivot (c: how far it is from pdoc's place; equal: of equal content);
     kind 1, runs to open; kind 2, runs of hot keys as they are, equal if they are keys of exact passages; kind 3, all runs
-    of a stretch's key that later ones may need besides the pivot, as they are. Rows stream by in order of key and document; a key
-    of more than ``most`` rows goes on with its pivot alone in memory."""
+    of a stretch's key that later ones may need besides the pivot, as they are. A bucket of keys is in memory at a time; all
+    runs of keys of more than ``most`` are opened."""
 
     def given(kind: int, doc, s1, s2, c=None, pdoc=None, equal=None, key=None) -> pa.RecordBatch:
         k = len(doc)
         column = lambda x, t: pa.nulls(k, t) if x is None else pa.array(x, t)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), column(key, pa.int64()), pa.array(doc, pa.int64()), column(pdoc, pa.int64()), column(s1, pa.int32()), column(s2, pa.int32()), column(c, pa.int32()), column(equal, pa.bool_())], [x.split()[0] for x in _MET.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), column(key, pa.int64()), column(doc, pa.int64()), column(pdoc, pa.int64()), column(s1, pa.int32()), column(s2, pa.int32()), column(c, pa.int32()), column(equal, pa.bool_())], _names(_MET))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, bool)]
-        big = None  # the pivot of a key that goes on: key, doc, s1, s2, c, whole
+        held, current = [], None
         for batch in batches:
-            hot = np.array(batch.column(1).is_valid())
+            hot = batch.column(1).to_numpy(zero_copy_only=False)
             if hot.any():
-                some = batch.filter(pa.array(hot))
-                yield given(2, some.column(2), some.column(3), some.column(4), some.column(5), equal=some.column(6).is_valid(), key=some.column(1))
-            rows = [*(batch.column(i).fill_null(0).to_numpy() for i in (0, 2, 3, 4, 5, 6)), np.array(batch.column(6).is_valid())]
-            rows = [np.concatenate([h, x[~hot]]) for h, x in zip(held, rows, strict=True)]
-            if not len(rows[0]):
-                continue
-            begin = np.nonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))[0]
-            last = begin[-1]
-            goes_on = len(rows[0]) - last > most or big is not None and big[0] == rows[0][last]
-            until = len(rows[0]) if goes_on else last
-            yield from groups([x[:until] for x in rows], big)
-            if goes_on:
-                big = big if big is not None and big[0] == rows[0][last] else tuple(x[last] for x in rows[:6])
-            else:
-                big = None
-            held = [x[until:] for x in rows]
-        yield from groups(held, big)
-
-    def groups(rows: list[np.ndarray], big: tuple | None) -> Iterator[pa.RecordBatch]:
-        if not len(rows[0]):
+                r = np.frombuffer(b"".join(batch.column(2).filter(batch.column(1)).to_pylist()), HOT)
+                yield given(2, *(r[c].copy() for c in ("doc", "s1", "s2", "c")), equal=r["opens"].copy(), key=r["key"].copy())
+            for bucket, data in zip(batch.column(0).to_numpy()[~hot].tolist(), batch.column(2).filter(pa.array(~hot)).to_pylist(), strict=True):
+                if bucket != current:
+                    yield from groups(held)
+                    held, current = [], bucket
+                held.append(data)
+        yield from groups(held)
+
+    def groups(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = np.frombuffer(b"".join(held), ROW)
+        deal = rows["deal"].copy()
+        order = np.argsort(deal)
+        again = deal[order[1:]] == deal[order[:-1]]
+        rows = rows[order[np.append(again, False) | np.append(False, again)]] if len(rows) else rows  # a run by itself meets nothing
+        if not len(rows):
             return
-        key, doc, s1, s2, c, whole, opens = rows
+        key, doc, s1, s2, c, whole, opens = (rows[x].copy() for x in ("deal", "doc", "s1", "s2", "c", "whole", "opens"))
+        order = np.lexsort((whole, c, s2, s1, doc, key))
+        key, doc, s1, s2, c, whole, opens = (x[order] for x in (key, doc, s1, s2, c, whole, opens))
         new = np.concatenate([[True], key[1:] != key[:-1]])
         number = np.cumsum(new) - 1
         first = np.nonzero(new)[0]
-        p = [x[first] for x in (doc, s1, s2, c, whole)]
+        pdoc, p1, p2, pc, pwhole = (x[first] for x in (doc, s1, s2, c, whole))
         size = np.diff(np.append(first, len(key)))
         documents = np.bincount(number[np.concatenate([[True], (doc[1:] != doc[:-1]) | new[1:]])])
         several = (documents > 1) | (size > most)
-        known = np.zeros(len(first), bool)
-        if big is not None and big[0] == key[0]:
-            p = [np.concatenate([[b], x[1:]]).astype(x.dtype) for b, x in zip(big[1:], p, strict=True)]
-            several[0], known[0] = True, True
-        pdoc, p1, _, pc, pwhole = (x[number] for x in p)
-        equal = opens & (whole == pwhole)
-        pair = doc != pdoc
-        yield given(0, doc[pair], s1[pair], s2[pair] + least - 1, np.where(equal, s1 - p1, c - pc)[pair], pdoc[pair], equal[pair])
+        equal = opens & (whole == pwhole[number])
+        pair = doc != pdoc[number]
+        yield given(0, doc[pair], s1[pair], s2[pair] + least - 1, np.where(equal, s1 - p1[number], c - pc[number])[pair], pdoc[number][pair], equal[pair])
         differ = opens & ~equal & several[number]
-        too = (np.bincount(number[differ], minlength=len(first)) > 0) | (known | (size > most)) & opens[first]
-        yield given(1, np.concatenate([doc[differ], p[0][too]]), np.concatenate([s1[differ], p[1][too]]), np.concatenate([s2[differ], p[2][too]]))
+        too = (np.bincount(number[differ], minlength=len(first)) > 0) | (size > most) & opens[first]
+        yield given(1, np.concatenate([doc[differ], pdoc[too]]), np.concatenate([s1[differ], p1[too]]), np.concatenate([s2[differ], p2[too]]))
         again = np.bincount(number[~pair], minlength=len(first)) > 1  # the pivot's document has the key at other places
-        more = ((documents > 2) | (documents > 1) & again | (size > most) | known)[number] & ~opens
+        more = ((documents > 2) | (documents > 1) & again | (size > most))[number] & ~opens
         yield given(3, doc[more], s1[more], s2[more], c[more], key=key[more].view(np.int64))
 
-    return rows.repartition("deal").sortWithinPartitions("deal", "doc", "s1").mapInArrow(run, _MET)
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _MET)
 
 
 def _counterparts(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of a's tokens that b has too, and for each the place in b of the equal token nearest to its alignment."""
     order = np.argsort(b, kind="stable")
-    names, start = np.unique(b[order], return_index=True)
+    rising = b[order]
+    start = np.append(0, np.nonzero(rising[1:] != rising[:-1])[0] + 1)
+    names = rising[start]
     rank = np.minimum(np.searchsorted(names, a), len(names) - 1)
     own = np.nonzero(names[rank] == a)[0]
+    if len(names) == len(b):
+        return own, order[rank[own]]
     rank, stop = rank[own], np.append(start, len(b))[1:]
     far = 2 * (len(a) + len(b)) + abs(shift) + 1
     keys = np.repeat(np.arange(len(names)), stop - start) * far + order
@@ -329,13 +381,15 @@ def agreeing(a: np.ndarray, b: np.ndarray, least: int, share: float, shift: int
     own, there = _counterparts(a, b, shift)
     if np.count_nonzero(np.bincount(there, minlength=1)) < share * least:
         return []
-    cut = np.nonzero((np.diff(own) != 1) | (np.diff(there) != 1))[0]
-    first, last = np.append(0, cut + 1), np.append(cut, len(own) - 1)
-    i, x, size = own[first], there[first], last - first + 1
+    cut = np.nonzero((own[1:] - own[:-1] != 1) | (there[1:] - there[:-1] != 1))[0]
+    first = np.zeros(len(cut) + 2, np.int64)
+    first[1:-1], first[-1] = cut + 1, len(own)
+    i, x, size = own[first[:-1]], there[first[:-1]], first[1:] - first[:-1]
     if (x[1:] < (x + size)[:-1]).any():  # the heaviest chain of stretches that rise in both
         chain = _heaviest(x, size)
         i, x, size = (v[chain] for v in (i, x, size))
-    j, y, sums = i + size, x + size, np.append(0, np.cumsum(size))
+    j, y, sums = i + size, x + size, np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=sums[1:])
     # no stretch after reach[k] can end a passage that begins with k: a's side alone would have too little in common
     rest = np.maximum.accumulate((sums[1:] - share * j)[::-1])[::-1]
     reach = len(i) - np.searchsorted(rest[::-1], sums[:-1] - share * i - 1e-6) - 1
@@ -343,8 +397,8 @@ def agreeing(a: np.ndarray, b: np.ndarray, least: int, share: float, shift: int
     for k in np.nonzero((reach >= np.arange(len(i))) & (j[np.maximum(reach, 0)] - i >= least))[0]:
         if reach[k] <= done:
             continue
-        ends = np.arange(max(k, done + 1), reach[k] + 1)
-        ends = ends[j[ends] - i[k] >= least]
+        begin = max(k, done + 1)
+        ends = np.arange(begin + int(np.searchsorted(j[begin : reach[k] + 1], i[k] + least)), reach[k] + 1)
         common = sums[ends + 1] - sums[k]
         good = common >= share * (j[ends] - i[k] + y[ends] - x[k] - common) - 1e-9
         if len(ends) and not good[-1]:
@@ -357,6 +411,22 @@ def agreeing(a: np.ndarray, b: np.ndarray, least: int, share: float, shift: int
     return out
 
 
+def reaches(held: np.ndarray, bare: np.ndarray, least: int, share: float) -> np.ndarray:
+    """For rows that say which tokens of a run another one has: whether a passage can hold one that isn't covered. It
+    begins and ends with tokens that both have, and so does a range around it, in which they have the share."""
+    size = held.shape[1]
+    after = np.zeros((len(held), size + 1))
+    np.cumsum(held - share, 1, out=after[:, 1:])
+    best = np.maximum.accumulate(np.where(held, after[:, 1:], -np.inf)[:, ::-1], 1)[:, ::-1]
+    next_ = np.minimum.accumulate(np.where(bare, np.arange(size), size)[..., ::-1], -1)[..., ::-1]
+    end = np.maximum(np.arange(size) + least - 1, next_)
+    if bare.ndim > 1:
+        there = np.where(end < size, np.take_along_axis(best, np.minimum(end, size - 1), 1), -np.inf)
+        return (held & (there >= after[:, :-1] - 1e-5)).any(1)
+    end = end[end < size]
+    return (held[:, : len(end)] & (best[:, end] >= after[:, : len(end)] - 1e-5)).any(1)
+
+
 def asked(found: DataFrame, least: int, share: float) -> DataFrame:
     """What is asked of each text (doc_id): fragments (doc, pdoc, side, tokens lo..hi, and on side 0 all hits) for pairs,
     and ranges (s1, s2) of runs to open."""
@@ -395,7 +465,7 @@ def cut(texts: DataFrame, n: int, least: int) -> DataFrame:
             while at < len(rows):
                 number: dict[tuple, int] = {}
                 took, upto = 0, at
-                while upto < len(rows) and (upto == at or took < 1 << 21):
+                while upto < len(rows) and (upto == at or took < SLICE):
                     if rows[upto] not in number:
                         number[rows[upto]] = len(number)
                         took += len(data[upto])
@@ -461,10 +531,10 @@ def same_passages(cuts: DataFrame) -> DataFrame:
     return joined.select(F.col("doc").alias("doc_id"), "start", "end", F.col("pdoc").alias("source_doc_id"), "source_start", "source_end", "mark")
 
 
-def joined_hits(hits: list[dict]) -> list[tuple[int, int, int]]:
+def joined_hits(hits: list[tuple]) -> list[tuple[int, int, int]]:
     """(shift, a, b) of hits, those of one alignment that meet joined."""
     out: list[list[int]] = []
-    for shift, a, b in sorted((h["shift"], h["a"], h["b"]) for h in hits):
+    for shift, a, b in sorted(h[:3] for h in hits):
         if out and out[-1][0] == shift and a <= out[-1][2] + 1:
             out[-1][2] = max(out[-1][2], b)
         else:
@@ -493,11 +563,12 @@ def plainly(a: np.ndarray, b: np.ndarray, least: int, share: float, shift: int)
 def verified(cuts: DataFrame, n: int, least: int, share: float) -> DataFrame:
     """From fragments: the passages that hold."""
 
-    def passages(hits: list[dict], own: np.ndarray, lo: int, other: np.ndarray, plo: int) -> Iterator[tuple[int, int, int, int]]:
+    def passages(hits: list[tuple], own: np.ndarray, lo: int, other: np.ndarray, plo: int) -> Iterator[tuple[int, int, int, int]]:
         """All that passages of the fragments and of an interval cover is found: the fragments as a whole come first, and
         what they leave of an interval. own and other begin with tokens lo and plo of their documents; so do the places
         returned."""
-        covered, common = np.zeros(len(own), bool), np.nonzero(np.isin(own, other))[0]
+        covered, held = np.zeros(len(own), bool), np.fromiter(map({*other.tolist()}.__contains__, own.tolist()), bool, len(own))
+        common = np.nonzero(held)[0]
         joined = sorted(joined_hits(hits), key=lambda h: h[1] - h[2])
         windows = [(0, len(own), 0, len(other), joined[0][0])] if joined else []
         for shift, a, b in joined:
@@ -507,13 +578,15 @@ def verified(cuts: DataFrame, n: int, least: int, share: float) -> DataFrame:
             first, end = np.searchsorted(common, (i, j))
             if first == end or covered[common[first] : common[end - 1] + 1].all():
                 continue
+            if covered.any() and not reaches(held[None, i:j], ~covered[i:j], least, share).any():
+                continue
             sides, between = (own[i:j], other[x:y]), shift - (lo + i) + (plo + x)
             plain = plainly(*sides, least, share, between)
             for a0, b0, x0, y0 in agreeing(*sides, least, share, between) if plain is None else plain:
                 if not covered[a0 + i : b0 + i + 1].all():
                     covered[a0 + i : b0 + i + 1] = True
                     yield a0 + i, b0 + i, x0 + x, y0 + x
-        for shift, a, b in joined_hits([h for h in hits if h["equal"]]):
+        for shift, a, b in joined_hits([h for h in hits if h[3]]):
             a, b = a - lo, b - lo
             x, y = a + lo - shift - plo, b + lo - shift - plo
             if 0 <= a and 0 <= x and b < len(own) and y < len(other) and not covered[a : b + 1].all() and (own[a : b + 1] == other[x : y + 1]).all():
@@ -523,33 +596,49 @@ def verified(cuts: DataFrame, n: int, least: int, share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         todo: list[tuple[tuple, tuple]] = []
+        same: list[tuple] = []
         took = 0
 
         def pairs() -> None:
             nonlocal took
             for own in held:
                 for other in held:
-                    if own[2] == 0 and other[2] == 1:
+                    if own[2] == 0 and other[2] == 1 and alike(own, other):
+                        length = len(own[6].decode())
+                        same.append((own[0], own[4], own[4] + length, own[1], other[4], other[4] + length, own[5]))
+                        took += 1
+                    elif own[2] == 0 and other[2] == 1:
                         todo.append((own, other))
                         took += len(own[6]) + len(other[6])
 
         for batch in batches:
             parts = batch.column(6).cast(pa.binary()).to_pylist()
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), parts, batch.column(7).to_pylist(), strict=True):
+            lists, ends = batch.column(7), batch.column(7).offsets.to_numpy()
+            flat = lists.values.slice(ends[0], ends[-1] - ends[0])
+            flat, ends = [*zip(*(flat.field(i).to_pylist() for i in range(4)), strict=True)], (ends - ends[0]).tolist()
+            hits = [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), parts, hits, strict=True):
                 if held and row[:2] != held[0][:2]:
                     pairs()
                     held = []
-                    if took > 1 << 21:
-                        yield solved(todo)
-                        todo, took = [], 0
+                    if took > SLICE:
+                        yield solved(todo, same)
+                        todo, same, took = [], [], 0
                 held.append(row)
         pairs()
-        yield solved(todo)
+        yield solved(todo, same)
+
+    def alike(own: tuple, other: tuple) -> bool:
+        """Whether a pair of fragments is one passage, as they are equal and the longest run is where it is in the other one."""
+        if own[3] != other[3] or own[6] != other[6] or len(own[6].split()) < least + n - 1:
+            return False
+        joined = joined_hits(own[7])
+        return bool(joined) and min(joined, key=lambda h: h[1] - h[2])[0] == 0
 
-    def solved(todo: list[tuple[tuple, tuple]]) -> pa.RecordBatch:
+    def solved(todo: list[tuple[tuple, tuple]], same: list[tuple]) -> pa.RecordBatch:
         data = [side[6] for pair in todo for side in pair]
         token, bounds, first, end = tokens(data, n)
-        out: list[tuple] = []
+        out = [*same]
         for k, (own, other) in enumerate(todo):
             a_, b_ = (slice(bounds[2 * k + i], bounds[2 * k + i + 1]) for i in (0, 1))
             for a, b, x, y in passages(own[7], token[a_], own[3], token[b_], other[3]):
@@ -627,7 +716,6 @@ class Group:
         once = np.concatenate([[True], (number[1:] != number[:-1]) | (owner[1:] != owner[:-1])])
         self.holders = owner[once]
         self.begin = np.searchsorted(number[once], np.arange(len(names) + 1))
-        self.place = (order - self.at[owner])[once]
         self.times = np.diff(np.append(np.nonzero(once)[0], len(order)))
         self.repeats = np.bincount(self.holders, minlength=len(rows)) < sizes
         contents: dict[bytes, int] = {}
@@ -635,7 +723,8 @@ class Group:
         self.compared: dict[tuple, list] = {}
         self.bare = ~np.concatenate([self.part(k, 8) for k in range(len(rows))])
         self.first = self.holders[self.begin[:-1]]
-        self.order, self.doc = order, np.array([r[1] for r in rows])
+        self.order, self.doc, self.block = order, np.array([r[1] for r in rows]), np.array([r[9] for r in rows])
+        self.slot = np.full(len(names), -1)
 
     def part(self, k: int, of: int) -> np.ndarray:
         return self.rows[k][of][self.rows[k][4] : self.rows[k][5] + 1]
@@ -645,62 +734,110 @@ class Group:
         gaps, tokens = np.nonzero(np.diff(there) > 1)[0], self.part(k, 7)
         return any(len(np.unique(tokens[there[g] + 1 : there[g + 1]])) <= len(tokens) * (1 / self.share - 1) for g in gaps)
 
-    def hopeful(self, most: int = 1 << 21) -> np.ndarray:
-        """Which runs an earlier document's run shares enough tokens with, as often, by one product of matrices; all, if
-        there are too many tokens for that."""
+    def shares(self, most: int = 1 << 21) -> np.ndarray | None:
+        """Which runs of earlier documents (columns) have enough of a run's tokens, as often, by one product of matrices;
+        None, if there are too many tokens for that."""
         new = np.repeat(np.cumsum(self.times) - self.times, self.times)  # the nth of equal tokens of a run is a column
         nth = np.arange(len(self.order)) - new
         column = self.number[self.order] if not nth.any() else np.unique(self.number[self.order] * (nth.max() + 1) + nth, return_inverse=True)[1]
         if len(self.rows) * (int(column.max()) + 1) > most:
-            return np.ones(len(self.rows), bool)
+            return None
         there = np.zeros((len(self.rows), int(column.max()) + 1), np.float32)
         there[self.owner[self.order], column] = 1
-        return ((there @ there.T > self.few + 0.5) & (self.doc[:, None] > self.doc)).any(1)
-
-    def sharers(self, tokens: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.holders[self.begin[t] : self.begin[t + 1]] for t in tokens]) if len(tokens) else np.empty(0, np.int64)
-
-    def candidates(self, k: int) -> np.ndarray:
-        """Earlier runs that may cover more of run k, those that share most first."""
-        number = self.number[self.at[k] : self.at[k + 1]]
-        bare = np.unique(number if self.bridged(k) else number[~self.part(k, 8)])
-        own, times = np.unique(number, return_counts=True)
-        often = np.diff(self.begin)
-        order = np.argsort(-often[own], kind="stable")
-        rare = own[order][np.cumsum(times[order]) > self.few]
-        probe = min((bare, rare), key=lambda t: often[t].sum())
-        shared = np.bincount(self.sharers(probe), minlength=k)[:k]
-        found = np.nonzero(shared)[0]
-        return found[np.argsort(-shared[found], kind="stable")]
-
-    def possible(self, k: int, found: np.ndarray, most: int = 64) -> np.ndarray:
-        """Which of those runs before it may hold a passage that covers more of run k: one that has enough of its tokens, as
-        often, and begins and ends with stretches of equal tokens between which both sides have the share. The latter is
-        not asked of runs with repeated tokens or more stretches than ``most``."""
-        number = self.number[self.at[k] : self.at[k + 1]]
-        tokens, times = np.unique(number, return_counts=True)
-        many = self.begin[tokens + 1] - self.begin[tokens]
-        ends = np.cumsum(many)
-        at = np.arange(ends[-1]) + np.repeat(self.begin[tokens] - ends + many, many)
-        run = self.holders[at]
-        shared = np.bincount(run, np.minimum(np.repeat(times, many), self.times[at]), k)
-        found = found[shared[found] > self.few]
-        if self.repeats[k] or not len(found):
-            return found
-        bridged, plain = self.bridged(k), np.zeros(len(self.rows), bool)
-        plain[found] = ~self.repeats[found]
-        own = np.nonzero(plain[run])[0]
-        p = np.argsort(number)[np.repeat(np.arange(len(tokens)), many)[own]]
-        order = np.lexsort((p, run[own]))
-        own, p = own[order], p[order]
-        run, x = run[own], self.place[at[own]]
-        bare = np.concatenate([[0], np.cumsum(~self.part(k, 8)[p])])
+        return (there @ there.T > self.few + 0.5) & (self.doc[:, None] > self.doc)
+
+    def narrowed(self) -> np.ndarray:
+        """Of those that share enough, which may cover more of a run; for all runs of a group at once."""
+        sizes = np.diff(self.at)
+        place = np.arange(int(sizes.max()))
+        inside = place < sizes[:, None]
+        at = np.minimum(self.at[:-1, None] + place, len(self.number) - 1)
+        number, bare = np.where(inside, self.number[at], len(self.begin) - 1), inside & self.bare[at]
+        self.has = np.zeros((len(self.rows), len(self.begin)), bool)
+        self.has[self.holders, np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))] = True
+        shared = self.shared & bare.any(1)[:, None]
+        k, j = np.nonzero(shared)
+        for lo in range(0, len(k), step := max(1, (1 << 18) // len(place))):
+            ks, js = k[lo : lo + step], j[lo : lo + step]
+            shared[ks, js] = reaches(self.has[js[:, None], number[ks]], bare[ks], self.least, self.share)
+        return shared
+
+    def probe(self, tokens: np.ndarray, slot: np.ndarray, bare: np.ndarray) -> np.ndarray:
+        """The rarest tokens of a run (slot: the token at each place), so many that the others don't suffice for a passage
+        over what isn't covered: a run that may cover more has one of them."""
+        order = np.argsort((self.begin[tokens + 1] - self.begin[tokens]), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        low, high = 0, len(order)
+        while low < high:  # the least number that is enough, by eight trials at a time
+            tried = np.unique(np.linspace(low, high - 1, 8).astype(np.int64))
+            enough = tried[~reaches(rank[slot] >= tried[:, None], bare, self.least, self.share)]
+            high = int(enough[0]) if len(enough) else high
+            low = int(tried[tried < high][-1]) + 1 if (tried < high).any() else high
+        return tokens[order[:high]]
+
+    def gathered(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of those runs, one after the other: which run it is, counted in found, and where it stands among all."""
+        many = self.at[found + 1] - self.at[found]
+        row = np.repeat(np.arange(len(found)), many)
+        return row, np.arange(len(row)) + np.repeat(self.at[found] - np.cumsum(many) + many, many)
+
+    def possible(self, k: int, crossing: bool, most: int = 64) -> tuple[np.ndarray, ...]:
+        """Which runs before it may hold a passage that covers more of run k, and which of its tokens each one has; these
+        tokens, which one is at each place and how often they are there. Such a run has enough of its tokens, as often, and
+        begins and ends with stretches of equal tokens between which both sides have the share. The latter is not asked of
+        runs with repeated tokens or more stretches than ``most``."""
+        tokens, slot, times = np.unique(self.number[self.at[k] : self.at[k + 1]], return_inverse=True, return_counts=True)
+        bare = self.bare[self.at[k] : self.at[k + 1]]
+        self.slot[tokens] = np.arange(len(tokens))
+        if self.shared is None:
+            found, has = self.probed(k, tokens, slot, times, bare)
+        else:
+            found = np.nonzero(self.shared[k])[0]
+            has = self.has[found[:, None], tokens]
+        if crossing:
+            good = self.block[found] != self.block[k]
+            found, has = found[good], has[good]
+        if not self.repeats[k] and len(found):
+            good = self.fitting(k, found, slot, bare, most)
+            found, has = found[good], has[good]
+        self.slot[tokens] = -1
+        return found, has, tokens, slot, times
+
+    def probed(self, k: int, tokens: np.ndarray, slot: np.ndarray, times: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of earlier documents that may cover more of run k, of those that have a token that these must have; and
+        which of its tokens each one has."""
+        probe = self.probe(tokens, slot, bare)
+        having = np.concatenate([np.empty(0, np.int64), *(self.holders[self.begin[t] : self.begin[t + 1]] for t in probe[self.first[probe] < k])])
+        found = np.unique(having[having < k])
+        found = found[self.doc[found] < self.doc[k]]
+        kept, step = [(found[:0], np.empty((0, len(tokens)), bool))], max(1, (1 << 18) // len(slot))
+        for lo in range(0, len(found), step):
+            some = found[lo : lo + step]
+            row, at = self.gathered(some)
+            there = self.slot[self.number[at]]
+            row, there = row[there >= 0], there[there >= 0]
+            counts = np.bincount(row * len(tokens) + there, minlength=len(some) * len(tokens)).reshape(len(some), -1)
+            good = np.nonzero(np.minimum(counts, times).sum(1) > self.few)[0]
+            good = good[reaches((counts[good] > 0)[:, slot], bare, self.least, self.share)]
+            kept.append((some[good], counts[good] > 0))
+        return tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+
+    def fitting(self, k: int, found: np.ndarray, slot: np.ndarray, bare: np.ndarray, most: int) -> np.ndarray:
+        """Of which of those runs two stretches can begin and end a passage; all with repeated tokens."""
+        good = self.repeats[found].copy()
+        row, at = self.gathered(found)
+        there = self.slot[self.number[at]]
+        own = np.nonzero((there >= 0) & ~good[row])[0]
+        run, p = row[own], np.argsort(slot)[there[own]]
+        order = np.lexsort((p, run))
+        run, p, x = run[order], p[order], (at[own] - self.at[found[run]])[order]
+        before = np.concatenate([[0], np.cumsum(bare)])
         first = np.nonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (np.diff(p) != 1) | (np.diff(x) != 1)]))[0] if len(run) else own
         end, of = np.append(first[1:], len(run))[: len(first)], run[first]
-        begins = np.searchsorted(of, np.arange(k + 1))
+        begins = np.searchsorted(of, np.arange(len(found) + 1))
         several = np.diff(begins)
-        good = np.zeros(k, bool)
-        good[found] = self.repeats[found] | (several[found] > most)
+        good |= several > most
         later = np.where(several[of] > most, 0, begins[of + 1] - np.arange(len(of)))
         for lo in range(0, len(of), 4096):  # pairs of stretches of one run, the first and the last of a passage
             n = later[lo : lo + 4096]
@@ -709,41 +846,48 @@ class Group:
             i, j, u, v = first[s], end[e], x[first[s]], x[end[e] - 1] + 1
             long, other, common = p[j - 1] + 1 - p[i], v - u, j - i
             fits = (long >= self.least) & ((s == e) | (x[first[e]] > x[end[s] - 1])) & (common >= self.share * (long + other - common) - 1e-6)
-            good[of[s[fits & (bridged | (bare[j] > bare[i]))]]] = True
-        return found[good[found]]
+            good[of[s[fits & (before[p[j - 1] + 1] > before[p[i]])]]] = True
+        return good
 
     def links(self, crossing: bool) -> Iterator[tuple]:
         """(doc, mark, first, last, pdoc, pmark, first, last) of passages, by token, that cover more."""
         barren: set[tuple] = set()  # runs of one document of equal contents, of which no more is covered
-        hopeful, hope = self.hopeful(), {*np.unique(self.owner[self.bare & (self.first[self.number] < self.owner)]).tolist()}
-        for k in np.unique(self.owner[self.bare]).tolist():
-            if hopeful[k] and k and (k in hope or self.bridged(k)):
-                row = self.rows[k]
-                state = *row[1:3], self.content[k], row[6] - row[3] - row[4], self.part(k, 8).tobytes()
-                if state not in barren:
-                    links = [*self._links(k, crossing)]
-                    yield from links
-                    if not links:
-                        barren.add(state)
+        self.shared = self.shares()
+        if self.shared is None:
+            hope = {*np.unique(self.owner[self.bare & (self.first[self.number] < self.owner)]).tolist()}
+            some = np.array([k for k in np.unique(self.owner[self.bare]).tolist() if k in hope or self.bridged(k)], np.int64)
+        else:
+            self.shared = self.narrowed() if self.shared.any() else self.shared
+            some = np.nonzero(self.shared.any(1))[0]
+        for k in some.tolist():
+            row = self.rows[k]
+            state = *row[1:3], self.content[k], row[6] - row[3] - row[4], self.part(k, 8).tobytes()
+            if state not in barren:
+                links = [*self._links(k, crossing)]
+                yield from links
+                if not links:
+                    barren.add(state)
 
     def _links(self, k: int, crossing: bool) -> Iterator[tuple]:
         doc, mark, lo, a, b, place, own, covered = self.rows[k][1:9]
-        tried, possible = {k}, None
-        while not covered[a : b + 1].all():
-            if possible is None:  # what covers no more now never will
-                possible = {*self.possible(k, np.arange(k)).tolist()}
-            rest = [j for j in self.candidates(k).tolist() if j in possible and j not in tried] if possible else []
-            for j in rest:
-                tried.add(j)
+        found, has, tokens, slot, times = self.possible(k, crossing)  # what covers no more now never will
+        often = self.begin[tokens + 1] - self.begin[tokens]
+        order = np.argsort(-often, kind="stable")
+        rare, tried = order[np.cumsum(times[order]) > self.few], np.zeros(len(found), bool)
+        while len(found) and not covered[a : b + 1].all():
+            bare = np.unique(slot if self.bridged(k) else slot[~covered[a : b + 1]])
+            shared = has[:, min((bare, rare), key=lambda t: often[t].sum())].sum(1)  # those that share most come first
+            rest = np.nonzero((shared > 0) & ~tried)[0]
+            for i_ in rest[np.argsort(-shared[rest], kind="stable")].tolist():
+                j, more = int(found[i_]), False
+                tried[i_] = True
                 pdoc, pmark, plo, x, y, pplace, other, _ = self.rows[j][1:9]
-                if pdoc >= doc or crossing and self.rows[j][9] == self.rows[k][9]:
-                    continue
-                shift, more = (place - lo) - (pplace - plo), False
+                shift = (place - lo) - (pplace - plo)
                 pair = self.content[k], self.content[j], shift - a + x
                 if pair not in self.compared:
                     self.compared[pair] = agreeing(self.part(k, 7), self.part(j, 7), self.least, self.share, pair[2])
-                for i, p, found in ((a, x, self.compared[pair]), (0, 0, None)):
-                    for a0, b0, x0, y0 in agreeing(own, other, self.least, self.share, shift) if found is None else found:
+                for i, p, passages in ((a, x, self.compared[pair]), (0, 0, None)):
+                    for a0, b0, x0, y0 in agreeing(own, other, self.least, self.share, shift) if passages is None else passages:
                         if not covered[i + a0 : i + b0 + 1].all():
                             more = True
                             covered[i + a0 : i + b0 + 1] = True
@@ -751,11 +895,43 @@ class Group:
                     if not more:
                         break
                 if more:
+                    tried |= ~reaches(has[:, slot], ~covered[a : b + 1], self.least, self.share)
                     break
             else:
                 return
 
 
+def hopeful(rows: list[tuple], least: int, share: float, most: int = 6) -> bool:
+    """Whether any of a few runs may cover more of a later one: stretches that both have, and between which both have the
+    share, lie before and behind a token that isn't covered (where tokens repeat, any tokens that both have). True of more
+    runs than ``most``, if any isn't covered."""
+    bare = [k for k in range(1, len(rows)) if not rows[k][8][rows[k][4] : rows[k][5] + 1].all()]
+    if not bare or len(rows) > most:
+        return bool(bare)
+    parts = [r[7][r[4] : r[5] + 1].tolist() for r in rows]
+    places = [dict(zip(p, range(len(p)), strict=True)) for p in parts]
+    for k in bare:
+        covered = rows[k][8][rows[k][4] : rows[k][5] + 1]
+        for j in range(k):
+            if rows[j][1] < rows[k][1]:
+                there = places[j]
+                both = [(p, there[t]) for p, t in enumerate(parts[k]) if t in there]
+                if len(both) < share * least - 1e-9 or both[-1][0] - both[0][0] < least - 1 or covered[both[0][0] : both[-1][0] + 1].all():
+                    continue
+                if len(places[k]) < len(parts[k]) or len(there) < len(parts[j]):
+                    return True
+                begins = [n for n, (p, x) in enumerate(both) if not n or both[n - 1] != (p - 1, x - 1)]
+                ends = [*begins[1:], len(both)]
+                for n, s in enumerate(begins):
+                    p, x = both[s]
+                    for e in ends[n:]:
+                        q, y = both[e - 1]
+                        long, other, common = q + 1 - p, y + 1 - x, e - s
+                        if long >= least and other > 0 and common >= share * (long + other - common) - 1e-6 and not covered[p : q + 1].all():
+                            return True
+    return False
+
+
 _LINKED = "doc long, mark long, first int, last int, pdoc long, pmark long, pfirst int, plast int"
 
 
@@ -780,15 +956,15 @@ def linked(rows: DataFrame, least: int, share: float, most: int = 4096) -> DataF
                     if len(out) > 1000:
                         yield given(out)
                         out = []
-                tokens = np.frombuffer(row[7], np.uint32)
-                content = tokens[row[4] : row[5] + 1].tobytes()
-                if seen.setdefault(content, row[1]) == row[1]:  # an equal run of an earlier document covers it
-                    held.append((*row[:7], tokens, np.unpackbits(np.frombuffer(row[8], np.uint8), count=len(tokens)).astype(bool), block))
+                if seen.setdefault(row[7][4 * row[4] : 4 * row[5] + 4], row[1]) == row[1]:  # an equal run of an earlier document covers it
+                    held.append((*row, block))
         yield given(out + solved(held, tile))
 
     def solved(held: list[tuple], tile: tuple | None) -> list[tuple]:
-        bare = sum(not r[8][r[4] : r[5] + 1].all() for r in held[1:])
-        return [*Group(held, least, share).links(tile[1] != tile[2])] if bare and len(held) > 1 else []
+        if len(held) < 2:
+            return []
+        rows = [(*r[:7], np.frombuffer(r[7], np.uint32), np.unpackbits(np.frombuffer(r[8], np.uint8), count=len(r[7]) // 4).view(bool), r[9]) for r in held]
+        return [*Group(rows, least, share).links(tile[1] != tile[2])] if hopeful(rows, least, share) else []
 
     def given(out: list[tuple]) -> pa.RecordBatch:
         types = 2 * [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -833,7 +1009,7 @@ def repeated(docs: DataFrame, passage: int = 50, n: int = 5, share: float = 0.8)
     scratch = Scratch(docs.sparkSession, "passages")
     least = passage - n + 1
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
-    found = scratch.write(met(runs(docs, n, least, hot_keys(docs, n, least)), least), "met")
+    found = scratch.write(met(runs(docs, n, least, *sampled(docs, n, least)), least), "met", batch=256)
     later = found.where("kind = 3 or kind = 2 and not equal")
     whole = later.select(F.col("doc").alias("doc_id"), "doc").distinct().select("*", F.lit(2).alias("side"), F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("hi"))
     texts = docs.withColumn("mark", F.xxhash64("text")).join(asked(found, least, share).unionByName(whole, allowMissingColumns=True), "doc_id")
